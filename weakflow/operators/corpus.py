@@ -6,10 +6,20 @@ the same rows: the narrow key tables fan out first, and the wide summaries are s
 once, before the fan-out. Exact copies of a row travel as one row with a count.
 """
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weakflow.operators.joins import HOT_ROWS, broadcast_if_small, expand_copies, spread_left_join
+from weakflow.operators.joins import (
+    HOT_ROWS,
+    broadcast_if_small,
+    expand_copies,
+    hot_keys,
+    key_sizes,
+    spread_left_join,
+)
+from weakflow.sources.staging import stage
 
 CVE_COLUMNS = [
     "cve_id",
@@ -81,44 +91,127 @@ def _vendor_links(vendor_product: DataFrame, vendors: DataFrame, unique_vendors:
     )
 
 
-def product_links(
-    products: DataFrame,
-    vendor_product: DataFrame,
-    vendors: DataFrame,
-    unique_vendors: bool = False,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """(cve_id, vulnerable_product, product, vendor, copies, piece): the fan-out of each
-    CVE, without its text. A row stands for at most 10,000 copies."""
-    named = products.groupBy("cve_id", "vulnerable_product").agg(F.count(F.lit(1)).alias("_pcopies"))
-    right = _vendor_links(vendor_product, vendors, unique_vendors).withColumn(
-        "_product", F.col("product")
-    )
-    links = spread_left_join(
-        named.withColumn("_product", F.col("vulnerable_product")), right, "_product", hot_rows=hot_rows
+def _named_products(products: DataFrame, cve_ids: DataFrame) -> DataFrame:
+    """(cve_id, _product, pcopies) of the wanted CVEs, one row per pair."""
+    pairs = products.groupBy("cve_id", F.col("vulnerable_product").alias("_product")).agg(
+        F.count(F.lit(1)).alias("pcopies")
     )
-    total = F.col("_pcopies") * F.coalesce("copies", F.lit(1))
-    return (
-        links.select("cve_id", "vulnerable_product", "product", "vendor", total.alias("_total"))
-        .withColumn(
-            "piece",
-            F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_total") - 1) / _CHUNK))),
+    return pairs.join(cve_ids.select("cve_id"), "cve_id", "left_semi")
+
+
+class Corpus:
+    """The joined corpus of one set of input tables, in the forms that jobs need.
+
+    The two narrow tables below are stored on first use and shared by all methods. A CVE
+    id must name one CVE. ``unique_vendors`` says that no vendor is listed twice, which
+    saves the join with the vendor table.
+    """
+
+    def __init__(
+        self,
+        cve: DataFrame,
+        products: DataFrame,
+        vendor_product: DataFrame,
+        vendors: DataFrame,
+        unique_vendors: bool = False,
+        hot_rows: int = HOT_ROWS,
+    ) -> None:
+        self.cve = cve
+        self.labelled = cve.filter(F.col("cwe_name").isNotNull())
+        self.products = products
+        self.vendor_product = vendor_product
+        self.vendors = vendors
+        self.unique_vendors = unique_vendors
+        self.hot_rows = hot_rows
+
+    @cached_property
+    def named(self) -> DataFrame:
+        """(cve_id, _product, pcopies) of the labelled CVEs, one row per pair."""
+        return stage(_named_products(self.products, self.labelled), "cve-products")
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """(product, vendor, copies), one row per pair."""
+        links = _vendor_links(self.vendor_product, self.vendors, self.unique_vendors)
+        return stage(links, "product-vendors")
+
+    @cached_property
+    def hot_products(self) -> dict[str, int]:
+        """Products named by very many CVEs."""
+        return hot_keys(key_sizes(self.named, "_product"), "_product", self.hot_rows)
+
+    @cached_property
+    def hot_cves(self) -> dict[str, int]:
+        """CVEs with a very large fan-out."""
+        return hot_keys(self.sizes(), "cve_id", self.hot_rows)
+
+    def links(self) -> DataFrame:
+        """(cve_id, vulnerable_product, product, vendor, piece, copies): the fan-out without
+        any text. A row stands for at most 10,000 exact copies."""
+        right = self.pairs.withColumn("_product", F.col("product"))
+        joined = spread_left_join(
+            self.named, right, "_product", hot_left=self.hot_products, hot_rows=self.hot_rows
+        )
+        total = F.col("pcopies") * F.coalesce("copies", F.lit(1))
+        pieces = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_total") - 1) / _CHUNK))
+        return (
+            joined.withColumn("_total", total)
+            .withColumn("piece", F.explode(pieces))
+            .select(
+                "cve_id",
+                F.col("_product").alias("vulnerable_product"),
+                "product",
+                "vendor",
+                "piece",
+                F.least(F.lit(_CHUNK), F.col("_total") - F.col("piece") * _CHUNK).alias("copies"),
+            )
         )
-        .withColumn("copies", F.least(F.lit(_CHUNK), F.col("_total") - F.col("piece") * _CHUNK))
-        .drop("_total")
-    )
 
+    def sizes(self) -> DataFrame:
+        """(cve_id, n): rows of each CVE's fan-out, counted without producing it."""
+        per_product = self.pairs.groupBy(F.col("product").alias("_product")).agg(
+            F.sum("copies").alias("_vendors")
+        )
+        sized = spread_left_join(
+            self.named, per_product, "_product", hot_left=self.hot_products, hot_right={}
+        )
+        n = F.col("pcopies") * F.coalesce("_vendors", F.lit(1))
+        return sized.groupBy("cve_id").agg(F.sum(n).alias("n"))
 
-def fan_out(cve: DataFrame, links: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Every CVE with each of its links, exact copies expanded and numbered (``copy_no``)."""
-    rows = spread_left_join(cve, links, "cve_id", right_weight="copies", hot_rows=hot_rows)
-    filled = rows.withColumn("copies", F.coalesce("copies", F.lit(1))).withColumn(
-        "piece", F.coalesce("piece", F.lit(0))
-    )
-    numbered = expand_copies(filled, "copies", "_in_piece", _CHUNK)
-    return numbered.withColumn("copy_no", F.col("piece") * _CHUNK + F.col("_in_piece")).drop(
-        "piece", "_in_piece"
-    )
+    def _fan_out(self, cve: DataFrame) -> DataFrame:
+        """Each CVE with each of its links, exact copies expanded and numbered (``copy_no``)."""
+        rows = spread_left_join(
+            cve, self.links(), "cve_id", hot_left={}, hot_right=self.hot_cves
+        )
+        filled = rows.withColumn("copies", F.coalesce("copies", F.lit(1))).withColumn(
+            "piece", F.coalesce("piece", F.lit(0))
+        )
+        numbered = expand_copies(filled, "copies", "_in_piece", _CHUNK)
+        return numbered.withColumn("copy_no", F.col("piece") * _CHUNK + F.col("_in_piece")).drop(
+            "piece", "_in_piece"
+        )
+
+    def rows(self, drop_blank: bool = False) -> DataFrame:
+        """The whole corpus: one row per CVE, product and vendor, with its text and label."""
+        return keep_labelled(self._fan_out(self.labelled).withColumn("text", corpus_text()), drop_blank)
+
+    def keys(self) -> DataFrame:
+        """The corpus rows without summaries: what counting and sampling need."""
+        return self._fan_out(self.labelled.select("cve_id", "cwe_name"))
+
+    def attach_text(self, sample: DataFrame) -> DataFrame:
+        """Text of a stored sample of ``keys``. A small sample is broadcast to the CVE scan, so
+        the wide table is not shuffled at all."""
+        texts = self.cve.select("cve_id", "summary")
+        return texts.join(broadcast_if_small(sample), "cve_id").withColumn("text", corpus_text())
+
+    def label_counts(self, count_by: str = "row") -> DataFrame:
+        """(cwe_name, n) over corpus rows, or over CVEs with ``count_by='cve'``."""
+        labelled = self.labelled.select("cve_id", "cwe_name")
+        if count_by == "cve":
+            return labelled.groupBy("cwe_name").agg(F.count(F.lit(1)).alias("n"))
+        sized = labelled.join(self.sizes(), "cve_id", "left")
+        return sized.groupBy("cwe_name").agg(F.sum(F.coalesce("n", F.lit(1))).alias("n"))
 
 
 def keep_labelled(rows: DataFrame, drop_blank: bool = False) -> DataFrame:
@@ -129,71 +222,3 @@ def keep_labelled(rows: DataFrame, drop_blank: bool = False) -> DataFrame:
     """
     text = F.trim("text") if drop_blank else F.col("text")
     return rows.filter((text != "") & F.col("cwe_name").isNotNull())
-
-
-def assemble(
-    cve: DataFrame,
-    products: DataFrame,
-    vendor_product: DataFrame,
-    vendors: DataFrame,
-    drop_blank: bool = False,
-    unique_vendors: bool = False,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """The whole corpus: one row per CVE, product and vendor, with its text and label."""
-    links = product_links(products, vendor_product, vendors, unique_vendors, hot_rows)
-    rows = fan_out(cve.filter(F.col("cwe_name").isNotNull()), links, hot_rows)
-    return keep_labelled(rows.withColumn("text", corpus_text()), drop_blank)
-
-
-def corpus_keys(
-    cve: DataFrame,
-    products: DataFrame,
-    vendor_product: DataFrame,
-    vendors: DataFrame,
-    unique_vendors: bool = False,
-) -> DataFrame:
-    """The corpus rows without summaries: what counting and sampling need."""
-    labelled = cve.filter(F.col("cwe_name").isNotNull()).select("cve_id", "cwe_name")
-    return fan_out(labelled, product_links(products, vendor_product, vendors, unique_vendors))
-
-
-def attach_text(rows: DataFrame, cve: DataFrame) -> DataFrame:
-    """Fetch the summaries of a sample. A small sample is broadcast to the CVE scan, so
-    the wide table is not shuffled at all. A CVE id must name one CVE."""
-    texts = cve.select("cve_id", "summary")
-    return texts.join(broadcast_if_small(rows), "cve_id").withColumn("text", corpus_text())
-
-
-def rows_per_cve(
-    products: DataFrame, vendor_product: DataFrame, vendors: DataFrame, unique_vendors: bool = False
-) -> DataFrame:
-    """(cve_id, n_rows): size of each CVE's fan-out, counted without producing it."""
-    per_product = (
-        _vendor_links(vendor_product, vendors, unique_vendors)
-        .groupBy(F.col("product").alias("_product"))
-        .agg(F.sum("copies").alias("_vendors"))
-    )
-    named = products.groupBy("cve_id", F.col("vulnerable_product").alias("_product")).agg(
-        F.count(F.lit(1)).alias("_pcopies")
-    )
-    sized = spread_left_join(named, per_product, "_product", right_unique=True)
-    n = F.col("_pcopies") * F.coalesce("_vendors", F.lit(1))
-    return sized.groupBy("cve_id").agg(F.sum(n).alias("n_rows"))
-
-
-def corpus_label_counts(
-    cve: DataFrame,
-    products: DataFrame,
-    vendor_product: DataFrame,
-    vendors: DataFrame,
-    count_by: str = "row",
-    unique_vendors: bool = False,
-) -> DataFrame:
-    """(cwe_name, n) over corpus rows, or over CVEs with ``count_by='cve'``."""
-    labelled = cve.filter(F.col("cwe_name").isNotNull()).select("cve_id", "cwe_name")
-    if count_by == "cve":
-        return labelled.groupBy("cwe_name").agg(F.count(F.lit(1)).alias("n"))
-    sizes = rows_per_cve(products, vendor_product, vendors, unique_vendors)
-    sized = labelled.join(sizes, "cve_id", "left")
-    return sized.groupBy("cwe_name").agg(F.sum(F.coalesce("n_rows", F.lit(1))).alias("n"))

@@ -18,79 +18,80 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataF
     """
     width: Column = F.lit(16 * len(df.columns))
     for c in df.columns:
-        width = width + F.coalesce(F.length(F.col(f"`{c}`").cast("string")), F.lit(0)) * 4
+        width = width + F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0))
     size = df.agg(F.sum(width.cast("long"))).first()[0] or 0
     return F.broadcast(df) if size <= max_bytes else df
 
 
-def _hot_keys(df: DataFrame, key: str, weight: Column, hot_rows: int, name: str) -> DataFrame:
-    """Keys above ``hot_rows`` rows, with the number of parts to split each into."""
-    return (
-        df.filter(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.sum(weight).alias("_n"))
-        .filter(F.col("_n") > hot_rows)
-        .orderBy(F.desc("_n"), key)
-        .limit(MAX_HOT_KEYS)
-        .select(key, F.ceil(F.col("_n") / hot_rows).cast("int").alias(name))
-    )
+def key_sizes(df: DataFrame, key: str) -> DataFrame:
+    """(key, n): rows per key, combined before the shuffle."""
+    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+
+def hot_keys(sizes: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> dict[str, int]:
+    """Keys above ``hot_rows`` rows, with the number of parts to split each into.
+
+    At most ``MAX_HOT_KEYS`` entries reach the driver. The other keys are joined as usual.
+    """
+    heavy = sizes.filter(F.col("n") > hot_rows).orderBy(F.desc("n"), key).limit(MAX_HOT_KEYS)
+    return {r[key]: -(-r["n"] // hot_rows) for r in heavy.select(key, "n").collect()}
 
 
-def _parts(df: DataFrame, hot: DataFrame, key: str, name: str) -> DataFrame:
-    marked = df.join(F.broadcast(hot), key, "left")
+def _parts(df: DataFrame, key: str, hot: dict[str, int], name: str) -> DataFrame:
+    if not hot:
+        return df.withColumn(name, F.lit(1))
+    listed = df.sparkSession.createDataFrame(list(hot.items()), f"`{key}` string, `{name}` int")
+    marked = df.join(F.broadcast(listed), key, "left")
     return marked.withColumn(name, F.coalesce(name, F.lit(1)))
 
 
+def _part_of_row(df: DataFrame, parts: str) -> Column:
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    return F.when(F.col(parts) == 1, F.lit(0)).otherwise(F.pmod(row, F.col(parts)).cast("int"))
+
+
+def _every_part(parts: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+
 def spread_left_join(
     left: DataFrame,
     right: DataFrame,
     key: str,
-    right_unique: bool = False,
-    right_weight: str | None = None,
+    hot_left: dict[str, int] | None = None,
+    hot_right: dict[str, int] | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """``left LEFT JOIN right USING (key)`` with hot keys split over many tasks.
+    """``left LEFT JOIN right USING (key)`` (a string key) with hot keys split over tasks.
 
-    A key that is hot on one side is cut into parts there and copied to each part on
-    the other side. Parts come from a hash of the row, so a repeated task makes the
-    same parts. NULL keys match nothing and are spread too. ``right_unique`` says that
-    the right side has one row per key; ``right_weight`` names a column that says how
-    many rows a right row stands for.
+    The key sizes are measured first, unless the hot keys are given (none for a side whose
+    key is unique). Without hot keys this is a plain join. Otherwise a key that is hot on one
+    side is cut into parts there and copied to each part on the other side, and NULL keys,
+    which match nothing, are spread as well. Parts come from a hash of the row, so a repeated
+    task makes the same parts.
     """
-    weight = F.col(right_weight) if right_weight else F.lit(1)
-    right = right.filter(F.col(key).isNotNull()).withColumn("_matched", F.lit(True))
-    right_cols = [F.col(f"`{c}`").cast("string") for c in right.columns]
-    left_cols = [F.col(f"`{c}`") for c in left.columns]
-
-    hot_left = _hot_keys(left.select(key), key, F.lit(1), hot_rows, "_lparts")
-    null_part = F.pmod(F.xxhash64(*left_cols), F.lit(_NULL_PARTS))
-    left = _parts(left, hot_left, key, "_lparts").withColumn(
-        "_lpart",
-        F.when(F.col(key).isNull(), null_part)
-        .when(F.col("_lparts") == 1, F.lit(0))
-        .otherwise(F.pmod(F.xxhash64(*left_cols), F.col("_lparts")))
-        .cast("int"),
-    )
-    split_right = _parts(right, hot_left, key, "_lparts").withColumn(
-        "_lpart", F.explode(F.sequence(F.lit(0), F.col("_lparts") - 1))
-    )
-    on = [key, "_lpart"]
-    keep = F.lit(True)
-    if not right_unique:
-        hot_right = _hot_keys(right, key, weight, hot_rows, "_rparts")
-        left = _parts(left, hot_right, key, "_rparts").withColumn(
-            "_rpart", F.explode(F.sequence(F.lit(0), F.col("_rparts") - 1))
-        )
-        split_right = (
-            _parts(split_right, hot_right, key, "_rparts")
-            .withColumn("_rpart", F.pmod(F.xxhash64(*right_cols), F.col("_rparts")).cast("int"))
-            .drop("_rparts")
-        )
-        on.append("_rpart")
-        # A hot right key has matches in some of its parts; its empty parts add no row.
-        keep = (F.col("_rparts") == 1) | F.col("_matched")
-    joined = left.join(split_right.drop("_lparts"), on, "left").filter(keep)
-    return joined.drop("_lparts", "_lpart", "_rparts", "_rpart", "_matched")
+    if hot_left is None:
+        hot_left = hot_keys(key_sizes(left, key), key, hot_rows)
+    if hot_right is None:
+        hot_right = hot_keys(key_sizes(right, key), key, hot_rows)
+    if not hot_left and not hot_right:
+        return left.join(right, key, "left")
+
+    null_part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(_NULL_PARTS))
+    part = F.when(F.col(key).isNull(), null_part.cast("int"))
+    cut_left = _parts(left, key, hot_left, "_lparts")
+    cut_left = cut_left.withColumn("_lpart", part.otherwise(_part_of_row(left, "_lparts")))
+    cut_left = _parts(cut_left, key, hot_right, "_rparts").withColumn("_rpart", _every_part("_rparts"))
+
+    cut_right = _parts(right.filter(F.col(key).isNotNull()), key, hot_right, "_rparts")
+    cut_right = cut_right.withColumn("_rpart", _part_of_row(right, "_rparts")).drop("_rparts")
+    cut_right = _parts(cut_right, key, hot_left, "_lparts").withColumn("_lpart", _every_part("_lparts"))
+    cut_right = cut_right.drop("_lparts").withColumn("_matched", F.lit(True))
+
+    joined = cut_left.join(cut_right, [key, "_lpart", "_rpart"], "left")
+    # A key that is hot on the right has matches in some of its parts; the others add no row.
+    kept = joined.filter((F.col("_rparts") == 1) | F.col("_matched"))
+    return kept.drop("_lparts", "_lpart", "_rparts", "_rpart", "_matched")
 
 
 def expand_copies(df: DataFrame, copies: str, number: str, chunk: int = 10_000) -> DataFrame:

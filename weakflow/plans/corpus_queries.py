@@ -15,6 +15,10 @@ registry = Registry()
 KEYS = ["cve_id", "vulnerable_product", "vendor", "cwe_name"]
 
 
+def _corpus(spark: SparkSession, sf_dir: str) -> corpus.Corpus:
+    return corpus.Corpus(*fx.corpus_tables(spark, sf_dir))
+
+
 def _rounded(x: Column, places: int = 6) -> Column:
     scale = float(10**places)
     return F.floor(x * scale + 0.5) / scale
@@ -133,7 +137,7 @@ SELECT cve_id, vulnerable_product, vendor, cwe_name, md5(text) AS text_md5,
   length(text) AS text_length FROM corpus""",
 )
 def corpus_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_digest(corpus.assemble(*fx.corpus_tables(spark, sf_dir)))
+    return _with_digest(_corpus(spark, sf_dir).rows())
 
 
 @registry.add(
@@ -143,7 +147,7 @@ SELECT cwe_name, count(*) AS n, sum(length(text)) AS text_length FROM corpus
 WHERE trim(text) <> '' GROUP BY cwe_name""",
 )
 def corpus_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = corpus.assemble(*fx.corpus_tables(spark, sf_dir), drop_blank=True)
+    rows = _corpus(spark, sf_dir).rows(drop_blank=True)
     return rows.groupBy("cwe_name").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("text_length")
     )
@@ -159,7 +163,7 @@ FROM corpus GROUP BY cwe_name""",
 )
 def corpus_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled text rows per weakness class, from the whole corpus."""
-    rows = corpus.assemble(*fx.corpus_tables(spark, sf_dir))
+    rows = _corpus(spark, sf_dir).rows()
     # Two levels: the first has one row per CVE, so no class is gathered to count its CVEs.
     per_cve = rows.withColumn("digest", F.md5("text")).groupBy("cwe_name", "cve_id").agg(
         F.count(F.lit(1)).alias("n"),
@@ -184,7 +188,7 @@ def corpus_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def corpus_parquet_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "corpus")
-    rows = corpus.assemble(*fx.corpus_tables(spark, sf_dir))
+    rows = _corpus(spark, sf_dir).rows()
     tables.write_parquet(rows.select("text", "cwe_name"), path)
     stored = tables.read_parquet(spark, path, ["text", "cwe_name"])
     return stored.select("cwe_name", F.md5("text").alias("text_md5"))
@@ -196,7 +200,7 @@ def corpus_parquet_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORDER BY row_key LIMIT 5000 OFFSET 5000""",
 )
 def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = corpus.corpus_keys(*fx.corpus_tables(spark, sf_dir))
+    rows = _corpus(spark, sf_dir).keys()
     keyed = rows.select(corpus.row_key().alias("row_key"), "cwe_name")
     return tables.page_rows(keyed, ["row_key"], 5000, 5000)
 
@@ -206,7 +210,7 @@ def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"{fx.SQL_CORPUS} SELECT cwe_name, count(*) AS n FROM corpus GROUP BY cwe_name",
 )
 def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.corpus_label_counts(*fx.corpus_tables(spark, sf_dir))
+    return _corpus(spark, sf_dir).label_counts()
 
 
 _SQL_FRACTION = """CASE WHEN n < 1000 THEN least(CAST(3.0 AS DOUBLE) / n, CAST(0.01 AS DOUBLE))
@@ -219,7 +223,7 @@ _SQL_FRACTION = """CASE WHEN n < 1000 THEN least(CAST(3.0 AS DOUBLE) / n, CAST(0
 SELECT cwe_name, n, floor({_SQL_FRACTION} * 1e6 + 0.5) / 1e6 AS fraction FROM counts""",
 )
 def label_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = corpus.corpus_label_counts(*fx.corpus_tables(spark, sf_dir))
+    counts = _corpus(spark, sf_dir).label_counts()
     return sampling.label_fractions(counts).withColumn("fraction", _rounded(F.col("fraction")))
 
 
@@ -232,8 +236,8 @@ SELECT (SELECT count(*) FROM corpus) AS n_rows,
   (SELECT count(*) FROM cve WHERE cwe_name IS NULL) AS n_unlabelled""",
 )
 def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cve, *dimensions = fx.corpus_tables(spark, sf_dir)
-    counts = corpus.corpus_label_counts(cve, *dimensions)
+    cve = fx.cve(spark, sf_dir)
+    counts = _corpus(spark, sf_dir).label_counts()
     totals = counts.agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_classes"))
     unlabelled = F.sum(F.when(F.col("cwe_name").isNull(), 1).otherwise(0).cast("long"))
     return totals.select(
@@ -310,7 +314,7 @@ def rare_label_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE {fx.sql_hash("row_key")} < CAST(0.001 AS DOUBLE) * 4294967296.0""",
 )
 def sample_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = corpus.corpus_keys(*fx.corpus_tables(spark, sf_dir))
+    rows = _corpus(spark, sf_dir).keys()
     return sampling.sample_rows(rows, corpus.row_key(), 0.001).select(*KEYS, "copy_no")
 
 
@@ -321,11 +325,10 @@ sampled AS (SELECT k.* FROM keyed k JOIN shares s ON s.cwe_name = k.cwe_name
   WHERE {fx.sql_hash("k.row_key")} < s.fraction * CAST(4294967296.0 AS DOUBLE))"""
 
 
-def _stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = fx.corpus_tables(spark, sf_dir)
-    counts = stage(corpus.corpus_label_counts(*source), "label-counts")
+def _stratified(source: corpus.Corpus) -> DataFrame:
+    counts = stage(source.label_counts(), "label-counts")
     fractions = sampling.label_fractions(counts)
-    return sampling.sample_stratified(corpus.corpus_keys(*source), fractions, corpus.row_key())
+    return sampling.sample_stratified(source.keys(), fractions, corpus.row_key())
 
 
 @registry.add(
@@ -333,7 +336,7 @@ def _stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"{_SQL_STRATIFIED} SELECT cve_id, vulnerable_product, vendor, cwe_name, copy_no FROM sampled",
 )
 def sample_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stratified(spark, sf_dir).select(*KEYS, "copy_no")
+    return _stratified(_corpus(spark, sf_dir)).select(*KEYS, "copy_no")
 
 
 @registry.add(
@@ -342,7 +345,7 @@ def sample_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORDER BY {fx.sql_hash("row_key")}, row_key LIMIT 50000""",
 )
 def sample_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stage(corpus.corpus_keys(*fx.corpus_tables(spark, sf_dir)), "keys")
+    rows = stage(_corpus(spark, sf_dir).keys(), "keys")
     return sampling.cap_rows(rows, 50_000, corpus.row_key()).select(*KEYS, "copy_no")
 
 
@@ -355,9 +358,10 @@ ORDER BY {fx.sql_hash("row_key")}, row_key LIMIT 200000""",
 )
 def training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stratified sample, capped, with text: summaries are read for sampled rows only."""
-    sampled = stage(_stratified(spark, sf_dir), "sample")
+    source = _corpus(spark, sf_dir)
+    sampled = stage(_stratified(source), "sample")
     capped = stage(sampling.cap_rows(sampled, 200_000, corpus.row_key()), "capped")
-    return _with_digest(corpus.attach_text(capped, fx.cve(spark, sf_dir)))
+    return _with_digest(source.attach_text(capped))
 
 
 _SPLIT = fx.sql_hash("row_key", "split")
@@ -369,7 +373,7 @@ _SPLIT = fx.sql_hash("row_key", "split")
   THEN 'train' ELSE 'test' END AS part FROM keyed""",
 )
 def split_random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = corpus.corpus_keys(*fx.corpus_tables(spark, sf_dir))
+    rows = _corpus(spark, sf_dir).keys()
     keyed = rows.select(corpus.row_key().alias("row_key"))
     return sampling.split_rows(keyed, F.col("row_key"))
 
@@ -383,7 +387,7 @@ SELECT row_key, CASE WHEN r <= floor(n * CAST(0.8 AS DOUBLE)) THEN 'train' ELSE
 FROM ranked""",
 )
 def split_random_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = corpus.corpus_keys(*fx.corpus_tables(spark, sf_dir))
+    rows = _corpus(spark, sf_dir).keys()
     keyed = stage(rows.select(corpus.row_key().alias("row_key")), "keys")
     return sampling.split_rows_exact(keyed, F.col("row_key"))
 
@@ -404,6 +408,6 @@ SELECT r.row_key, r.cwe_name, CASE WHEN r.r <= q.quota THEN 'test' ELSE 'train'
 FROM ranked r JOIN quotas q ON q.cwe_name = r.cwe_name""",
 )
 def split_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = corpus.corpus_keys(*fx.corpus_tables(spark, sf_dir))
+    rows = _corpus(spark, sf_dir).keys()
     keyed = stage(rows.select(corpus.row_key().alias("row_key"), "cwe_name"), "keys")
     return sampling.split_stratified(keyed, F.col("row_key"), "cwe_name")
