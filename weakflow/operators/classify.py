@@ -10,12 +10,14 @@ seen, so the model needs no classes x vocabulary product:
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weakflow.operators.joins import broadcast_if_small
 from weakflow.sources.staging import stage
 
 SCALE = 1_000_000
@@ -71,7 +73,7 @@ def train_naive_bayes(
         .alias("prior"),
         _fixed(F.lit(alpha) / smoothed).alias("base"),
     )
-    cells = counts.join(broadcast_if_small(sizes.select("y", "weight")), "y").select(
+    cells = counts.join(sizes.select("y", "weight"), "y").select(
         "y", "idx", _fixed(F.col("n") * F.col("weight") / F.lit(alpha) + 1).alias("delta")
     )
     return NaiveBayes(classes, cells)
@@ -87,45 +89,44 @@ def _class_list(model: NaiveBayes) -> Column:
     return model.classes.agg(F.sort_array(F.collect_list(entry))).scalar()
 
 
-def _cell_table(model: NaiveBayes) -> Column:
-    """Array addressed by word index: per class (in y order) the delta, or NULL if none."""
-    ys = F.col("ys")
-    listed = model.classes.agg(F.sort_array(F.collect_list("y")).alias("ys"))
-    per_word = model.cells.groupBy("idx").agg(
-        F.map_from_entries(F.collect_list(F.struct("y", "delta"))).alias("by_class")
-    )
-    rows = per_word.withColumn("ys", listed.scalar()).select(
-        "idx",
-        F.transform(ys, lambda y: F.coalesce(F.element_at("by_class", y), F.lit(0))).alias("row"),
-    )
-    packed = rows.agg(
-        F.map_from_entries(F.collect_list(F.struct("idx", "row"))).alias("m"),
-        F.max("idx").alias("last"),
-    )
-    return packed.select(
-        F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.element_at("m", i))
-    ).scalar()
-
-
 def score_by_lookup(df: DataFrame, model: NaiveBayes) -> DataFrame:
-    """Adds ``scores`` (per class, in y order) inside the scan of ``df``, without a shuffle."""
-    both = df.withColumn("_classes", _class_list(model)).withColumn("_cells", _cell_table(model))
-    start = F.transform(
-        F.col("_classes"), lambda c: c["prior"] + F.size("ids").cast("long") * c["base"]
-    )
+    """Adds ``scores`` (per class, in y order) inside the scan of ``df``, without a shuffle.
 
-    def add(total: Column, word: Column) -> Column:
-        row = F.get(F.col("_cells"), word)
-        return F.when(row.isNull(), total).otherwise(F.zip_with(total, row, lambda a, b: a + b))
-
-    return both.withColumn("scores", F.aggregate("ids", start, add)).drop("_classes", "_cells")
+    For a model of bounded size, which is sent to the tasks once. A batch of rows is one
+    gather and one running sum; exploding words x classes into a shuffle would move many
+    times more data.
+    """
+    classes = model.classes.orderBy("y").collect()
+    cells = model.cells.toArrow()
+    idx = cells["idx"].to_numpy()
+    table = np.zeros((int(idx.max(initial=0)) + 2, len(classes)), dtype=np.int64)
+    table[idx, cells["y"].to_numpy()] = cells["delta"].to_numpy()
+    prior = np.array([c["prior"] for c in classes], dtype=np.int64)
+    base = np.array([c["base"] for c in classes], dtype=np.int64)
+    shared = df.sparkSession.sparkContext.broadcast((table, prior, base))
+
+    @F.arrow_udf("array<bigint>")
+    def scores(ids: pa.Array) -> pa.Array:
+        table, prior, base = shared.value
+        sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        # Words beyond the table were never seen in training: its last row is zero.
+        words = np.minimum(ids.flatten().to_numpy(zero_copy_only=False), len(table) - 1)
+        sums = np.zeros((len(words) + 1, table.shape[1]), dtype=np.int64)
+        np.cumsum(table[words], axis=0, out=sums[1:])
+        ends = np.cumsum(sizes)
+        out = prior + sizes[:, None] * base + sums[ends] - sums[ends - sizes]
+        offsets = np.arange(0, out.size + 1, table.shape[1], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
+
+    # The mark keeps it a step of its own; Spark cannot run it inside an array expression.
+    return df.withColumn("scores", scores.asNondeterministic()("ids"))
 
 
 def score_by_join(df: DataFrame, model: NaiveBayes, doc: str) -> DataFrame:
     """Adds ``scores`` by joining words with the cells, for a model of any size."""
     words = df.select(doc, F.explode("ids").alias("idx"))
     counted = words.groupBy(doc, "idx").agg(F.count(F.lit(1)).alias("n"))
-    hits = counted.join(broadcast_if_small(model.cells), "idx")
+    hits = counted.join(model.cells, "idx")
     sums = hits.groupBy(doc, "y").agg(F.sum(F.col("n") * F.col("delta")).alias("s"))
     by_doc = sums.groupBy(doc).agg(
         F.map_from_entries(F.collect_list(F.struct("y", "s"))).alias("_sums")

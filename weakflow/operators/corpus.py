@@ -203,7 +203,7 @@ class Corpus:
         """Text of a stored sample of ``keys``. A small sample is broadcast to the CVE scan, so
         the wide table is not shuffled at all."""
         texts = self.cve.select("cve_id", "summary")
-        return texts.join(broadcast_if_small(sample), "cve_id").withColumn("text", corpus_text())
+        return texts.join(sample, "cve_id").withColumn("text", corpus_text())
 
     def label_counts(self, count_by: str = "row") -> DataFrame:
         """(cwe_name, n) over corpus rows, or over CVEs with ``count_by='cve'``."""

@@ -1,12 +1,12 @@
 """Label counts, dictionaries, encoding, rare-class filtering and class weights.
 
-Windows here run over label tables (one row per class), never over data rows.
+Windows here run over label tables (one row per class), never over data rows. Pass stored
+dictionaries: their true size lets the optimizer broadcast them, or shuffle a very large one.
 """
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weakflow.operators.joins import broadcast_if_small
 from weakflow.sources.staging import stage
 
 
@@ -24,15 +24,15 @@ def label_dictionary(labels: DataFrame, label: str) -> DataFrame:
 def label_encode(df: DataFrame, dictionary: DataFrame, label: str, index: str = "y") -> DataFrame:
     """Adds the class index; rows whose label is not in the dictionary are dropped."""
     names = dictionary.select(F.col("label").alias(label), F.col("idx").alias(index))
-    return df.join(broadcast_if_small(names), label)
+    return df.join(names, label)
 
 
 def drop_rare_labels(df: DataFrame, label: str, min_samples: int = 2) -> tuple[DataFrame, DataFrame]:
     """Rows of labels with at least ``min_samples`` rows, re-numbered, and the final dictionary."""
     counts = stage(label_counts(df, label), "label-counts")
     kept = counts.filter((F.col("n") >= min_samples) & F.col(label).isNotNull())
-    rows = df.join(broadcast_if_small(kept.select(label)), label, "left_semi")
-    dictionary = label_dictionary(kept, label)
+    rows = df.join(kept.select(label), label, "left_semi")
+    dictionary = stage(label_dictionary(kept, label), "dictionary")
     return label_encode(rows, dictionary, label), dictionary
 
 

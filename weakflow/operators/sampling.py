@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weakflow.functions.hashing import below, row_hash
-from weakflow.operators.joins import broadcast_if_small
 from weakflow.sources.staging import stage
 
 _BITS = 16  # a histogram has at most 2**16 hash prefixes (per class)
@@ -35,8 +34,12 @@ def label_fractions(counts: DataFrame, min_rows: int | None = None) -> DataFrame
 def sample_stratified(
     df: DataFrame, fractions: DataFrame, key: Column, label: str = "cwe_name", seed: int = 42
 ) -> DataFrame:
-    """Bernoulli sample with a fraction per label; labels without a fraction give no rows."""
-    shares = broadcast_if_small(fractions.select(label, F.col("fraction").alias("_fraction")))
+    """Bernoulli sample with a fraction per label; labels without a fraction give no rows.
+
+    Fractions from a stored table have a known size: a small one is broadcast, so the rows
+    are not shuffled by label.
+    """
+    shares = fractions.select(label, F.col("fraction").alias("_fraction"))
     joined = df.join(shares, label)
     return joined.filter(below(row_hash(key, seed), F.col("_fraction"))).select(*df.columns)
 
@@ -83,20 +86,20 @@ def mark_lowest(
     ``quotas`` is (group, quota). Per group, a histogram finds the prefix that holds the
     quota-th row, and only the rows of that one prefix are ranked. Every row is then
     compared with its group's threshold, so a large group is never gathered in one task.
-    ``df`` is read three times: pass a stored table.
+    ``df`` is read three times: pass a stored table. The thresholds are stored, so that their
+    size (one row per group) decides whether they are broadcast.
     """
     hashed = _hashed(df, key, seed)
-    quotas = broadcast_if_small(quotas.select(group, "quota"))
     upto = F.sum("n").over(Window.partitionBy(group).orderBy("_prefix"))
     edges = (
         hashed.groupBy(group, "_prefix")
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("upto", upto)
-        .join(quotas, group)
+        .join(quotas.select(group, "quota"), group)
         .filter((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
         .select(group, "_prefix", (F.col("quota") - F.col("upto") + F.col("n")).alias("_need"))
     )
-    edges = broadcast_if_small(stage(edges, "edges"))
+    edges = stage(edges, "edges")
     rank = F.row_number().over(Window.partitionBy(group, "_prefix").orderBy("_hash", "_key"))
     cuts = (
         hashed.select(group, "_prefix", "_hash", "_key")
@@ -105,7 +108,7 @@ def mark_lowest(
         .filter(F.col("_rank") == F.col("_need"))
         .select(group, F.col("_hash").alias("_cut_hash"), F.col("_key").alias("_cut_key"))
     )
-    cuts = broadcast_if_small(stage(cuts, "cuts"))
+    cuts = stage(cuts, "cuts")
     low = (F.col("_hash") < F.col("_cut_hash")) | (
         (F.col("_hash") == F.col("_cut_hash")) & (F.col("_key") <= F.col("_cut_key"))
     )
@@ -121,7 +124,7 @@ def split_rows_exact(
     quotas = whole.groupBy("_all").agg(
         F.floor(F.count(F.lit(1)) * F.lit(train)).cast("long").alias("quota")
     )
-    marked = mark_lowest(whole, stage(quotas, "quota"), "_all", key, "_train", seed)
+    marked = mark_lowest(whole, quotas, "_all", key, "_train", seed)
     return marked.withColumn("part", F.when(F.col("_train"), "train").otherwise("test")).drop(
         "_all", "_train"
     )
@@ -137,12 +140,12 @@ def class_quotas(counts: DataFrame, label: str, test_percent: int = 20) -> DataF
         "_test", F.floor((F.col("_all") * test_percent + 99) / 100).cast("long")
     )
     # Decimals keep the products exact for any row count.
-    product = (F.col("_test").cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)"))
-    shared = sized.withColumn("_base", F.expr("0L")).withColumn("_product", product)
-    shared = shared.withColumn("_rest", F.col("_product") % F.col("_all").cast("decimal(19,0)"))
+    every = F.col("_all").cast("decimal(19,0)")
+    product = F.col("_test").cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)")
+    rest = F.col("_product") % every
+    shared = sized.withColumn("_product", product).withColumn("_rest", rest)
     shared = shared.withColumn(
-        "_base",
-        ((F.col("_product") - F.col("_rest")) / F.col("_all").cast("decimal(19,0)")).cast("long"),
+        "_base", ((F.col("_product") - F.col("_rest")) / every).cast("long")
     )
     missing = F.col("_test") - F.sum("_base").over(Window.partitionBy())
     rank = F.row_number().over(Window.orderBy(F.desc("_rest"), label))
@@ -158,7 +161,7 @@ def split_stratified(
 ) -> DataFrame:
     """Adds ``part`` with the same share of test rows in every class (exact sizes)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    quotas = stage(class_quotas(counts, label, test_percent), "quotas")
+    quotas = class_quotas(counts, label, test_percent)
     marked = mark_lowest(df, quotas, label, key, "_test", seed)
     return marked.withColumn("part", F.when(F.col("_test"), "test").otherwise("train")).drop("_test")
 

@@ -1,14 +1,15 @@
 """Vocabulary building and sequence encoding."""
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weakflow.functions.text import pad_post
-from weakflow.operators.joins import broadcast_if_small
 
 OOV = 1  # index of unknown words; 0 is padding; words start at 2
 MAX_LOOKUP_WORDS = 100_000
-_SLOTS = 4096
 
 
 def drop_empty_sequences(df: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -43,34 +44,29 @@ def vocabulary(counts: DataFrame, num_words: int = 10_000) -> DataFrame:
     return top.select("word", "n", idx.cast("int").alias("idx"))
 
 
-def _lookup_table(vocab: DataFrame) -> Column:
-    """The vocabulary as one value: an array of small maps, addressed by the word's hash."""
-    slot = F.pmod(F.xxhash64("word"), F.lit(_SLOTS)).cast("int")
-    slots = vocab.groupBy(slot.alias("slot")).agg(
-        F.map_from_entries(F.collect_list(F.struct("word", "idx"))).alias("words")
-    )
-    by_slot = slots.agg(F.map_from_entries(F.collect_list(F.struct("slot", "words"))).alias("m"))
-    return by_slot.select(
-        F.transform(F.sequence(F.lit(0), F.lit(_SLOTS - 1)), lambda i: F.element_at("m", i))
-    ).scalar()
-
-
 def encode_by_lookup(
     df: DataFrame, vocab: DataFrame, tokens: str = "tokens", max_len: int = 300
 ) -> DataFrame:
     """Adds ``ids`` inside the scan of ``df``, without a shuffle.
 
-    For a vocabulary of bounded size, which every task holds as a constant.
+    For a vocabulary of bounded size, which is sent to the tasks once. Arrow looks up a
+    whole batch of tokens in one call; joining would shuffle every token of every row.
     """
-    table = F.col("_lookup")
+    listed = vocab.select("word", "idx").toArrow()
+    shared = df.sparkSession.sparkContext.broadcast((listed["word"], listed["idx"].to_numpy()))
 
-    def index_of(word: Column) -> Column:
-        slot = F.pmod(F.xxhash64(word), F.lit(_SLOTS)).cast("int")
-        return F.coalesce(F.element_at(F.get(table, slot), word), F.lit(OOV))
+    @F.arrow_udf("array<int>")
+    def index_of(words: pa.Array) -> pa.Array:
+        known, indexes = shared.value
+        # The place after the last known word stands for all unknown ones.
+        places = pc.fill_null(pc.index_in(words.flatten(), value_set=known), len(known))
+        ids = np.append(indexes, OOV).astype(np.int32)[places.to_numpy(zero_copy_only=False)]
+        sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+        offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
 
-    head = F.slice(tokens, 1, max_len)
-    looked_up = df.withColumn("_lookup", _lookup_table(vocab))
-    return looked_up.withColumn("ids", F.transform(head, index_of)).drop("_lookup")
+    # The mark keeps it a step of its own; Spark cannot run it inside an array expression.
+    return df.withColumn("ids", index_of.asNondeterministic()(F.slice(tokens, 1, max_len)))
 
 
 def encode_by_join(
@@ -81,7 +77,7 @@ def encode_by_join(
     A row has at most ``max_len`` tokens, so the regrouped arrays stay small.
     """
     at = df.select(doc, F.posexplode(F.slice(tokens, 1, max_len)).alias("_pos", "word"))
-    found = at.join(broadcast_if_small(vocab.select("word", "idx")), "word", "left")
+    found = at.join(vocab.select("word", "idx"), "word", "left")
     entry = F.struct("_pos", F.coalesce("idx", F.lit(OOV)).alias("idx"))
     ids = found.groupBy(doc).agg(
         F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["idx"]).alias("ids")

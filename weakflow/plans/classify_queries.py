@@ -144,7 +144,7 @@ def _trained(spark: SparkSession, sf_dir: str) -> _Trained:
     vocab, dictionary, rows = _split(spark, sf_dir)
     rows = stage(rows, "split")
     train = rows.filter(F.col("part") == "train")
-    weights = stage(labels.class_weights(labels.label_counts(train, "label"), "label"), "weights")
+    weights = labels.class_weights(labels.label_counts(train, "label"), "label")
     model = classify.store(classify.train_naive_bayes(train, dictionary, weights=weights))
     return _Trained(vocab, dictionary, rows, weights, model)
 
