@@ -7,6 +7,8 @@ as SQL common table expressions, so that both sides of a check are written separ
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weakflow.sources.tables import spread_small
+
 # Class names for documents by language (public CWE names, with their leading space).
 CLASS_OF_LANG = {
     "en": " Improper Neutralization of Special Elements used in an SQL Command ('SQL Injection')",
@@ -120,7 +122,8 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     label: Column = F.lit(None).cast("string")
     for lang, name in CLASS_OF_LANG.items():
         label = F.when(F.col("lang") == lang, name).otherwise(label)
-    return table(spark, sf_dir, "documents").select("doc_id", "text", label.alias("label"))
+    documents = spread_small(table(spark, sf_dir, "documents"))
+    return documents.select("doc_id", "text", label.alias("label"))
 
 
 def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +145,7 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             header(url.like("https://m.%"), "strict-transport-security", "max-age=1"),
         )
     )
-    return table(spark, sf_dir, "pages").select(
+    return spread_small(table(spark, sf_dir, "pages")).select(
         "page_id",
         "url",
         F.concat("html", extra).alias("html"),
