@@ -17,7 +17,7 @@ def test_tokenize_matches_python(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     got = [r.t for r in df.select(tokenize(F.col("text")).alias("t")).collect()]
     assert got == [python_tokens(t) for t in texts]
-    kept = tokens.drop_empty_sequences(df.select(tokenize(F.col("text")).alias("tokens")))
+    kept = tokens.drop_empty_sequences(df.select(tokenize(F.col("text")).alias("tokens")), "tokens")
     assert kept.count() == 3
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weakflow.functions.text import pad_post
@@ -12,17 +12,24 @@ OOV = 1  # index of unknown words; 0 is padding; words start at 2
 MAX_LOOKUP_WORDS = 100_000
 
 
-def drop_empty_sequences(df: DataFrame, tokens: str = "tokens") -> DataFrame:
+def drop_empty_sequences(df: DataFrame, tokens: str = "ids") -> DataFrame:
     return df.filter(F.size(tokens) > 0)
 
 
+def _exploded(df: DataFrame, doc: str, tokens: Column) -> DataFrame:
+    """(doc, _pos, word). The outer form keeps Spark from testing the array for emptiness
+    first, which would tokenize each text again."""
+    words = df.select(doc, F.posexplode_outer(tokens).alias("_pos", "word"))
+    return words.filter(F.col("word").isNotNull())
+
+
 def word_counts(df: DataFrame, doc: str, tokens: str = "tokens") -> DataFrame:
     """(word, n, first_doc, first_pos): frequency and first appearance in document order.
 
     Document and position are packed into one decimal, which a hash aggregate can keep
     as a running minimum; frequent words are combined before the shuffle.
     """
-    word_at = df.select(F.col(doc).alias("_doc"), F.posexplode(tokens).alias("_pos", "word"))
+    word_at = _exploded(df.withColumnRenamed(doc, "_doc"), "_doc", F.col(tokens))
     packed = F.col("_doc").cast("decimal(20,0)") * (1 << 32) + F.col("_pos")
     span = F.lit(1 << 32).cast("decimal(20,0)")
     counted = word_at.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(packed).alias("_first"))
@@ -76,7 +83,7 @@ def encode_by_join(
 
     A row has at most ``max_len`` tokens, so the regrouped arrays stay small.
     """
-    at = df.select(doc, F.posexplode(F.slice(tokens, 1, max_len)).alias("_pos", "word"))
+    at = _exploded(df, doc, F.slice(tokens, 1, max_len))
     found = at.join(vocab.select("word", "idx"), "word", "left")
     entry = F.struct("_pos", F.coalesce("idx", F.lit(OOV)).alias("idx"))
     ids = found.groupBy(doc).agg(

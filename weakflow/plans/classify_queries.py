@@ -117,8 +117,8 @@ def _vocabulary(tokenized: DataFrame) -> DataFrame:
 
 
 def _encoded(tokenized: DataFrame, vocab: DataFrame) -> DataFrame:
-    rows = tokens.drop_empty_sequences(tokenized)
-    return tokens.encode_sequences(rows, vocab, "doc_id").drop("tokens")
+    encoded = tokens.encode_sequences(tokenized, vocab, "doc_id").drop("tokens")
+    return tokens.drop_empty_sequences(encoded)
 
 
 @dataclass(frozen=True)
@@ -188,7 +188,7 @@ def drop_empty_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations that hold letters, and how many were dropped."""
     letters = F.regexp_replace("text", "[^a-zA-Z]+", " ")
     rows = fx.table(spark, sf_dir, "conversations").select(tokenize(letters).alias("tokens"))
-    kept = tokens.drop_empty_sequences(rows).agg(F.count(F.lit(1)))
+    kept = tokens.drop_empty_sequences(rows, "tokens").agg(F.count(F.lit(1)))
     return rows.agg(F.count(F.lit(1)).alias("n_docs")).select(
         "n_docs",
         (F.col("n_docs") - kept.scalar()).alias("n_dropped"),
