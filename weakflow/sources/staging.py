@@ -4,21 +4,18 @@ A staged table cuts lineage, survives the loss of executors, and has a true
 size that the optimizer can use to choose between a broadcast and a shuffle.
 """
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """The folder named by ``spark.checkpoint.dir``, or else one inside the warehouse, which a
+    cluster shares as well."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weakflow-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
+    return folder.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
