@@ -3,7 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weakflow.llm import op5_urls, op10_sharding
+import public_tokenizers
+
+from weakflow.llm import op2_decontamination, op3_token_blocks, op4_warc, op5_urls, op6_packing, op8_quality, op10_sharding
 from weakflow.plans.registry import Registry
 
 registry = Registry()
@@ -13,6 +15,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@registry.add(
+    "op2_decontamination",
+    """
+    WITH d AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+    b AS (
+      SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+    wanted AS (
+      SELECT DISTINCT item_id, least(13, len(w)) AS size, array_to_string(w[i : i + 12], ' ') AS phrase
+      FROM b, unnest(range(1, greatest(len(w) - 11, 2))) AS t(i) WHERE len(w) > 0),
+    sizes AS (SELECT DISTINCT size FROM wanted),
+    seen AS (
+      SELECT doc_id, i, size, array_to_string(w[i : i + size - 1], ' ') AS phrase
+      FROM d, sizes, unnest(range(1, len(w) - size + 2)) AS t(i)),
+    found AS (SELECT s.doc_id, s.i, s.size, x.item_id FROM seen s JOIN wanted x USING (size, phrase)),
+    hit AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM found, unnest(range(size)) AS t(j) GROUP BY doc_id),
+    items AS (SELECT doc_id, list_sort(list(DISTINCT item_id)) AS ids FROM found GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+      CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
+      sha256(array_to_string(coalesce(ids, []), ',')) AS items_sha256,
+      coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+    FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
+)
+def op2_decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return op2_decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
+
+
+@registry.add("op3_token_blocks")
+def op3_token_blocks_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = op3_token_blocks.write_parts(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return op3_token_blocks.read_documents(spark, path)
+
+
+@registry.add(
+    "op4_warc",
+    """
+    WITH p AS (
+      SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
+        sha1(coalesce(html, '')) AS payload_digest FROM pages),
+    g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p)
+    SELECT page_id, payload_bytes, payload_digest,
+      CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to, 'ok' AS status
+    FROM g
+    """,
+)
+def op4_warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = op4_warc.write_archive(table(spark, sf_dir, "pages"))
+    return op4_warc.read_archive(spark, path)
+
+
 # The rules of the URL filter.
 URL_RULES = [
     op5_urls.Rule("allow", "org", "/"),
@@ -36,6 +95,18 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_urls.judge(pages, URL_RULES, model).select("page_id", "host", "path", "rule", "verdict", "p_bad")
 
 
+@registry.add("op6_packing")
+def op6_packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = docs.select("doc_id", op6_packing.token_count("text").alias("length"))
+    return op6_packing.pack(counted, F.col("length")).drop("length")
+
+
+@registry.add("op8_quality")
+def op8_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_quality.score(table(spark, sf_dir, "documents"))
+
+
 @registry.add("op10_sharding")
 def op10_sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = op10_sharding.interleave(table(spark, sf_dir, "documents"))
