@@ -16,6 +16,8 @@ rows. An empty table gives no rows. Columns with clashing names are not touched:
 has only the named columns, or (``judge``) the input columns with one struct added.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ from weakflow.sources.staging import stage
 
 MIN_WORDS, MIN_CHARS = 100, 200
 MAX_CHAR_DISTANCE = 0.30
-MAX_WORD_DISTANCE = 0.35
+MAX_WORD_DISTANCE = 0.30
 BASE_MIN_WORDS = 50
 BASE_REPEAT_PERCENT = 50
 
@@ -43,6 +45,10 @@ def _array_sum(a: Column, zero: str = "long") -> Column:
     return F.aggregate(a, F.lit(0).cast(zero), lambda s, x: s + x)
 
 
+def _in(listed: list[str]) -> Callable[[Column], Column]:
+    return lambda x: x.isin(*listed)
+
+
 def _profile(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     """(key, lang, base counts, chars, words): one row per row of ``df``.
 
@@ -58,8 +64,7 @@ def _profile(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     step = step.select("doc_id", "lang", "text", words.alias("w"), lines.alias("lines"))
     common = F.array().cast("array<string>")
     for name, listed in COMMON_WORDS.items():
-        own = F.filter("w", lambda x, listed=listed: x.isin(*listed))
-        common = F.when(F.col("lang") == name, own).otherwise(common)
+        common = F.when(F.col("lang") == name, F.filter("w", _in(listed))).otherwise(common)
     step = step.select(
         "doc_id",
         "lang",

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from weakflow.llm import op2_decontamination, op3_token_blocks, op4_warc, op5_urls, op6_packing, op8_quality, op10_sharding
+from weakflow.llm import op2_decontamination, op3_token_blocks, op4_warc, op5_urls, op6_packing, op7_toxicity, op8_quality, op10_sharding
 from weakflow.plans.registry import Registry
 
 registry = Registry()
@@ -102,6 +102,18 @@ def op6_packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_packing.pack(counted, F.col("length")).drop("length")
 
 
+@registry.add("op7_toxicity")
+def op7_toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    grammar = op7_toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return op7_toxicity.score(docs, grammar).select(
+        "doc_id",
+        op7_toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= op7_toxicity.BLOCK_FROM).cast("int").alias("predicted"),
+    )
+
+
 @registry.add("op8_quality")
 def op8_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_quality.score(table(spark, sf_dir, "documents"))
