@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from weakflow.llm import op2_decontamination, op3_token_blocks, op4_warc, op5_urls, op6_packing, op7_toxicity, op8_quality, op10_sharding
+from weakflow.llm import op2_decontamination, op3_token_blocks, op4_warc, op5_urls, op6_packing, op7_toxicity, op8_quality, op9_jaccard, op10_sharding
 from weakflow.plans.registry import Registry
 
 registry = Registry()
@@ -119,6 +119,11 @@ def op8_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_quality.score(table(spark, sf_dir, "documents"))
 
 
+@registry.add("op9_jaccard_join")
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_jaccard.join(table(spark, sf_dir, "documents"))
+
+
 @registry.add("op10_sharding")
 def op10_sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = op10_sharding.interleave(table(spark, sf_dir, "documents"))
