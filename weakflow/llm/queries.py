@@ -5,7 +5,18 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from weakflow.llm import op2_decontamination, op3_token_blocks, op4_warc, op5_urls, op6_packing, op7_toxicity, op8_quality, op9_jaccard, op10_sharding
+from weakflow.llm import (
+    op1_lm,
+    op2_decontamination,
+    op3_token_blocks,
+    op4_warc,
+    op5_urls,
+    op6_packing,
+    op7_toxicity,
+    op8_quality,
+    op9_jaccard,
+    op10_sharding,
+)
 from weakflow.plans.registry import Registry
 
 registry = Registry()
@@ -15,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@registry.add("op1_lm_scoring")
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_lm.language_model(table(spark, sf_dir, "documents"))
+
+
 @registry.add(
     "op2_decontamination",
     """
