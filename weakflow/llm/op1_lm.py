@@ -185,7 +185,7 @@ class Model:
             at += a.size
 
     def hidden(self, contexts: np.ndarray) -> np.ndarray:
-        tables = np.einsum("vd,jde->jve", self.R, self.C)
+        tables = self.R @ self.C
         out = tables[0][contexts[:, 0]]
         for j in range(1, CONTEXT):
             out += tables[j][contexts[:, j]]
@@ -193,7 +193,7 @@ class Model:
 
     def log10_probabilities(self, contexts: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Normalised log probabilities of the symbols, by a matrix product per batch."""
-        tables = np.einsum("vd,jde->jve", self.R, self.C)
+        tables = self.R @ self.C
         share = np.log10(1 - UNIGRAM_SHARE)
         out = np.empty(len(symbols))
         for lo in range(0, len(symbols), BATCH):
@@ -213,6 +213,17 @@ class Model:
         return out
 
 
+def _sums_by_symbol(symbols: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """The rows summed over equal symbols (of which there are fewer than 256)."""
+    small = symbols.astype(np.uint8)
+    order = np.argsort(small, kind="stable")
+    ordered = small[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    out = np.zeros((size, rows.shape[1]), dtype=np.float32)
+    out[ordered[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
 class Trainer:
     """AdaGrad on the NCE objective."""
 
@@ -227,34 +238,24 @@ class Trainer:
         self.model.arrays()[i][...] += RATE * grad / np.sqrt(self.squares[i])
 
     def step(self, contexts: np.ndarray, symbols: np.ndarray) -> None:
-        m, n = self.model, len(symbols)
-        vectors = [m.R[contexts[:, j]] for j in range(CONTEXT)]
-        h = vectors[0] @ m.C[0]
-        for j in range(1, CONTEXT):
-            h += vectors[j] @ m.C[j]
+        """One gradient step. What depends on a symbol only is computed once per symbol: the
+        contexts' share of the hidden vectors, and the sums of gradients over equal symbols."""
+        m = self.model
+        h = m.hidden(contexts)
         noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE)), len(self.cumulative) - 1)
         q = m.Q[symbols]
         real = np.einsum("nd,nd->n", h, q) + m.b[symbols] - self.offset[symbols]
         made = h @ m.Q[noise].T + (m.b[noise] - self.offset[noise])
-        up = 1 / (1 + np.exp(np.clip(real, -30, 30)))  # 1 - P(data)
-        down = -1 / (1 + np.exp(-np.clip(made, -30, 30)))
-        up, down = up.astype(np.float32), down.astype(np.float32)
-        # Gradients of outputs: sums over equal symbols are one product with a sparse one-hot.
-        v = len(m.b)
-        hot = np.zeros((v, n), dtype=np.float32)
-        hot[symbols, np.arange(n)] = up
-        grad_q = hot @ h
-        grad_b = hot.sum(axis=1)
+        up = (1 / (1 + np.exp(np.clip(real, -30, 30)))).astype(np.float32)  # 1 - P(data)
+        down = (-1 / (1 + np.exp(-np.clip(made, -30, 30)))).astype(np.float32)
+        grad_q = _sums_by_symbol(symbols, up[:, None] * h, len(m.Q))
+        grad_b = np.bincount(symbols, weights=up, minlength=len(m.b)).astype(np.float32)
         np.add.at(grad_q, noise, down.T @ h)
         np.add.at(grad_b, noise, down.sum(axis=0))
         grad_h = up[:, None] * q + down @ m.Q[noise]
-        grad_c = np.stack([x.T @ grad_h for x in vectors])
-        grad_r = np.zeros_like(m.R)
-        place = np.arange(n)
-        for j in range(CONTEXT):
-            seen = np.zeros((v + 1, n), dtype=np.float32)
-            seen[contexts[:, j], place] = 1
-            grad_r += seen @ (grad_h @ m.C[j].T)
+        per_context = np.stack([_sums_by_symbol(contexts[:, j], grad_h, len(m.R)) for j in range(CONTEXT)])
+        grad_c = m.R.T @ per_context
+        grad_r = (per_context @ m.C.transpose(0, 2, 1)).sum(axis=0)
         for i, g in enumerate((grad_r, grad_c, grad_q, grad_b)):
             self._update(i, g)
 
