@@ -24,7 +24,7 @@ def tiny(spark):
 def test_naive_bayes_matches_python(tiny):
     rows, df, dictionary = tiny
     model = classify.store(classify.train_naive_bayes(df, dictionary, num_words=5))
-    got = {r.doc_id: r.scores for r in classify.score(df, model, "doc_id").collect()}
+    got = {r.doc_id: [s.score for s in r.scores] for r in classify.score(df, model).collect()}
     for doc, _, ids in rows:
         for y in range(3):
             mine = [r for r in rows if r[1] == y]
@@ -37,22 +37,50 @@ def test_naive_bayes_matches_python(tiny):
 
 
 def test_both_ways_of_scoring_agree(spark, tiny):
-    _, df, dictionary = tiny
-    weights = spark.createDataFrame(
-        [(" A", 0.5), (" B", 2.0), (" C", 1.0), (" never seen", 1.0)], "label string, weight double"
-    )
+    """Also for repeated and NULL ids, NULL and empty texts, and classes without rows or weight."""
+    _, df, _ = tiny
+    weights = spark.createDataFrame([(" A", 0.5), (" B", 2.0)], "label string, weight double")
+    names = [(" A", 0), (" AA", 4), (" B", 1), (" C", 2), (" never seen", 7)]  # gaps in the index
+    dictionary = spark.createDataFrame(names, "label string, idx int")
     model = classify.store(classify.train_naive_bayes(df, dictionary, 5, weights=weights))
     more = df.union(
-        spark.createDataFrame([(9, 0, []), (10, 0, [77, 1]), (11, 0, None)], df.schema)
-    ).filter("ids IS NOT NULL")
+        spark.createDataFrame([(9, 0, []), (10, 0, [77, 1]), (11, 0, None), (10, 1, [3]), (None, 1, [3])], df.schema)
+    )
     a = classify.score_by_lookup(more, model).select("doc_id", "scores")
-    b = classify.score_by_join(more, model, "doc_id").select("doc_id", "scores")
+    b = classify.score_by_join(more, model).select("doc_id", "scores")
     assert bag(a) == bag(b)
+    assert all([s.y for s in r.scores] == [0, 1, 2, 4, 7] for r in a.collect())
+
+
+def test_classes_without_training_rows_keep_their_index(spark):
+    rows = [(i, y, [2 + y] * 4) for i, y in enumerate([0, 0, 2, 2, 4, 4])]
+    df = spark.createDataFrame(rows, "doc_id long, y int, ids array<int>")
+    names = [(f" L{y}", y) for y in range(6)]  # 1, 3 and the last have no rows
+    dictionary = spark.createDataFrame(names, "label string, idx int")
+    weights = spark.createDataFrame([(" L0", 1.0), (" L2", 1.0), (" L4", 1.0)], "label string, weight double")
+    model = classify.store(classify.train_naive_bayes(df, dictionary, 8, weights=weights))
+    for scored in (classify.score_by_lookup(df, model), classify.score_by_join(df, model)):
+        predicted = classify.predict(classify.probabilities(scored), dictionary)
+        assert all(r.y_pred == r.y and r.label == f"L{r.y}" for r in predicted.collect())
+        assert classify.log_loss(predicted).first().log_loss < 1
+
+
+def test_scoring_memory_is_bounded(spark):
+    """67 classes and a batch of 10,000 rows; the sums of one batch would take 1.6 GB at once."""
+    classes = spark.range(67).selectExpr("CAST(id AS INT) AS y", "concat('c', id) AS label", "0L AS prior", "-1L AS base")
+    cells = spark.range(67).selectExpr("CAST(id AS INT) AS y", "CAST(id + 2 AS INT) AS idx", "1000L AS delta")
+    model = classify.store(classify.NaiveBayes(classes, cells))
+    df = spark.range(10_000, numPartitions=1).selectExpr("id", "transform(sequence(1, 300), i -> CAST(id % 67 + 2 AS INT)) AS ids")
+    best = F.expr("array_max(transform(scores, s -> struct(s.score, s.y)))")
+    scored = classify.score(df, model).select("id", best.alias("best"))
+    wrong = scored.filter("best.y <> id % 67 OR best.score <> 300 * 999")
+    assert wrong.isEmpty()
 
 
 def test_predictions_break_ties_by_index_and_name_unknown_classes(spark):
     df = spark.createDataFrame(
-        [(1, [5, 9, 9, 1], [1]), (2, [3], [1])], "doc_id long, scores array<long>, ids array<int>"
+        [(1, [(0, 5), (1, 9), (2, 9), (3, 1)], [1]), (2, [(0, 3)], [1])],
+        "doc_id long, scores array<struct<y:int,score:long>>, ids array<int>",
     )
     names = spark.createDataFrame([(" A", 0), (" B", 1)], "label string, idx int")
     got = {r.doc_id: r for r in classify.predict(classify.probabilities(df), names).collect()}
@@ -89,23 +117,27 @@ def test_feature_text_and_recommendations(spark):
 @pytest.fixture(scope="module")
 def trained(spark):
     docs = fx.labelled_documents(spark, SF).withColumn("tokens", tokenize(F.col("text")))
-    vocab = stage(tokens.vocabulary(tokens.word_counts(docs, "doc_id"), 500))
+    vocab = stage(tokens.vocabulary(tokens.word_counts(docs, "doc_id")))
     names = docs.select("label").distinct().orderBy("label").collect()
     dictionary = spark.createDataFrame(
         [(r.label, i) for i, r in enumerate(names)], "label string, idx int"
     )
     coded = docs.join(dictionary.withColumnRenamed("idx", "y"), "label")
-    encoded = tokens.encode_sequences(coded, vocab, "doc_id")
+    encoded = tokens.encode_sequences(coded, vocab, num_words=500)
     model = classify.store(classify.train_naive_bayes(encoded, dictionary, 500))
     return vocab, dictionary, model, encoded
 
 
-def test_training_separates_the_languages(trained):
+def test_training_separates_the_classes(trained):
     _, dictionary, model, encoded = trained
-    scored = classify.probabilities(classify.score(encoded.drop("label"), model, "doc_id"))
+    scored = classify.probabilities(classify.score(encoded.drop("label"), model))
     predicted = classify.predict(scored, dictionary)
-    assert classify.accuracy(predicted).first().accuracy > 0.9
-    assert classify.log_loss(predicted).first().log_loss < 1
+    # A tenth of the labels follow the source, not the text, so some predictions must be wrong;
+    # saturated scores then cost much, and the tempered ones of the queries little.
+    assert 0.75 < classify.accuracy(predicted).first().accuracy < 1
+    tempered = classify.log_loss(classify.probabilities(scored.drop("probs"), "length")).first().log_loss
+    assert tempered < math.log(6)  # the loss of a uniform guess among the six classes
+    assert tempered < classify.log_loss(predicted).first().log_loss
     assert classify.confusion(predicted).agg(F.sum("n")).first()[0] == encoded.count()
 
 
@@ -116,14 +148,14 @@ def test_artefacts_round_trip(spark, trained, tmp_path):
     assert bag(model2.cells) == bag(model.cells) and bag(vocab2) == bag(vocab)
     assert bag(model2.classes.select(*model.classes.columns)) == bag(model.classes)
     assert bag(names) == bag(dictionary.select(F.trim("label"), "idx"))
-    assert meta.first().num_classes == 4 and meta.first().max_len == 300
+    assert meta.first().num_classes == 6 and meta.first().max_len == 300
     lines = spark.createDataFrame([(" a: b ('c'):12",), ("no index",)], "value string")
     assert bag(artefacts.parse_label_lines(lines)) == [("a: b ('c')", 12)]
 
 
 def test_regression_round_trip(spark, trained, tmp_path):
     vocab, _, _, encoded = trained
-    counter, lr = classify.train_logistic_regression(encoded.withColumn("w", F.lit(1.0)), vocab, "w", 5)
+    counter, lr = classify.train_logistic_regression(encoded.withColumn("w", F.lit(1.0)), vocab, "w", 5, 500)
     artefacts.save_regression(counter, lr, str(tmp_path / "lr"))
     counter2, lr2 = artefacts.load_regression(str(tmp_path / "lr"))
     a = lr.transform(counter.transform(encoded)).select("doc_id", "prediction")
@@ -148,7 +180,8 @@ def test_stream_and_reports_equal_batch(spark, trained, tmp_path):
 
     reports.write_reports(batch, str(tmp_path / "reports"))
     main = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "reports/main"))
-    assert main.count() == site.count() and len(main.columns) == 13
+    # The twelve report columns, the domain, and the bucket of the folder.
+    assert main.count() == site.count() and len(main.columns) == 14
     n = batch.agg(F.sum(F.size("recommendations"))).first()[0]
     recs = spark.read.option("header", True).csv(str(tmp_path / "reports/recommendations"))
     assert recs.count() == n

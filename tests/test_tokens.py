@@ -31,10 +31,12 @@ def test_vocabulary_matches_python_on_all_documents(spark):
     order = sorted(counts, key=lambda w: (-counts[w], first[w]))
     df = docs.repartition(5).select("doc_id", tokenize(F.col("text")).alias("tokens"))
     counted = tokens.word_counts(df, "doc_id")
-    for size in (50, 10_000):
-        vocab = tokens.vocabulary(counted, size).orderBy("idx").collect()
-        assert [r.word for r in vocab] == order[: size - 2]
-        assert [r.idx for r in vocab] == list(range(2, len(vocab) + 2))
+    vocab = tokens.vocabulary(counted).orderBy("idx").collect()
+    assert [r.word for r in vocab] == order
+    assert [r.idx for r in vocab] == list(range(2, len(vocab) + 2))
+    named = df.withColumn("doc_id", F.format_string("d%09d", "doc_id"))
+    by_name = tokens.vocabulary(tokens.word_counts(named, "doc_id")).orderBy("idx").collect()
+    assert [r.word for r in by_name] == order
 
 
 def test_word_counts_order_holds_for_large_document_numbers(spark):
@@ -45,19 +47,20 @@ def test_word_counts_order_holds_for_large_document_numbers(spark):
     assert got == {"a": (2**62, 1), "b": (2**62 - 1, 1), "c": (2**62 - 1, 0), "z": (-5, 0)}
 
 
-def test_both_encodings_agree_and_pad_to_length(spark):
+def test_encoding_keeps_whole_texts_and_only_padding_cuts(spark):
     vocab = spark.createDataFrame(
-        [("the", 9, 2), ("x", 5, 3), ("y", 4, 4)], "word string, n long, idx int"
+        [("the", 9, 2), ("x", 5, 3), ("y", 4, 4), ("rare", 1, 5)], "word string, n long, idx int"
     )
-    rows = [(i, (["the", "x", "zzz", "y"] * 100)[:i]) for i in (0, 1, 299, 300, 301)]
+    words = (["the", "x", "zzz", "y", "rare"] * 100)[:]
+    rows = [(i, words[:i]) for i in (0, 1, 299, 300, 301)] + [(1, ["x"]), (None, ["y", "rare"]), (7, None)]
     df = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
-    lookup = tokens.encode_by_lookup(df, vocab)
-    joined = tokens.encode_by_join(df, vocab, "doc_id")
-    assert bag(lookup.select("doc_id", "ids")) == bag(joined.select("doc_id", "ids"))
-    by_doc = {r.doc_id: r for r in tokens.pad_sequences(lookup).collect()}
-    assert by_doc[301].ids[:5] == [2, 3, 1, 4, 2] and len(by_doc[301].ids) == 300
-    assert [len(r.padded) for r in by_doc.values()] == [300] * 5
-    assert by_doc[1].padded == [2] + [0] * 299 and by_doc[0].padded == [0] * 300
+    encoded = tokens.encode_sequences(df, vocab, num_words=5)
+    code = {"the": 2, "x": 3, "y": 4}
+    want = sorted(((d, [code.get(w, 1) for w in ws or []]) for d, ws in rows), key=repr)
+    assert bag(encoded.select("doc_id", "ids")) == want
+    by_doc = {r.doc_id: r.padded for r in tokens.pad_sequences(encoded.filter("doc_id > 1")).collect()}
+    assert all(len(p) == 300 for p in by_doc.values()) and by_doc[301][:4] == [2, 3, 1, 4]
+    assert by_doc[7] == [0] * 300 and by_doc[299][-1] == 0
 
 
 def test_one_hot(spark):

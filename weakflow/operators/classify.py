@@ -18,10 +18,13 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weakflow.operators.tokens import MAX_NUM_WORDS, NUM_WORDS
 from weakflow.sources.staging import stage
 
 SCALE = 1_000_000
-MAX_LOOKUP_CELLS = 5_000_000
+TABLE_BYTES = 256 << 20  # bound of the dense table (words x classes) that is sent to the tasks
+_GATHERED = 1 << 21  # numbers gathered at once while scoring
+MAX_CLASSES = 100_000  # bound of the label names that are held in one row
 NO_ROWS_PRIOR = -50 * SCALE  # log prior of a class without training rows
 
 
@@ -40,11 +43,13 @@ def _fixed(x: Column) -> Column:
 def train_naive_bayes(
     df: DataFrame,
     dictionary: DataFrame,
-    num_words: int = 10_000,
+    num_words: int = NUM_WORDS,
     alpha: float = 1.0,
     weights: DataFrame | None = None,
 ) -> NaiveBayes:
-    """Train on (y, ids). ``weights`` (label, weight) scales the counts of each class."""
+    """Train on (y, ids). ``weights`` (label, weight) scales the counts of each class; a class
+    without a weight has weight 1. Every class of the dictionary is in the model, also one
+    without training rows."""
     words = df.select("y", F.explode("ids").alias("idx"))
     counts = words.groupBy("y", "idx").agg(F.count(F.lit(1)).alias("n"))
     sizes = df.groupBy("y").agg(
@@ -61,7 +66,8 @@ def train_naive_bayes(
     if weights is None:
         sizes = sizes.withColumn("weight", F.lit(1.0))
     else:
-        sizes = sizes.join(weights.select(F.col("label"), "weight"), "label")
+        sizes = sizes.join(weights.select(F.col("label"), "weight"), "label", "left")
+        sizes = sizes.withColumn("weight", F.coalesce("weight", F.lit(1.0)))
     sizes = stage(sizes, "class-sizes")
     docs = sizes.agg(F.sum(F.col("docs") * F.col("weight"))).scalar()
     smoothed = F.col("tokens") * F.col("weight") + F.lit(alpha) * num_words
@@ -83,83 +89,107 @@ def store(model: NaiveBayes) -> NaiveBayes:
     return NaiveBayes(stage(model.classes, "nb-classes"), stage(model.cells, "nb-cells"))
 
 
-def _class_list(model: NaiveBayes) -> Column:
-    """All classes as one array of structs, ordered by y."""
-    entry = F.struct("y", "label", "prior", "base")
-    return model.classes.agg(F.sort_array(F.collect_list(entry))).scalar()
+def table_bytes(model: NaiveBayes) -> int:
+    """Bytes of the dense table of a stored model."""
+    words = model.cells.agg(F.coalesce(F.max("idx"), F.lit(0))).first()[0] + 2
+    return words * model.classes.count() * 8
 
 
 def score_by_lookup(df: DataFrame, model: NaiveBayes) -> DataFrame:
-    """Adds ``scores`` (per class, in y order) inside the scan of ``df``, without a shuffle.
+    """Adds ``scores``, an array of (y, score) in the order of y, inside the scan of ``df``.
 
-    For a model of bounded size, which is sent to the tasks once. A batch of rows is one
-    gather and one running sum; exploding words x classes into a shuffle would move many
-    times more data.
+    For a model of bounded size, which is sent to the tasks once as a dense table. Words are
+    gathered a bounded number at a time and summed per text; exploding words x classes into a
+    shuffle would move many times more data.
     """
+    if table_bytes(model) > TABLE_BYTES:
+        raise ValueError("the model is too large to be sent to the tasks; use score_by_join")
     classes = model.classes.orderBy("y").collect()
+    place = {c["y"]: i for i, c in enumerate(classes)}
     cells = model.cells.toArrow()
     idx = cells["idx"].to_numpy()
     table = np.zeros((int(idx.max(initial=0)) + 2, len(classes)), dtype=np.int64)
-    table[idx, cells["y"].to_numpy()] = cells["delta"].to_numpy()
+    table[idx, [place[y] for y in cells["y"].to_pylist()]] = cells["delta"].to_numpy()
     prior = np.array([c["prior"] for c in classes], dtype=np.int64)
     base = np.array([c["base"] for c in classes], dtype=np.int64)
-    shared = df.sparkSession.sparkContext.broadcast((table, prior, base))
+    ys = np.array(list(place), dtype=np.int32)
+    shared = df.sparkSession.sparkContext.broadcast((table, prior, base, ys))
 
-    @F.arrow_udf("array<bigint>")
+    @F.arrow_udf("array<struct<y:int,score:bigint>>")
     def scores(ids: pa.Array) -> pa.Array:
-        table, prior, base = shared.value
-        sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        table, prior, base, ys = shared.value
+        k = len(ys)
+        sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         # Words beyond the table were never seen in training: its last row is zero.
         words = np.minimum(ids.flatten().to_numpy(zero_copy_only=False), len(table) - 1)
-        sums = np.zeros((len(words) + 1, table.shape[1]), dtype=np.int64)
-        np.cumsum(table[words], axis=0, out=sums[1:])
-        ends = np.cumsum(sizes)
-        out = prior + sizes[:, None] * base + sums[ends] - sums[ends - sizes]
-        offsets = np.arange(0, out.size + 1, table.shape[1], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
+        out = prior + sizes[:, None] * base
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        step = max(1, _GATHERED // k)
+        for lo in range(0, len(words), step):
+            rows = owner[lo : lo + step]
+            first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+            out[rows[first]] += np.add.reduceat(table[words[lo : lo + step]], first, axis=0)
+        offsets = np.arange(0, out.size + 1, k, dtype=np.int32)
+        entries = pa.StructArray.from_arrays(
+            [pa.array(np.tile(ys, len(out)), pa.int32()), pa.array(out.ravel())], names=["y", "score"]
+        )
+        return pa.ListArray.from_arrays(pa.array(offsets), entries)
 
     # The mark keeps it a step of its own; Spark cannot run it inside an array expression.
     return df.withColumn("scores", scores.asNondeterministic()("ids"))
 
 
-def score_by_join(df: DataFrame, model: NaiveBayes, doc: str) -> DataFrame:
-    """Adds ``scores`` by joining words with the cells, for a model of any size."""
-    words = df.select(doc, F.explode("ids").alias("idx"))
-    counted = words.groupBy(doc, "idx").agg(F.count(F.lit(1)).alias("n"))
+def score_by_join(df: DataFrame, model: NaiveBayes) -> DataFrame:
+    """Adds the same ``scores`` by joining words with the cells, for a model of any size.
+
+    Rows get a number of their own in a stored copy, so repeated or NULL ids do not matter. A
+    stream cannot be stored and is refused.
+    """
+    if df.isStreaming:
+        raise ValueError("this model is too large to score a stream")
+    rows = stage(df.withColumn("_row", F.monotonically_increasing_id()), "to-score")
+    words = rows.select("_row", F.explode("ids").alias("idx"))
+    counted = words.groupBy("_row", "idx").agg(F.count(F.lit(1)).alias("n"))
     hits = counted.join(model.cells, "idx")
-    sums = hits.groupBy(doc, "y").agg(F.sum(F.col("n") * F.col("delta")).alias("s"))
-    by_doc = sums.groupBy(doc).agg(
+    sums = hits.groupBy("_row", "y").agg(F.sum(F.col("n") * F.col("delta")).alias("s"))
+    by_row = sums.groupBy("_row").agg(
         F.map_from_entries(F.collect_list(F.struct("y", "s"))).alias("_sums")
     )
-    joined = df.join(by_doc, doc, "left").withColumn("_classes", _class_list(model))
-    none = F.lit(0).cast("long")
-    return joined.withColumn(
+    listed = model.classes.agg(F.sort_array(F.collect_list(F.struct("y", "prior", "base")))).scalar()
+    joined = rows.join(by_row, "_row", "left").withColumn("_classes", listed)
+    none, size = F.lit(0).cast("long"), F.coalesce(F.size("ids"), F.lit(0)).cast("long")
+    return joined.withColumn("_size", F.greatest(size, none)).withColumn(
         "scores",
         F.transform(
             F.col("_classes"),
-            lambda c: c["prior"]
-            + F.size("ids").cast("long") * c["base"]
-            + F.coalesce(F.element_at("_sums", c["y"]), none),
+            lambda c: F.struct(
+                c["y"].alias("y"),
+                (c["prior"] + F.col("_size") * c["base"] + F.coalesce(F.element_at("_sums", c["y"]), none)).alias(
+                    "score"
+                ),
+            ),
         ),
-    ).drop("_sums", "_classes")
+    ).drop("_row", "_sums", "_classes", "_size")
 
 
-def score(df: DataFrame, model: NaiveBayes, doc: str) -> DataFrame:
-    """Adds ``scores`` to rows with ``ids``. The model should be stored; its size decides how."""
-    if model.cells.count() <= MAX_LOOKUP_CELLS:
+def score(df: DataFrame, model: NaiveBayes) -> DataFrame:
+    """Adds ``scores`` to rows with ``ids``, as an array of (y, score) in the order of y. Both
+    ways give the same; the size of the stored model's table decides between them."""
+    if table_bytes(model) <= TABLE_BYTES:
         return score_by_lookup(df, model)
-    return score_by_join(df, model, doc)
+    return score_by_join(df, model)
 
 
 def probabilities(df: DataFrame, temperature: str = "none") -> DataFrame:
-    """Adds ``probs``: softmax of the scores, shifted by their maximum.
+    """Adds ``probs``: softmax of the scores, shifted by their maximum, in the order of the scores.
 
     Long texts push naive Bayes to 0 or 1. ``temperature='length'`` divides the scores by
     the number of tokens first.
     """
     size = F.greatest(F.size("ids"), F.lit(1)) if temperature == "length" else F.lit(1)
-    top = F.array_max("scores")
-    weights = F.transform("scores", lambda s: F.exp((s - top) / F.lit(float(SCALE)) / size))
+    values = F.transform("scores", lambda s: s["score"])
+    top = F.array_max(values)
+    weights = F.transform("scores", lambda s: F.exp((s["score"] - top) / F.lit(float(SCALE)) / size))
     weighed = df.withColumn("_w", weights)
     total = F.aggregate("_w", F.lit(0.0), lambda a, b: a + b)
     return weighed.withColumn("probs", F.transform("_w", lambda w: w / total)).drop("_w")
@@ -168,17 +198,20 @@ def probabilities(df: DataFrame, temperature: str = "none") -> DataFrame:
 def predict(df: DataFrame, labels: DataFrame, top: int = 3) -> DataFrame:
     """Adds y_pred, label, confidence and ``top`` (rank order: score down, index up).
 
-    ``labels`` is (idx, label). A missing index reads 'Unknown' as the prediction and
-    'Class_i' in the list.
+    ``labels`` is (idx, label), one row per class and at most ``MAX_CLASSES`` of them. The class
+    of a score is its own ``y``, never its place. A missing index reads 'Unknown' as the
+    prediction and 'Class_i' in the list.
     """
+    if labels.count() > MAX_CLASSES:
+        raise ValueError(f"at most {MAX_CLASSES} classes")
     names = labels.agg(
         F.map_from_entries(F.collect_list(F.struct("idx", F.trim("label").alias("label"))))
     ).scalar()
     ranked = F.array_sort(
         F.transform(
             F.arrays_zip("scores", "probs"),
-            lambda e, i: F.struct(
-                (-e["scores"]).alias("down"), i.alias("idx"), e["probs"].alias("confidence")
+            lambda e: F.struct(
+                (-e["scores"]["score"]).alias("down"), e["scores"]["y"].alias("idx"), e["probs"].alias("confidence")
             ),
         )
     )
@@ -213,18 +246,26 @@ def confusion(df: DataFrame) -> DataFrame:
 
 def log_loss(df: DataFrame) -> DataFrame:
     """Mean of -ln p(true class), with p kept in [1e-7, 1]."""
-    p = F.greatest(F.get("probs", F.col("y")), F.lit(1e-7))
+    of_true = F.filter(F.arrays_zip("scores", "probs"), lambda e: e["scores"]["y"] == F.col("y"))
+    p = F.greatest(F.coalesce(F.get(of_true, F.lit(0))["probs"], F.lit(0.0)), F.lit(1e-7))
     return df.agg(F.count(F.lit(1)).alias("n"), F.avg(-F.log(p)).alias("log_loss"))
 
 
 def train_logistic_regression(
-    df: DataFrame, vocab: DataFrame, weight: str | None = None, max_iter: int = 20
+    df: DataFrame,
+    vocab: DataFrame,
+    weight: str | None = None,
+    max_iter: int = 20,
+    num_words: int = NUM_WORDS,
 ) -> tuple[CountVectorizerModel, LogisticRegressionModel]:
     """Weighted logistic regression on word counts; rows have ``tokens`` and ``y``.
 
-    The words of a bounded vocabulary are the only rows that reach the driver.
+    The words with ``idx < num_words`` are the only rows that reach the driver.
     """
-    words = [r["word"] for r in vocab.orderBy("idx").select("word").collect()]
+    if num_words > MAX_NUM_WORDS:
+        raise ValueError(f"num_words is at most {MAX_NUM_WORDS}")
+    known = vocab.filter(F.col("idx") < num_words)
+    words = [r["word"] for r in known.orderBy("idx").select("word").collect()]
     counter = CountVectorizerModel.from_vocabulary(words, inputCol="tokens", outputCol="features")
     params = {"labelCol": "y", "featuresCol": "features", "maxIter": max_iter, "regParam": 0.01}
     if weight:

@@ -13,6 +13,8 @@ from weakflow.schemas import FEATURES
 from weakflow.sources.staging import stage
 from weakflow.sources.tables import write_csv
 
+DOMAIN_BUCKETS = 64
+
 
 def analyze_pages(
     pages: DataFrame,
@@ -29,7 +31,7 @@ def analyze_pages(
     """
     featured = page_features(pages).withColumn("text", rules.with_keywords(rules.named_features()))
     tokens = featured.withColumn("tokens", tokenize(F.col("text")))
-    scored = classify.score(encode_sequences(tokens, vocab, "page_id"), model, "page_id")
+    scored = classify.score(encode_sequences(tokens, vocab), model)
     predicted = classify.predict(classify.probabilities(scored, temperature), labels)
     return predicted.select(
         "page_id",
@@ -120,13 +122,15 @@ def top_report(analysis: DataFrame) -> DataFrame:
 
 
 def write_reports(analysis: DataFrame, folder: str) -> None:
-    """The three CSV reports; the main report has one partition per domain.
+    """The three CSV reports; the main report is partitioned by a bucket of the domain.
 
-    The analysis is stored once for its three readers. Rebalancing brings a domain's rows
-    together and splits a domain that is too large for one task.
+    The analysis is stored once for its three readers. The number of folders is fixed, however
+    many domains there are; rebalancing brings the rows of a bucket together and splits one
+    that is too large for one task. The domain stays a column.
     """
     analysis = stage(analysis, "analysis")
     main = main_report(analysis).withColumn("domain", urls.domain_key(F.col("URL")))
-    write_csv(main.hint("rebalance", F.col("domain")), f"{folder}/main", ["domain"])
+    main = main.withColumn("bucket", F.pmod(F.xxhash64("domain"), F.lit(DOMAIN_BUCKETS)).cast("int"))
+    write_csv(main.hint("rebalance", F.col("bucket")), f"{folder}/main", ["bucket"])
     write_csv(recommendations_report(analysis), f"{folder}/recommendations")
     write_csv(features_report(analysis), f"{folder}/features")

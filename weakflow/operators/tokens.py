@@ -3,13 +3,16 @@
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from weakflow.functions.text import pad_post
+from weakflow.operators.ranks import global_rank
 
 OOV = 1  # index of unknown words; 0 is padding; words start at 2
-MAX_LOOKUP_WORDS = 100_000
+NUM_WORDS = 10_000  # words with an index of their own when encoding; the others are unknown
+MAX_NUM_WORDS = 1_000_000  # bound of the words that are sent to the tasks
 
 
 def drop_empty_sequences(df: DataFrame, tokens: str = "ids") -> DataFrame:
@@ -26,10 +29,19 @@ def _exploded(df: DataFrame, doc: str, tokens: Column) -> DataFrame:
 def word_counts(df: DataFrame, doc: str, tokens: str = "tokens") -> DataFrame:
     """(word, n, first_doc, first_pos): frequency and first appearance in document order.
 
-    Document and position are packed into one decimal, which a hash aggregate can keep
-    as a running minimum; frequent words are combined before the shuffle.
+    Any unique key that can be sorted names the documents. A whole number is packed with the
+    position into one decimal, which a hash aggregate can keep as a running minimum; frequent
+    words are combined before the shuffle.
     """
+    whole = isinstance(df.schema[doc].dataType, IntegralType)
     word_at = _exploded(df.withColumnRenamed(doc, "_doc"), "_doc", F.col(tokens))
+    if not whole:
+        counted = word_at.groupBy("word").agg(
+            F.count(F.lit(1)).alias("n"), F.min(F.struct("_doc", "_pos")).alias("_first")
+        )
+        return counted.select(
+            "word", "n", F.col("_first._doc").alias("first_doc"), F.col("_first._pos").alias("first_pos")
+        )
     packed = F.col("_doc").cast("decimal(20,0)") * (1 << 32) + F.col("_pos")
     span = F.lit(1 << 32).cast("decimal(20,0)")
     counted = word_at.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(packed).alias("_first"))
@@ -42,24 +54,25 @@ def word_counts(df: DataFrame, doc: str, tokens: str = "tokens") -> DataFrame:
     )
 
 
-def vocabulary(counts: DataFrame, num_words: int = 10_000) -> DataFrame:
-    """(word, n, idx) of the words with idx < num_words: most frequent first, ties by first
-    appearance. The limit comes before the window, which then sees at most num_words rows."""
+def vocabulary(counts: DataFrame) -> DataFrame:
+    """(word, n, idx) of all words: most frequent first, ties by first appearance."""
     order = [F.desc("n"), F.asc("first_doc"), F.asc("first_pos")]
-    top = counts.orderBy(*order).limit(num_words - 2)
-    idx = F.row_number().over(Window.orderBy(*order)) + 1
-    return top.select("word", "n", idx.cast("int").alias("idx"))
+    ranked = global_rank(counts, order, "_rank")
+    return ranked.select("word", "n", (F.col("_rank") + 1).cast("int").alias("idx"))
 
 
-def encode_by_lookup(
-    df: DataFrame, vocab: DataFrame, tokens: str = "tokens", max_len: int = 300
+def encode_sequences(
+    df: DataFrame, vocab: DataFrame, tokens: str = "tokens", num_words: int = NUM_WORDS
 ) -> DataFrame:
-    """Adds ``ids`` inside the scan of ``df``, without a shuffle.
+    """Adds ``ids``: the index of each token, of the whole text, inside the scan of ``df``.
 
-    For a vocabulary of bounded size, which is sent to the tasks once. Arrow looks up a
+    Only words with ``idx < num_words`` have their own index, so what is sent to the tasks is
+    bounded by that parameter, whatever the size of the stored vocabulary. Arrow looks up a
     whole batch of tokens in one call; joining would shuffle every token of every row.
     """
-    listed = vocab.select("word", "idx").toArrow()
+    if num_words > MAX_NUM_WORDS:
+        raise ValueError(f"num_words is at most {MAX_NUM_WORDS}")
+    listed = vocab.filter(F.col("idx") < num_words).select("word", "idx").toArrow()
     shared = df.sparkSession.sparkContext.broadcast((listed["word"], listed["idx"].to_numpy()))
 
     @F.arrow_udf("array<int>")
@@ -73,34 +86,9 @@ def encode_by_lookup(
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
 
     # The mark keeps it a step of its own; Spark cannot run it inside an array expression.
-    return df.withColumn("ids", index_of.asNondeterministic()(F.slice(tokens, 1, max_len)))
-
-
-def encode_by_join(
-    df: DataFrame, vocab: DataFrame, doc: str, tokens: str = "tokens", max_len: int = 300
-) -> DataFrame:
-    """Adds ``ids`` by joining the tokens with the vocabulary, for one of any size.
-
-    A row has at most ``max_len`` tokens, so the regrouped arrays stay small.
-    """
-    at = _exploded(df, doc, F.slice(tokens, 1, max_len))
-    found = at.join(vocab.select("word", "idx"), "word", "left")
-    entry = F.struct("_pos", F.coalesce("idx", F.lit(OOV)).alias("idx"))
-    ids = found.groupBy(doc).agg(
-        F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["idx"]).alias("ids")
-    )
-    empty = F.array().cast("array<int>")
-    return df.join(ids, doc, "left").withColumn("ids", F.coalesce("ids", empty))
-
-
-def encode_sequences(
-    df: DataFrame, vocab: DataFrame, doc: str, tokens: str = "tokens", max_len: int = 300
-) -> DataFrame:
-    """Adds ``ids``: the indexes of the first ``max_len`` tokens. ``vocab`` should be stored."""
-    if vocab.count() <= MAX_LOOKUP_WORDS:
-        return encode_by_lookup(df, vocab, tokens, max_len)
-    return encode_by_join(df, vocab, doc, tokens, max_len)
+    return df.withColumn("ids", index_of.asNondeterministic()(F.col(tokens)))
 
 
 def pad_sequences(df: DataFrame, max_len: int = 300) -> DataFrame:
+    """Adds ``padded``: exactly ``max_len`` ids; this is where longer sequences are cut."""
     return df.withColumn("padded", pad_post(F.col("ids"), max_len))

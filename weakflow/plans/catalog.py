@@ -1,9 +1,14 @@
 """All registered queries."""
 
-from weakflow.plans import classify_queries, corpus_queries, page_queries
+from weakflow.plans import artefact_queries, classify_queries, corpus_queries, page_queries
 from weakflow.plans.registry import Query
 
-_REGISTRIES = (corpus_queries.registry, page_queries.registry, classify_queries.registry)
+_REGISTRIES = (
+    corpus_queries.registry,
+    page_queries.registry,
+    classify_queries.registry,
+    artefact_queries.registry,
+)
 
 
 def queries() -> dict[str, Query]:

@@ -28,6 +28,8 @@ def read_csv(
 
 def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     writer = df.write.mode("overwrite").option("header", True).option("escape", '"')
+    # Values are written as they are; by default the writer would strip them.
+    writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.csv(path)
@@ -47,16 +49,6 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
     return df.select(*columns) if columns else df
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread an input that arrives in fewer splits than there are cores.
-
-    For work that is heavy on the processor, such as parsing text. A table with many splits
-    is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def profile_columns(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
     """One row per column: position, name, type, rows and non-null values, in one pass."""
     names = df.columns
