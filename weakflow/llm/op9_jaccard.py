@@ -11,7 +11,9 @@ the first |a| - T + k of that order. So only these short lists are merged: posti
 dealt out by shingle, and lists with more than one text give candidates.
   Round 1 takes, per list and band of set sizes, the pairs of each text with the first one.
   Round 2 takes, of all lists that still hold texts of different components, the pairs from
-  different components, counts them over the lists, and keeps those with at least k.
+  different components, counts them over the lists, and keeps those with at least k. Of a
+  pair that shares T, each of its first k common shingles has at least T - k + 1 shingles of
+  either text from its place on; meetings later than that are not counted.
 Pairs inside one component need no test, so large groups of near copies cost one pair per
 text and list, not all pairs.
 
@@ -41,7 +43,7 @@ from weakflow.sources.staging import stage
 SHINGLE = 5
 PERCENT = 80
 K = 3  # short lists that a pair has to share
-SLOTS = 1 << 20  # counters of the sketch
+SLOTS = 1 << 22  # counters of the sketch
 GROUP_BYTES = 4 << 20
 PART_ROWS = 100_000
 MAX_BROADCAST_IDS = 1_000_000
@@ -84,7 +86,7 @@ def signatures(df: DataFrame) -> DataFrame:
         for batch in batches:
             for piece in tb.slices(batch, "text"):
                 hashes, at = shingle_sets(piece.column("text"))
-                sketch += np.bincount(_slot(hashes), minlength=SLOTS).astype(np.uint32)
+                np.add.at(sketch, _slot(hashes), np.uint32(1))
                 n = piece.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -117,7 +119,9 @@ def sketch_of(signed: DataFrame) -> np.ndarray:
             total += np.frombuffer(raw, dtype=np.uint32 if len(raw) == 4 * _BLOCK else np.uint64)
         return pa.table({"block": group["block"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    parts = signed.filter("block IS NOT NULL").select("block", "counts", F.pmod(F.xxhash64("counts"), F.lit(64)).alias("part"))
+    parts = signed.filter("block IS NOT NULL").select(
+        "block", "counts", F.pmod(F.xxhash64("counts"), F.lit(64)).alias("part")
+    )
     once = parts.groupBy("block", "part").applyInArrow(add, "block int, counts binary")
     twice = once.groupBy("block").applyInArrow(add, "block int, counts binary").toArrow()
     out = np.zeros(SLOTS, dtype=np.uint64)
@@ -127,20 +131,21 @@ def sketch_of(signed: DataFrame) -> np.ndarray:
 
 
 def _levels(sketch: np.ndarray) -> np.ndarray:
-    """0 for slots of ordinary load, then one more for each doubling."""
-    ordinary = 2 * sketch.mean() + 8
-    return np.where(sketch > ordinary, np.frexp(sketch / ordinary)[1], 0).astype(np.int64)
+    """0 for slots of ordinary load (chance included), then one more for each doubling."""
+    ordinary = sketch.mean() + 6 * np.sqrt(sketch.mean()) + 4
+    return np.where(sketch > ordinary, np.frexp(sketch / ordinary)[1], 0).astype(np.int8)
 
 
 def prefix_postings(df: DataFrame, sketch: np.ndarray, buckets: int, k: int = K) -> DataFrame:
-    """(bucket, postings): packed (shingle, id, size, parts) of the short lists of each text.
+    """(bucket, postings): packed (shingle, id, size and place, parts) of the short lists of each text.
 
     A task passes over a set that it has already posted.
     """
-    shared = df.sparkSession.sparkContext.broadcast((_levels(sketch), sketch))
+    parts_of = np.minimum(1 + sketch // PART_ROWS, 1 << 31).astype(np.uint32)
+    shared = df.sparkSession.sparkContext.broadcast((_levels(sketch), parts_of))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, load = shared.value
+        levels, parts_of = shared.value
         posted: set[tuple[int, int]] = set()
         held: list[np.ndarray] = []
 
@@ -173,7 +178,7 @@ def prefix_postings(df: DataFrame, sketch: np.ndarray, buckets: int, k: int = K)
                     posted.clear()
                 slot = _slot(hashes)
                 owner = np.repeat(np.arange(len(n)), n)
-                level = levels[slot]
+                level = levels[slot].astype(np.int64)
                 # Hashes are in order inside a text; move the long lists behind the short ones.
                 order = np.argsort(owner * 64 + level, kind="stable")
                 rank = np.arange(len(owner)) - at[owner]
@@ -181,8 +186,9 @@ def prefix_postings(df: DataFrame, sketch: np.ndarray, buckets: int, k: int = K)
                 use = (rank < (n - least + k)[owner]) & fresh[owner]
                 chosen = order[use]
                 of = owner[use]
-                parts = 1 + (load[slot[chosen]] // np.uint64(PART_ROWS))
-                held.append(np.stack([hashes[chosen], ids[of].astype(np.int64).view(np.uint64), n[of].astype(np.uint64), parts]))
+                place = (n[of] + (rank[use] << 32)).astype(np.uint64)
+                parts = parts_of[slot[chosen]].astype(np.uint64)
+                held.append(np.stack([hashes[chosen], ids[of].astype(np.int64).view(np.uint64), place, parts]))
                 if sum(h.shape[1] for h in held) >= 1 << 20:
                     yield flush()
         if held:
@@ -195,7 +201,7 @@ _BAND = float(np.log(100 / PERCENT))
 
 
 def shared_lists(postings: DataFrame, partitions: int) -> DataFrame:
-    """(h, id, n, parts, pivot) of all lists with more than one text; pivot is the first text
+    """(h, id, n, pos, parts, band, pivot) of all lists with more than one text; pivot is the first text
     of the same list (part) and band of sizes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,13 +212,14 @@ def shared_lists(postings: DataFrame, partitions: int) -> DataFrame:
             return
         h, ids, n, parts = np.concatenate(blocks, axis=1)
         ids, n, parts = ids.view(np.int64), n.astype(np.int64), parts.astype(np.int64)
+        pos, n = n >> 32, n & 0xFFFFFFFF
         band = (np.log(n) / _BAND).astype(np.int64)
         part = ids % parts
         order = np.lexsort((ids, band, part, h))
-        h, ids, n, parts, band, part = (x[order] for x in (h, ids, n, parts, band, part))
+        h, ids, n, pos, parts, band, part = (x[order] for x in (h, ids, n, pos, parts, band, part))
         same = (h[1:] == h[:-1]) & (ids[1:] == ids[:-1]) & (n[1:] == n[:-1])
         keep = np.append(True, ~same)
-        h, ids, n, parts, band, part = (x[keep] for x in (h, ids, n, parts, band, part))
+        h, ids, n, pos, parts, band, part = (x[keep] for x in (h, ids, n, pos, parts, band, part))
         alone = np.append(True, h[1:] != h[:-1])
         several = ~(alone & np.append(alone[1:], True)) | (parts > 1)
         start = np.append(True, (h[1:] != h[:-1]) | (part[1:] != part[:-1]) | (band[1:] != band[:-1]))
@@ -221,12 +228,12 @@ def shared_lists(postings: DataFrame, partitions: int) -> DataFrame:
         for lo in range(0, len(where), 1 << 16):
             w = where[lo : lo + (1 << 16)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x[w]) for x in (h.view(np.int64), ids, n, parts, band, pivot)],
-                names=["h", "id", "n", "parts", "band", "pivot"],
+                [pa.array(x[w]) for x in (h.view(np.int64), ids, n, pos, parts, band, pivot)],
+                names=["h", "id", "n", "pos", "parts", "band", "pivot"],
             )
 
     dealt = postings.repartition(partitions, "bucket")
-    return dealt.mapInArrow(rows, "h long, id long, n long, parts long, band long, pivot long")
+    return dealt.mapInArrow(rows, "h long, id long, n long, pos long, parts long, band long, pivot long")
 
 
 def heap_merge(lists: list[np.ndarray], threshold: int) -> dict[int, int]:
@@ -319,7 +326,8 @@ def verified(df: DataFrame, pairs: DataFrame) -> DataFrame:
                 names.append(b)
                 sets.append(own)
         found = sorted({names[i] for q in asked for i in divide_skip(q, sets)})
-        return pa.table({"a": pa.array([group["a"][0].as_py()] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
+        asker = pa.array([group["a"][0].as_py()] * len(found), pa.int64())
+        return pa.table({"a": asker, "b": pa.array(found, pa.int64())})
 
     both = queries.unionByName(others)
     return stage(both.groupBy("a", "part").applyInArrow(search, "a long, b long"), "links")
@@ -363,17 +371,23 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     # Round 2: pairs from different components, where a list still has several.
     of = reached.select(F.col("node").alias("id"), "component")
     placed = lists.join(of, "id", "left").select(
-        "h", "id", "n", F.coalesce("component", "id").alias("component")
+        "h", "id", "n", "pos", F.coalesce("component", "id").alias("component")
     )
     placed = stage(placed, "placed-lists")
     held = placed.groupBy("h", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = held.groupBy("h").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("kinds"))
+    main = held.groupBy("h").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("kinds")
+    )
     still = stage(placed.join(main.filter("kinds > 1"), "h"), "open-lists")
-    rest = still.filter("component <> main").select("h", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    every = still.select("h", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), (F.col("component") != F.col("main")).alias("other"))
-    met = rest.join(every, "h").filter(f"cx <> cy AND (NOT other OR x < y) AND {_fits('nx', 'ny')}")
+    rest = still.filter("component <> main").selectExpr("h", "id AS x", "n AS nx", "pos AS px", "component AS cx")
+    every = still.selectExpr(
+        "h", "id AS y", "n AS ny", "pos AS py", "component AS cy", "component <> main AS other"
+    )
+    need = f"ceil({PERCENT} * (nx + ny) / {100 + PERCENT})"
+    near = f"least(nx - px, ny - py) > {need} - {K}"
+    met = rest.join(every, "h").filter(f"cx <> cy AND (NOT other OR x < y) AND {_fits('nx', 'ny')} AND {near}")
     # The k first shared lists, or all that such small sets need.
-    enough = f"lists >= least({K}, ceil({PERCENT} * (nx + ny) / {100 + PERCENT}))"
+    enough = f"lists >= least({K}, {need})"
     pairs = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(
         F.count(F.lit(1)).alias("lists"), F.min("nx").alias("nx"), F.min("ny").alias("ny")
     ).filter(enough)
