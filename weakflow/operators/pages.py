@@ -4,6 +4,8 @@ Input columns: page_id, url, html, headers (map, optional), fetch_error (optiona
 All operators are stateless, so they also work on a streaming DataFrame.
 """
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +65,8 @@ SECURITY_HEADERS = (
 TECHNOLOGIES = ("wordpress", "drupal", "joomla", "react", "angular", "vue")
 SUSPICIOUS_LINK_PARTS = ("id=", "user=", "admin", "login", "upload")
 
+# How many links are looked at, and how long the shown content is. Functions take
+# them as parameters, where None means all.
 MAX_LINKS = 50
 MAX_CONTENT = 2000
 
@@ -85,7 +89,22 @@ def _plain(pattern: str) -> str | None:
     return "".join(out)
 
 
+def _followed(text: Column, first: str, then: str) -> Column:
+    """A regex search for ``first.*then``, with ``first`` a plain text, in linear time: only the
+    first occurrence in a line can matter, as everything after a later one is also after it."""
+
+    def hit(line: Column) -> Column:
+        at = F.instr(line, F.lit(first))
+        return (at > 0) & pattern_found(F.substr(line, at + len(first)), then)
+
+    lines = F.split(text, r"(?<=\n)")
+    return F.contains(text, F.lit(first)) & F.exists(lines, hit)
+
+
 def pattern_found(text: Column, pattern: str) -> Column:
+    first, *then = re.split(r"\.\*\??", pattern, maxsplit=1)
+    if then and _plain(first):
+        return _followed(text, _plain(first), then[0])
     plain = _plain(pattern)
     return matches(text, pattern) if plain is None else F.contains(text, F.lit(plain))
 
@@ -110,8 +129,10 @@ def security_headers(headers: Column) -> Column:
     return F.coalesce(F.array_join(parts, ""), F.lit(""))
 
 
-def content(html: Column) -> Column:
-    return F.left(markup.visible_text(html), F.lit(MAX_CONTENT))
+def content(html: Column, max_content: int | None = MAX_CONTENT) -> Column:
+    """The visible text, or its first characters."""
+    text = markup.visible_text(html)
+    return text if max_content is None else F.left(text, F.lit(max_content))
 
 
 def technologies(html: Column, html_lower: Column, headers: Column) -> Column:
@@ -149,13 +170,14 @@ def forms(body: Column) -> Column:
     return F.array_join(F.flatten(F.transform(markup.elements(body, "form"), form)), " ")
 
 
-def suspicious_links(body: Column) -> Column:
-    """Suspicious ones among the first 50 links (the first 50 are taken before the test)."""
+def suspicious_links(body: Column, max_links: int | None = MAX_LINKS) -> Column:
+    """Suspicious ones among the first links (these are taken before the test)."""
     hrefs = F.filter(
         F.transform(markup.start_tags(body, "a"), lambda a: markup.attribute(a, "href")),
         lambda h: h.isNotNull(),
     )
-    first = F.transform(F.slice(hrefs, 1, MAX_LINKS), lambda h: F.lower(h))
+    taken = hrefs if max_links is None else F.slice(hrefs, 1, max_links)
+    first = F.transform(taken, lambda h: F.lower(h))
     bad = F.filter(first, lambda h: contains_any(h, SUSPICIOUS_LINK_PARTS))
     return F.array_join(F.transform(bad, lambda h: F.concat(F.lit("link "), h)), " ")
 

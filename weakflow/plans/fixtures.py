@@ -28,6 +28,7 @@ FORM_QUOTED = (
 )
 SQL_ERROR = (
     "<p>Warning: mysql_error near line 3 &lt;b&gt; &#39;x&#39; &#233;&eacute;</p>"
+    "<p>it&apos;s &#150; &#00000000233; <![CDATA[raw ]] text]]> &rarr;</p>"
     '<!-- <a href="/admin/hidden">no</a> -->'
 )
 MANY_LINKS = (

@@ -27,6 +27,8 @@ _HIDDEN = (
     r"|<template\b[^>]*>.*?(?:</template\s*>|\z)|<!--.*?(?:-->|\z)"
 )
 _TAG = rf"</?[a-z]{_ATTRS}>|<[!?][^>]*>"
+_CDATA = r"<!\[CDATA\[(.*?)\]\]>"
+_KEPT = r"\1"
 # The references that occur in the pages; the ampersand comes last.
 _REFERENCES = (
     ("&quot;", "'\"'"),
@@ -37,6 +39,10 @@ _REFERENCES = (
     ("&#39;", "''''"),
     ("&#233;", "'é'"),
     ("&eacute;", "'é'"),
+    ("&#00000000233;", "'é'"),
+    ("&#150;", "'–'"),
+    ("&apos;", "''''"),
+    ("&rarr;", "'→'"),
     ("&x", "'&x'"),
     ("&amp;", "'&'"),
 )
@@ -53,7 +59,7 @@ _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)
 
 
 def _content(html: str) -> str:
-    marked = _decoded(f"regexp_replace({html}, '(?is){_HIDDEN}|{_TAG}', {_BREAK}, 'g')")
+    marked = _decoded(f"regexp_replace({html}, '(?is){_HIDDEN}|{_CDATA}|{_TAG}', {_BREAK} || '{_KEPT}' || {_BREAK}, 'g')")
     nodes = f"list_transform(string_split({marked}, {_BREAK}), lambda s: trim(s, {_SPACES}))"
     return f"left(array_to_string(list_filter({nodes}, lambda s: s <> ''), ' '), 2000)"
 
