@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from tests.conftest import bag
 from weakflow import schemas
 from weakflow.operators.corpus import Corpus, corpus_text, join_vendors, keep_labelled
-from weakflow.operators.joins import expand_copies, spread_left_join
+from weakflow.operators.joins import expand_copies, hot_keys, spread_left_join
 from weakflow.sources import tables
+from weakflow.sources.staging import stage
 
 
 def small_tables(spark):
@@ -51,6 +52,30 @@ def test_corpus_equals_plain_joins(spark):
     assert keys.count() == keys.distinct().count() == len(want)
 
 
+def test_text_is_attached_to_every_sampled_row(spark):
+    """NULL and repeated CVE ids, exact copies of a CVE, empty next to NULL names."""
+    cve, products, vp, vendors = small_tables(spark)
+    more = [("c1", " A", "second text"), ("c1", " A", "second text"), (None, " B", "no id"), (None, " B", "none"), ("", " B", "")]
+    cve = cve.union(spark.createDataFrame(more, cve.schema))
+    products = products.union(spark.createDataFrame([(None, "p1"), ("", "p2"), ("c1", "")], products.schema))
+    source = Corpus(cve, products, vp, vendors)
+    want = bag(source.rows().select("cve_id", "vulnerable_product", "vendor", "text"))
+    sample = stage(source.keys())
+    got = bag(source.attach_text(sample).select("cve_id", "vulnerable_product", "vendor", "text"))
+    assert got == want and sample.count() == len(want)
+    assert want == bag(plain_join(cve, products, vp, vendors).select("cve_id", "vulnerable_product", "vendor", "text"))
+
+
+def test_hot_keys_are_those_with_many_rows_or_many_pairs(spark):
+    left = spark.createDataFrame([("a", 30), ("b", 4), ("c", 8), ("d", 1)], "k string, n long")
+    right = spark.createDataFrame([("a", 1), ("b", 25), ("c", 9), ("e", 99)], "k string, n long")
+    got = {r.k: (r.lparts, r.rparts) for r in hot_keys(left, right, "k", 10).collect()}
+    assert got == {"a": (3, 1), "b": (1, 3)}
+    pair = spark.createDataFrame([("c", 90), ("d", 5)], "k string, n long")
+    many = {r.k: (r.lparts, r.rparts) for r in hot_keys(pair, pair, "k", 100).collect()}
+    assert many == {"c": (9, 1)}  # 8,100 pairs of a key that is hot on neither side
+
+
 def test_label_counts_equal_counting_the_rows(spark):
     source = small_tables(spark)
     rows = Corpus(*source).rows()

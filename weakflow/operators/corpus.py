@@ -15,7 +15,6 @@ from weakflow.operators.joins import (
     HOT_ROWS,
     broadcast_if_small,
     expand_copies,
-    hot_keys,
     key_sizes,
     spread_left_join,
 )
@@ -37,6 +36,7 @@ CVE_COLUMNS = [
     "impact_integrity",
 ]
 _CHUNK = 10_000
+NULL_MARK = "\\N"  # stands for NULL in a row key, so that it differs from an empty name
 
 
 def project_cve(cve: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -50,8 +50,9 @@ def corpus_text() -> Column:
 
 
 def row_key() -> Column:
-    """Identifies a corpus row: CVE, product and vendor, and a number for exact copies."""
-    parts = [F.coalesce(F.col(c), F.lit("")) for c in ("cve_id", "vulnerable_product", "vendor")]
+    """Identifies a corpus row: CVE, product and vendor, and a number for exact copies. Where
+    several CVE rows share an id, their rows share keys, and samplers take or leave them together."""
+    parts = [F.coalesce(F.col(c), F.lit(NULL_MARK)) for c in ("cve_id", "vulnerable_product", "vendor")]
     copy = F.when(F.col("copy_no") > 0, F.concat(F.lit("|"), F.col("copy_no").cast("string")))
     return F.concat(F.concat_ws("|", *parts), F.coalesce(copy, F.lit("")))
 
@@ -102,9 +103,10 @@ def _named_products(products: DataFrame, cve_ids: DataFrame) -> DataFrame:
 class Corpus:
     """The joined corpus of one set of input tables, in the forms that jobs need.
 
-    The two narrow tables below are stored on first use and shared by all methods. A CVE
-    id must name one CVE. ``unique_vendors`` says that no vendor is listed twice, which
-    saves the join with the vendor table.
+    The narrow tables below are stored on first use and shared by all methods. Several CVE rows
+    may share an id, and an id may be NULL: each row keeps its own text, told apart by a mark
+    of its content. ``unique_vendors`` says that no vendor is listed twice, which saves the
+    join with the vendor table.
     """
 
     def __init__(
@@ -117,7 +119,8 @@ class Corpus:
         hot_rows: int = HOT_ROWS,
     ) -> None:
         self.cve = cve
-        self.labelled = cve.filter(F.col("cwe_name").isNotNull())
+        mark = F.xxhash64("cve_id", "cwe_name", "summary")
+        self.labelled = cve.filter(F.col("cwe_name").isNotNull()).withColumn("cve_mark", mark)
         self.products = products
         self.vendor_product = vendor_product
         self.vendors = vendors
@@ -136,21 +139,21 @@ class Corpus:
         return stage(links, "product-vendors")
 
     @cached_property
-    def hot_products(self) -> dict[str, int]:
-        """Products named by very many CVEs."""
-        return hot_keys(key_sizes(self.named, "_product"), "_product", self.hot_rows)
+    def product_sizes(self) -> DataFrame:
+        """(_product, n): CVEs that name each product."""
+        return stage(key_sizes(self.named, "_product"), "product-sizes")
 
     @cached_property
-    def hot_cves(self) -> dict[str, int]:
-        """CVEs with a very large fan-out."""
-        return hot_keys(self.sizes(), "cve_id", self.hot_rows)
+    def cve_sizes(self) -> DataFrame:
+        """(cve_id, n): rows of each CVE's fan-out, counted without producing it."""
+        return stage(self._sizes(), "cve-sizes")
 
     def links(self) -> DataFrame:
         """(cve_id, vulnerable_product, product, vendor, piece, copies): the fan-out without
         any text. A row stands for at most 10,000 exact copies."""
         right = self.pairs.withColumn("_product", F.col("product"))
         joined = spread_left_join(
-            self.named, right, "_product", hot_left=self.hot_products, hot_rows=self.hot_rows
+            self.named, right, "_product", left_sizes=self.product_sizes, hot_rows=self.hot_rows
         )
         total = F.col("pcopies") * F.coalesce("copies", F.lit(1))
         pieces = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_total") - 1) / _CHUNK))
@@ -167,13 +170,17 @@ class Corpus:
             )
         )
 
-    def sizes(self) -> DataFrame:
-        """(cve_id, n): rows of each CVE's fan-out, counted without producing it."""
+    def _sizes(self) -> DataFrame:
         per_product = self.pairs.groupBy(F.col("product").alias("_product")).agg(
             F.sum("copies").alias("_vendors")
         )
         sized = spread_left_join(
-            self.named, per_product, "_product", hot_left=self.hot_products, hot_right={}
+            self.named,
+            per_product,
+            "_product",
+            left_sizes=self.product_sizes,
+            right_unique=True,
+            hot_rows=self.hot_rows,
         )
         n = F.col("pcopies") * F.coalesce("_vendors", F.lit(1))
         return sized.groupBy("cve_id").agg(F.sum(n).alias("n"))
@@ -181,7 +188,7 @@ class Corpus:
     def _fan_out(self, cve: DataFrame) -> DataFrame:
         """Each CVE with each of its links, exact copies expanded and numbered (``copy_no``)."""
         rows = spread_left_join(
-            cve, self.links(), "cve_id", hot_left={}, hot_right=self.hot_cves
+            cve, self.links(), "cve_id", right_sizes=self.cve_sizes, hot_rows=self.hot_rows
         )
         filled = rows.withColumn("copies", F.coalesce("copies", F.lit(1))).withColumn(
             "piece", F.coalesce("piece", F.lit(0))
@@ -197,20 +204,25 @@ class Corpus:
 
     def keys(self) -> DataFrame:
         """The corpus rows without summaries: what counting and sampling need."""
-        return self._fan_out(self.labelled.select("cve_id", "cwe_name"))
+        return self._fan_out(self.labelled.select("cve_id", "cwe_name", "cve_mark"))
 
     def attach_text(self, sample: DataFrame) -> DataFrame:
-        """Text of a stored sample of ``keys``. A small sample is broadcast to the CVE scan, so
-        the wide table is not shuffled at all."""
-        texts = self.cve.select("cve_id", "summary")
-        return texts.join(sample, "cve_id").withColumn("text", corpus_text())
+        """Text of a stored sample of ``keys``: one row per row of the sample.
+
+        The texts of the sampled CVEs are looked up by the mark of their content. A small sample
+        is broadcast to the CVE scan, so the wide table is not shuffled at all.
+        """
+        wanted = sample.select("cve_mark").distinct()
+        texts = self.labelled.select("cve_mark", "summary").join(wanted, "cve_mark", "left_semi")
+        once = texts.dropDuplicates(["cve_mark"])
+        return sample.join(once, "cve_mark", "left").withColumn("text", corpus_text())
 
     def label_counts(self, count_by: str = "row") -> DataFrame:
         """(cwe_name, n) over corpus rows, or over CVEs with ``count_by='cve'``."""
         labelled = self.labelled.select("cve_id", "cwe_name")
         if count_by == "cve":
             return labelled.groupBy("cwe_name").agg(F.count(F.lit(1)).alias("n"))
-        sized = labelled.join(self.sizes(), "cve_id", "left")
+        sized = labelled.join(self.cve_sizes, "cve_id", "left")
         return sized.groupBy("cwe_name").agg(F.sum(F.coalesce("n", F.lit(1))).alias("n"))
 
 

@@ -3,12 +3,11 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weakflow.sources.staging import stage
+
 BROADCAST_BYTES = 64 * 1024 * 1024
-HOT_ROWS = 5_000_000
-# The 1001st heaviest key holds less than 1/1000 of all rows, so a list of the
-# heaviest 1000 is enough to find every key that can unbalance a join.
-MAX_HOT_KEYS = 1000
-_NULL_PARTS = 1024
+HOT_ROWS = 5_000_000  # rows of one key and side that a task joins at most
+PAIRS_PER_ROW = 10  # result rows of one key that a task makes at most, per hot row
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -28,21 +27,24 @@ def key_sizes(df: DataFrame, key: str) -> DataFrame:
     return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
 
 
-def hot_keys(sizes: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> dict[str, int]:
-    """Keys above ``hot_rows`` rows, with the number of parts to split each into.
+def hot_keys(
+    left_sizes: DataFrame, right_sizes: DataFrame | None, key: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """A stored table (key, lparts, rparts) of the keys to split, however many there are.
 
-    At most ``MAX_HOT_KEYS`` entries reach the driver. The other keys are joined as usual.
+    Both sizes of a key count, and so does their product, which is what a task has to write.
+    Without ``right_sizes`` a key occurs once on the right at most.
     """
-    heavy = sizes.filter(F.col("n") > hot_rows).orderBy(F.desc("n"), key).limit(MAX_HOT_KEYS)
-    return {r[key]: -(-r["n"] // hot_rows) for r in heavy.select(key, "n").collect()}
-
-
-def _parts(df: DataFrame, key: str, hot: dict[str, int], name: str) -> DataFrame:
-    if not hot:
-        return df.withColumn(name, F.lit(1))
-    listed = df.sparkSession.createDataFrame(list(hot.items()), f"`{key}` string, `{name}` int")
-    marked = df.join(F.broadcast(listed), key, "left")
-    return marked.withColumn(name, F.coalesce(name, F.lit(1)))
+    if right_sizes is None:
+        sized = left_sizes.select(key, F.col("n").alias("nl"), F.lit(1).cast("long").alias("nr"))
+    else:
+        right = right_sizes.select(key, F.col("n").alias("nr"))
+        sized = left_sizes.select(key, F.col("n").alias("nl")).join(right, key, "left").fillna(1, ["nr"])
+    rparts = F.ceil(F.col("nr") / hot_rows)
+    pairs = F.col("nl") * F.ceil(F.col("nr") / rparts).cast("double")
+    lparts = F.greatest(F.ceil(F.col("nl") / hot_rows), F.ceil(pairs / (hot_rows * PAIRS_PER_ROW)))
+    hot = sized.select(key, F.least(lparts, F.col("nl")).cast("int").alias("lparts"), rparts.cast("int").alias("rparts"))
+    return stage(hot.filter("lparts > 1 OR rparts > 1"), "hot-keys")
 
 
 def _part_of_row(df: DataFrame, parts: str) -> Column:
@@ -58,40 +60,49 @@ def spread_left_join(
     left: DataFrame,
     right: DataFrame,
     key: str,
-    hot_left: dict[str, int] | None = None,
-    hot_right: dict[str, int] | None = None,
+    left_sizes: DataFrame | None = None,
+    right_sizes: DataFrame | None = None,
+    right_unique: bool = False,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """``left LEFT JOIN right USING (key)`` (a string key) with hot keys split over tasks.
+    """``left LEFT JOIN right USING (key)`` with hot keys split over tasks.
 
-    The key sizes are measured first, unless the hot keys are given (none for a side whose
-    key is unique). Without hot keys this is a plain join. Otherwise a key that is hot on one
-    side is cut into parts there and copied to each part on the other side, and NULL keys,
-    which match nothing, are spread as well. Parts come from a hash of the row, so a repeated
-    task makes the same parts.
+    Rows with a NULL key match nothing and bypass the join. The sizes of the other keys are
+    measured first, unless (key, n) tables are given. A key that is hot on one side, or whose
+    product of both sides is large, is cut into parts on one side and copied to each part on the
+    other. The hot keys are a stored table, so a small one is broadcast and a large one is joined
+    by a shuffle. Parts come from a hash of the row, so a repeated task makes the same parts.
     """
-    if hot_left is None:
-        hot_left = hot_keys(key_sizes(left, key), key, hot_rows)
-    if hot_right is None:
-        hot_right = hot_keys(key_sizes(right, key), key, hot_rows)
-    if not hot_left and not hot_right:
-        return left.join(right, key, "left")
-
-    null_part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(_NULL_PARTS))
-    part = F.when(F.col(key).isNull(), null_part.cast("int"))
-    cut_left = _parts(left, key, hot_left, "_lparts")
-    cut_left = cut_left.withColumn("_lpart", part.otherwise(_part_of_row(left, "_lparts")))
-    cut_left = _parts(cut_left, key, hot_right, "_rparts").withColumn("_rpart", _every_part("_rparts"))
-
-    cut_right = _parts(right.filter(F.col(key).isNotNull()), key, hot_right, "_rparts")
-    cut_right = cut_right.withColumn("_rpart", _part_of_row(right, "_rparts")).drop("_rparts")
-    cut_right = _parts(cut_right, key, hot_left, "_lparts").withColumn("_lpart", _every_part("_lparts"))
-    cut_right = cut_right.drop("_lparts").withColumn("_matched", F.lit(True))
-
+    named = left.filter(F.col(key).isNotNull())
+    others = [c for c in right.columns if c != key]
+    kinds = {f.name: f.dataType for f in right.schema}
+    unnamed = left.filter(F.col(key).isNull()).withColumns(
+        {c: F.lit(None).cast(kinds[c]) for c in others}
+    )
+    right = right.filter(F.col(key).isNotNull())
+    if left_sizes is None:
+        left_sizes = key_sizes(named, key)
+    if right_sizes is None and not right_unique:
+        right_sizes = key_sizes(right, key)
+    hot = hot_keys(left_sizes, right_sizes, key, hot_rows)
+    columns = [key, *[c for c in left.columns if c != key], *others]
+    if hot.isEmpty():
+        joined = named.join(right, key, "left")
+        return joined.select(*columns).unionByName(unnamed.select(*columns))
+
+    def marked(df: DataFrame) -> DataFrame:
+        named = hot.select(key, F.col("lparts").alias("_lparts"), F.col("rparts").alias("_rparts"))
+        return df.join(named, key, "left").fillna(1, ["_lparts", "_rparts"])
+
+    cut_left = marked(named).withColumn("_lpart", _part_of_row(left, "_lparts"))
+    cut_left = cut_left.withColumn("_rpart", _every_part("_rparts")).drop("_lparts")
+    cut_right = marked(right).withColumn("_rpart", _part_of_row(right, "_rparts"))
+    cut_right = cut_right.withColumn("_lpart", _every_part("_lparts")).drop("_lparts", "_rparts")
+    cut_right = cut_right.withColumn("_matched", F.lit(True))
     joined = cut_left.join(cut_right, [key, "_lpart", "_rpart"], "left")
     # A key that is hot on the right has matches in some of its parts; the others add no row.
     kept = joined.filter((F.col("_rparts") == 1) | F.col("_matched"))
-    return kept.drop("_lparts", "_lpart", "_rparts", "_rpart", "_matched")
+    return kept.select(*columns).unionByName(unnamed.select(*columns))
 
 
 def expand_copies(df: DataFrame, copies: str, number: str, chunk: int = 10_000) -> DataFrame:

@@ -200,7 +200,7 @@ numbered AS (
   SELECT *, row_number() OVER (PARTITION BY cve_id, vulnerable_product, vendor) - 1 AS copy_no
   FROM corpus),
 keyed AS (
-  SELECT *, cve_id || '|' || coalesce(vulnerable_product, '') || '|' || coalesce(vendor, '')
+  SELECT *, cve_id || '|' || coalesce(vulnerable_product, '\\N') || '|' || coalesce(vendor, '\\N')
     || CASE WHEN copy_no > 0 THEN '|' || copy_no ELSE '' END AS row_key
   FROM numbered)"""
 
