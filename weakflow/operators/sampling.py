@@ -52,15 +52,14 @@ def _hashed(df: DataFrame, key: Column, seed: int | str) -> DataFrame:
 def cap_rows(df: DataFrame, n: int, key: Column, seed: int = 42) -> DataFrame:
     """The ``n`` rows with the smallest hashes.
 
-    A histogram finds the prefix that holds the n-th row, so only about ``n`` rows reach
-    the final sort. The window runs over the histogram (at most 65,536 rows).
+    The n-th hash is found from histograms, and each row is compared with it: the rows are
+    filtered where they are, and no task gathers or sorts them.
     """
-    hashed = _hashed(df, key, seed)
-    upto = F.sum("n").over(Window.orderBy("_prefix"))
-    histogram = hashed.groupBy("_prefix").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", upto)
-    cut = histogram.filter(F.col("upto") >= n).agg(F.min("_prefix")).scalar()
-    near = hashed.filter(F.col("_prefix") <= F.coalesce(cut, F.lit(1 << _BITS)))
-    return near.orderBy("_hash", "_key").limit(n).select(*df.columns)
+    whole = df.withColumn("_all", F.lit(1))
+    rows = whole.groupBy("_all").agg(F.count(F.lit(1)).alias("_n"))
+    quotas = rows.select("_all", F.least(F.col("_n"), F.lit(n)).cast("long").alias("quota"))
+    marked = mark_lowest(whole, quotas, "_all", key, "_kept", seed)
+    return marked.filter("_kept").select(*df.columns)
 
 
 def split_rows(df: DataFrame, key: Column, train: float = 0.8, seed: int | str = "split") -> DataFrame:
@@ -84,26 +83,31 @@ def mark_lowest(
     """Adds a boolean ``flag``: true for the ``quota`` lowest hashes of each group.
 
     ``quotas`` is (group, quota). Per group, a histogram finds the prefix that holds the
-    quota-th row, and only the rows of that one prefix are ranked. Every row is then
-    compared with its group's threshold, so a large group is never gathered in one task.
-    ``df`` is read three times: pass a stored table. The thresholds are stored, so that their
-    size (one row per group) decides whether they are broadcast.
+    quota-th row; a second one over the rest of the hash finds the very hash, and only the rows
+    with that hash are ranked by their keys. Every row is then compared with its group's
+    threshold, so a large group is never gathered in one task. The hash is computed once and
+    stored with the key. The thresholds are stored, so that their size (one row per group)
+    decides whether they are broadcast.
     """
-    hashed = _hashed(df, key, seed)
-    upto = F.sum("n").over(Window.partitionBy(group).orderBy("_prefix"))
-    edges = (
-        hashed.groupBy(group, "_prefix")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("upto", upto)
-        .join(quotas.select(group, "quota"), group)
-        .filter((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
-        .select(group, "_prefix", (F.col("quota") - F.col("upto") + F.col("n")).alias("_need"))
-    )
-    edges = stage(edges, "edges")
-    rank = F.row_number().over(Window.partitionBy(group, "_prefix").orderBy("_hash", "_key"))
+    hashed = stage(_hashed(df, key, seed), "hashed")
+
+    def edge(rows: DataFrame, need: DataFrame, bin_name: str) -> DataFrame:
+        """(group, bin, _need): the bin that holds the wanted row, and its place in there."""
+        upto = F.sum("n").over(Window.partitionBy(group).orderBy(bin_name))
+        counted = rows.groupBy(group, bin_name).agg(F.count(F.lit(1)).alias("n")).withColumn("upto", upto)
+        found = counted.join(need, group).filter(
+            (F.col("upto") >= F.col("_need")) & (F.col("upto") - F.col("n") < F.col("_need"))
+        )
+        return found.select(group, bin_name, (F.col("_need") - F.col("upto") + F.col("n")).alias("_need"))
+
+    coarse = stage(edge(hashed, quotas.select(group, F.col("quota").alias("_need")), "_prefix"), "edges")
+    keyed = hashed.select(group, "_prefix", "_hash", "_key")
+    in_prefix = keyed.join(coarse.select(group, "_prefix"), [group, "_prefix"])
+    fine = stage(edge(in_prefix, coarse.select(group, "_need"), "_hash"), "edges")
+    rank = F.row_number().over(Window.partitionBy(group, "_hash").orderBy("_key"))
     cuts = (
-        hashed.select(group, "_prefix", "_hash", "_key")
-        .join(edges, [group, "_prefix"])
+        keyed.select(group, "_hash", "_key")
+        .join(fine, [group, "_hash"])
         .withColumn("_rank", rank)
         .filter(F.col("_rank") == F.col("_need"))
         .select(group, F.col("_hash").alias("_cut_hash"), F.col("_key").alias("_cut_key"))
