@@ -87,3 +87,62 @@ def quality(text):
     failed = len(w) < 50 or 100 * len(repeated) > 50 * len(w)
     symbols = len(re.findall(r"[#*$%&|<>]", text))
     return len(w), sum(map(len, w)), symbols, len(lines) - len(set(lines)), len(repeated), failed
+
+
+def distance(p, q):
+    """Jensen-Shannon distance of two histograms in bits."""
+    if not sum(p) or not sum(q):
+        return None
+    total = 0.0
+    for a, b in zip(p, q, strict=True):
+        x, y = a / sum(p), b / sum(q)
+        total += sum(v * math.log2(v / ((x + y) / 2)) / 2 for v in (x, y) if v)
+    return math.sqrt(max(total, 0.0))
+
+
+def histograms(text, listed):
+    """(characters by class, common words and the rest) of a text."""
+    import unicodedata
+
+    text = text or ""
+    chars = [0] * 6
+    for c in text:
+        kind = unicodedata.category(c)
+        if c in " \t\n\x0b\x0c\r":
+            chars[0] += 1
+        elif kind == "Lu":
+            chars[1] += 1
+        elif kind == "Nd":
+            chars[2] += 1
+        elif c in "#*$%&|<>":
+            chars[3] += 1
+        elif kind[0] in "PS":
+            chars[4] += 1
+        else:
+            chars[5] += 1
+    w = SPACED.findall(text)
+    if listed is None:
+        return chars, None
+    return chars, [*(w.count(x) for x in listed), sum(x not in listed for x in w)]
+
+
+def kept(rows, common, min_chars, min_words, max_char, max_word):
+    """{place: kept} of (text, lang) rows: the base rules and the distances."""
+    own = [histograms(t, common.get(lang)) for t, lang in rows]
+    langs = {lang for _, lang in rows}
+
+    def summed(which, lang):
+        some = [h[which] for h, (_, k) in zip(own, rows, strict=True) if (lang is None or k == lang) and h[which]]
+        return [sum(x) for x in zip(*some, strict=True)]
+
+    references = {lang: (summed(0, lang), summed(1, lang) if lang in common else None) for lang in langs}
+    out = []
+    for (text, lang), (chars, wordy) in zip(rows, own, strict=True):
+        n_words, *_, failed = quality(text)
+        far = False
+        if len(text or "") >= min_chars:
+            far |= (distance(chars, references[lang][0]) or 0) > max_char
+        if wordy and n_words >= min_words:
+            far |= (distance(wordy, references[lang][1]) or 0) > max_word
+        out.append(not failed and not far)
+    return out

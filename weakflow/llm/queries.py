@@ -135,7 +135,27 @@ def op8_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_quality.score(table(spark, sf_dir, "documents"))
 
 
-@registry.add("op9_jaccard_join")
+@registry.add(
+    "op9_jaccard_join",
+    """
+    WITH RECURSIVE d AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    s AS (
+      SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS shingle
+      FROM d, unnest(range(1, greatest(len(w) - 3, 2))) AS t(i) WHERE len(w) > 0),
+    sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    links AS (
+      SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+      JOIN sizes m ON m.doc_id = a.doc_id JOIN sizes n ON n.doc_id = b.doc_id
+      GROUP BY a.doc_id, b.doc_id, m.n, n.n HAVING 100 * count(*) >= 80 * (m.n + n.n - count(*))),
+    reach AS (
+      SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+    least_id AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+    SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, least(d.doc_id, coalesce(r.y, d.doc_id)) AS component_id
+    FROM d LEFT JOIN sizes z ON z.doc_id = d.doc_id LEFT JOIN least_id r ON r.x = d.doc_id
+    """,
+)
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_jaccard.join(table(spark, sf_dir, "documents"))
 
