@@ -280,11 +280,11 @@ def positions(symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
     whole[np.arange(len(symbols)) + owner] = symbols
     inside = np.arange(len(whole)) - np.repeat(at[:-1], counts + 1)
     start = 1 + HEAD + CLASSES
-    contexts = np.full((len(whole), CONTEXT), start, dtype=np.int64)
+    small = whole.astype(np.uint8)  # there are fewer than 256 symbols
+    contexts = np.full((CONTEXT, len(whole)), start, dtype=np.uint8)
     for j in range(1, CONTEXT + 1):
-        far = np.flatnonzero(inside >= j)
-        contexts[far, j - 1] = whole[far - j]
-    return whole, contexts, at
+        contexts[j - 1, j:] = np.where(inside[j:] >= j, small[: max(len(small) - j, 0)], start)
+    return whole, np.ascontiguousarray(contexts.T), at
 
 
 def train(df: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Model:
