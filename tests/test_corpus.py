@@ -1,3 +1,4 @@
+import os
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from tests.conftest import bag
 from weakflow import schemas
 from weakflow.operators.corpus import Corpus, corpus_text, join_vendors, keep_labelled
 from weakflow.operators.joins import expand_copies, hot_keys, spread_left_join
-from weakflow.sources import tables
+from weakflow.sources import staging, tables
 from weakflow.sources.staging import stage
 
 
@@ -152,3 +153,13 @@ def test_parquet_and_paging(spark, tmp_path):
         ("id", "bigint", 100),
         ("x", "bigint", 100),
     ]
+
+
+def test_staged_tables_can_be_dropped(spark):
+    df = stage(spark.range(5), "dropped")
+    path = df.inputFiles()[0].removeprefix("file:").replace("//", "/").rsplit("/", 1)[0]
+    assert os.path.isdir(path) and df.count() == 5
+    made, staging._made[:] = staging._made[:], [m for m in staging._made if "dropped-" in m]
+    staging.drop_staged(spark)
+    staging._made[:] = made  # other tests still read theirs
+    assert not os.path.exists(path)

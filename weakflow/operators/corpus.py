@@ -20,6 +20,7 @@ from weakflow.operators.joins import (
 )
 from weakflow.sources.staging import stage
 
+# The column names of the CVE table.
 CVE_COLUMNS = [
     "cve_id",
     "mod_date",

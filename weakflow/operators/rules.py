@@ -54,10 +54,12 @@ LABEL_ADVICE = (
         ),
     ),
 )
+# Fixed value: at most so many recommendations are given.
 MAX_ADVICE = 5
 
 # Upper confidence bounds of the risk levels, and the level above them.
 RISK_BOUNDS = ((0.3, "LOW"), (0.6, "MEDIUM"), (0.8, "HIGH"))
+# The highest level, and the colour of each level.
 RISK_TOP = "CRITICAL"
 RISK_COLOURS = {"LOW": "green", "MEDIUM": "orange", "HIGH": "red"}
 RISK_TOP_COLOUR = "darkred"

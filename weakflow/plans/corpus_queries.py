@@ -205,6 +205,18 @@ def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.page_rows(keyed, ["row_key"], 5000, 5000)
 
 
+@registry.add(
+    "page_after",
+    f"""{fx.SQL_KEYED} SELECT row_key, cwe_name FROM keyed WHERE row_key > 'CVE-5'
+ORDER BY row_key LIMIT 5000""",
+)
+def page_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of rows that follows a key; its cost does not grow with the place of the page."""
+    rows = _corpus(spark, sf_dir).keys()
+    keyed = rows.select(corpus.row_key().alias("row_key"), "cwe_name")
+    return tables.page_after(keyed, "row_key", "CVE-5", 5000)
+
+
 @registry.add(
     "label_counts",
     f"{fx.SQL_CORPUS} SELECT cwe_name, count(*) AS n FROM corpus GROUP BY cwe_name",
