@@ -47,6 +47,7 @@ SLOTS = 1 << 22  # counters of the sketch
 GROUP_BYTES = 4 << 20
 PART_ROWS = 100_000
 MAX_BROADCAST_IDS = 1_000_000
+POSTINGS_HELD = 1 << 18  # postings that a task holds before it passes them on
 _BLOCK = 4096
 
 
@@ -141,11 +142,13 @@ def prefix_postings(df: DataFrame, sketch: np.ndarray, buckets: int, k: int = K)
 
     A task passes over a set that it has already posted.
     """
-    parts_of = np.minimum(1 + sketch // PART_ROWS, 1 << 31).astype(np.uint32)
-    shared = df.sparkSession.sparkContext.broadcast((_levels(sketch), parts_of))
+    # Slots of lists that are dealt out in several parts; the sum of the sketch bounds their number.
+    hot = np.flatnonzero(sketch >= PART_ROWS)
+    parts = (1 + sketch[hot] // PART_ROWS).astype(np.uint64)
+    shared = df.sparkSession.sparkContext.broadcast((_levels(sketch), hot, parts))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, parts_of = shared.value
+        levels, hot, hot_parts = shared.value
         posted: set[tuple[int, int]] = set()
         held: list[np.ndarray] = []
 
@@ -187,9 +190,12 @@ def prefix_postings(df: DataFrame, sketch: np.ndarray, buckets: int, k: int = K)
                 chosen = order[use]
                 of = owner[use]
                 place = (n[of] + (rank[use] << 32)).astype(np.uint64)
-                parts = parts_of[slot[chosen]].astype(np.uint64)
+                parts = np.ones(len(chosen), dtype=np.uint64)
+                if len(hot):
+                    near = np.minimum(np.searchsorted(hot, slot[chosen]), len(hot) - 1)
+                    parts = np.where(hot[near] == slot[chosen], hot_parts[near], parts)
                 held.append(np.stack([hashes[chosen], ids[of].astype(np.int64).view(np.uint64), place, parts]))
-                if sum(h.shape[1] for h in held) >= 1 << 20:
+                if sum(h.shape[1] for h in held) >= POSTINGS_HELD:
                     yield flush()
         if held:
             yield flush()
