@@ -300,6 +300,24 @@ def test_toxicity_learns_on_its_folds_only(spark, odd, empty):
     assert untaught.score("you stupid idiot") > 0.5 > untaught.score("hello")
 
 
+def test_toxicity_learns_rare_words(spark):
+    """Each insult stands in 8 of 400 toxic texts, and holds letters beyond ASCII."""
+    rows = []
+    for i in range(1600):
+        rng = random.Random(i)
+        text = [f"w{rng.randrange(200)}" for _ in range(30)]
+        if i % 4 == 0:
+            text[10:10] = [f"zörg{i // 4 % 50}x", "w3", f"blé{(i // 4 + 1) % 50}"]
+        rows.append((i, " ".join(text), int(i % 4 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    grammar = op7_toxicity.train(docs, docs)
+    learnt = set(grammar.insults) - set(op7_toxicity.INSULTS)
+    assert len(learnt) > 90 and all(w.startswith(("zörg", "blé")) for w in learnt)
+    unseen = [(t, y) for i, t, y in rows if brute.fold(i, 5) == 0]
+    right = [(grammar.score(t) >= 0.5) == (y == 1) for t, y in unseen]
+    assert sum(right) > 0.95 * len(right)
+
+
 def test_quality(spark, odd, empty):
     rows, df = odd
     got = op8_quality.score(df)

@@ -14,10 +14,14 @@ reported insult counts for less than one aimed at somebody. A word alone never s
 of its clause. A text has two features, the sum of its clause scores and that sum per word;
 a logistic curve over their logarithms gives the score from 0 to 1.
 
-Learning: insult weights are log odds of a word in toxic against other labelled texts. They
-and the logistic curve are fitted on at most ``TRAINING_ROWS`` labelled texts, chosen by a hash
-of the id; equal texts count once. Words of the fixed lists have a prior weight, which the
-labels correct. Scoring reads the text only.
+Learning: insult weights are log odds of a word in toxic against other labelled texts. A word
+is learnt by its evidence alone: ``MIN_TEXTS`` toxic texts and log odds of ``MIN_ODDS``, however
+small its share of the toxic texts; its weight shrinks with few texts, and several weak words of
+a clause add up. The weights and the logistic curve are fitted on at most ``TRAINING_ROWS``
+labelled texts, chosen by a hash of the id; equal texts count once. The curve sees each text
+through weights learnt without that text's part, since a word of few texts would look better
+than it is on those texts. Words of the fixed lists have a prior weight, which the labels
+correct. Scoring reads the text only, and cuts words as learning does.
 
 A NULL or empty text has no clause and gets the score of a text without a match. Repeated ids
 stay separate rows. Without labels the prior weights and a default curve are used.
@@ -38,7 +42,8 @@ from weakflow.sources.staging import stage
 
 TRAINING_ROWS = 20_000
 FOLDS, HELD_OUT = 5, 0  # rows whose crc32(id) mod FOLDS is HELD_OUT are never learnt from
-MIN_SHARE = 0.05  # share of the toxic texts that a learnt word must occur in
+PARTS = 5  # parts of the training texts; the curve sees each with the weights of the others
+MIN_TEXTS = 3  # toxic texts that a learnt word must occur in
 MIN_ODDS = 3.0  # log odds that a learnt word must have
 PRIOR_WEIGHT, PRIOR_ROWS = 2.0, 4.0
 BLOCK_FROM = 0.5
@@ -134,10 +139,15 @@ def threat(reach: int = 3) -> Transducer:
 
 
 _CLAUSE = re.compile(r"[.,;:!?()\n]+")
-_WORD = re.compile(r"[0-9a-z']+|[^\x00-\x7f]+")
+_LETTERS = r"[0-9a-z\u0080-\U0010ffff]+"
+_WORD = re.compile(rf"{_LETTERS}(?:'{_LETTERS})*")
 _ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def lowered(text: str) -> str:
+    return text.translate(_ASCII_LOWER) if not text.isascii() else text.lower()
+
+
 @dataclass
 class Grammar:
     """The composed machine with learnt weights, and the logistic curve over its features."""
@@ -172,7 +182,7 @@ class Grammar:
 
     def matched(self, text: str) -> list[tuple[str, float]]:
         """(clause, score) of the clauses with an insult or a threat."""
-        text = text.translate(_ASCII_LOWER) if not text.isascii() else text.lower()
+        text = lowered(text)
         found, last = [], -1
         for hit in self._any.finditer(text):
             if hit.start() < last:
@@ -195,12 +205,20 @@ class Grammar:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * x + c * y))))
 
 
+def taught(weights: dict[str, float]) -> Grammar:
+    """The grammar of the fixed lists with learnt weights."""
+    grammar = Grammar()
+    for word, weight in weights.items():
+        (grammar.threats if word in THREATS else grammar.insults)[word] = weight
+    return Grammar(grammar.insults, grammar.threats)
+
+
 def held_out(key: Column, folds: int = FOLDS, fold: int = HELD_OUT) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int) -> DataFrame:
-    """(text, label) of at most about ``rows`` labelled texts outside the held-out fold."""
+    """(text, label, part) of at most about ``rows`` labelled texts outside the held-out fold."""
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
     known = known.groupBy(key).agg(F.max(F.col(label).cast("int")).alias("label"))
     n = known.count()
@@ -211,38 +229,57 @@ def training_texts(docs: DataFrame, labels: DataFrame, key: str, text: str, labe
     texts = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
     # About ``rows`` ids at most: a broadcast of bounded size.
     found = texts.join(F.broadcast(known), key).select("text", "label")
-    return stage(found.dropDuplicates(["text", "label"]), "toxicity-texts")
+    part = F.pmod(F.xxhash64("text", F.lit("part")), F.lit(PARTS)).cast("int").alias("part")
+    return stage(found.dropDuplicates(["text", "label"]).select("text", "label", part), "toxicity-texts")
 
 
-def word_odds(texts: DataFrame, min_share: float, min_odds: float) -> dict[str, float]:
-    """Log odds of the words that mark toxic texts."""
+def word_odds(texts: DataFrame) -> list[dict[str, float]]:
+    """Weights of the words that mark toxic texts: for each part of the texts those learnt
+    without it, and last those of all texts."""
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in tb.slices(batch, "text"):
-                words = tb.find_words(piece.column("text"), tb.ALPHANUMERIC)
-                label = piece.column("label").to_numpy()[words.text_of()]
-                pairs = np.stack([words.hashes(), words.text_of().astype(np.uint64)], axis=1)
-                _, first = np.unique(pairs, axis=0, return_index=True)
-                yield pa.RecordBatch.from_arrays(
-                    [words.strings(first), pa.array(label[first], pa.int32())], names=["word", "label"]
-                )
-
-    totals = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    toxic, other = totals.get(1, 0), totals.get(0, 0)
-    if not toxic or not other:
-        return {}
-    counted = texts.mapInArrow(seen, "word string, label int").groupBy("word").agg(
-        F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("other")
-    )
+                found = [sorted(set(_WORD.findall(lowered(t.as_py())))) for t in piece.column("text")]
+                of = np.repeat(np.arange(len(found)), [len(words) for words in found])
+                words = [w for words in found for w in words]
+                columns = [pa.array(words, pa.string()), piece.column("part").take(of), piece.column("label").take(of)]
+                yield pa.RecordBatch.from_arrays(columns, names=["word", "part", "label"])
+
+    kinds = [(part, label) for part in range(PARTS) for label in (1, 0)]
+    totals = np.zeros((PARTS, 2))
+    for r in texts.groupBy("part", "label").agg(F.count(F.lit(1)).alias("n")).collect():
+        totals[r["part"], 1 - r["label"]] = r["n"]
+    without = [totals.sum(axis=0) - t for t in totals] + [totals.sum(axis=0)]
+
+    def counts(label: int, left_out: int | None) -> Column:
+        some = [F.col(f"n{p}_{label}") for p in range(PARTS) if p != left_out]
+        return sum(some[1:], some[0])
+
+    def odds(left_out: int | None) -> Column:
+        toxic, other = without[PARTS if left_out is None else left_out]
+        return F.log((counts(1, left_out) + 0.5) / (toxic + 1)) - F.log((counts(0, left_out) + 0.5) / (other + 1))
+
+    is_kind = [((F.col("part") == p) & (F.col("label") == label)).cast("int") for p, label in kinds]
+    sums = [F.sum(k).alias(f"n{p}_{label}") for k, (p, label) in zip(is_kind, kinds, strict=True)]
+    counted = texts.mapInArrow(seen, "word string, part int, label int").groupBy("word").agg(*sums)
     seeds = INSULTS + THREATS
-    rows = counted.filter((F.col("toxic") >= max(3, min_share * toxic)) | F.col("word").isin(*seeds))
-    odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("other") + 0.5) / (other + 1))
-    # At most 1 / min_share words per mean word of a text pass; the strongest 1,000 are kept.
-    marked = rows.withColumn("odds", odds).filter((F.col("odds") >= min_odds) | F.col("word").isin(*seeds))
-    best = marked.orderBy(F.desc("odds"), "word").limit(1000)
-    return {r["word"]: (r["odds"] * r["toxic"] + PRIOR_WEIGHT * PRIOR_ROWS * (r["word"] in seeds)) / (
-        r["toxic"] + PRIOR_ROWS) for r in best.collect()}
+    cuts = [*range(PARTS), None]
+    toxic = {f"toxic{i}": counts(1, cut) for i, cut in enumerate(cuts)}
+    marked = counted.select("word", *[c.alias(n) for n, c in toxic.items()], *[odds(c).alias(f"odds{i}") for i, c in enumerate(cuts)])
+    enough = [(F.col(f"toxic{i}") >= MIN_TEXTS) & (F.col(f"odds{i}") >= MIN_ODDS) for i in range(len(cuts))]
+    learnt = F.col("word").isin(*seeds)
+    for e in enough:
+        learnt = learnt | e
+    # Each word stands in some of the bounded number of training texts.
+    out: list[dict[str, float]] = [{} for _ in cuts]
+    for r in marked.filter(learnt).orderBy("word").collect():
+        seed = r["word"] in seeds
+        for i, weights in enumerate(out):
+            n, o = r[f"toxic{i}"], r[f"odds{i}"]
+            if without[i].all() and (seed or (n >= MIN_TEXTS and o >= MIN_ODDS)):
+                weights[r["word"]] = (o * n + PRIOR_WEIGHT * PRIOR_ROWS * seed) / (n + PRIOR_ROWS)
+    return out
 
 
 def fit_curve(features: np.ndarray, labels: np.ndarray, steps: int = 50) -> tuple[float, float, float]:
@@ -272,15 +309,13 @@ def train(
     rows: int = TRAINING_ROWS,
 ) -> Grammar:
     texts = training_texts(docs, labels, key, text, label, rows)
-    learnt = word_odds(texts, MIN_SHARE, MIN_ODDS)
-    grammar = Grammar()
-    for word, weight in learnt.items():
-        (grammar.threats if word in THREATS else grammar.insults)[word] = weight
-    grammar = Grammar(grammar.insults, grammar.threats)
+    *partial, grammar = map(taught, word_odds(texts))
+    shared = texts.sparkSession.sparkContext.broadcast(partial)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [grammar.features(t.as_py()) for t in batch.column("text")]
+            pairs = zip(batch.column("text"), batch.column("part").to_pylist(), strict=True)
+            both = [shared.value[part].features(t.as_py()) for t, part in pairs]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([a for a, _ in both], pa.float64()), pa.array([b for _, b in both], pa.float64()),
                  batch.column("label")], names=["x", "y", "label"])
