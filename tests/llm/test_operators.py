@@ -276,6 +276,18 @@ def test_grammar_scores_clauses():
     assert g.score(None) == g.score("") == g.score("nothing here") < 0.5
 
 
+def test_grammar_reads_whole_clauses():
+    g = op7_toxicity.Grammar()
+    filler = " o" * 300
+    reported = f"he said{filler} idiot"
+    assert g.matched(reported) == [(reported, g.clause_score(reported))]
+    assert g.matched(reported)[0][1] < g.clause_score("idiot")
+    assert g.matched("s" + "kill" * 150 + " you idiot")[0][1] == g.clause_score("you idiot")
+    long = f"idiot{filler} moron{filler} scum"
+    assert [s for _, s in g.matched(long)] == [g.clause_score("idiot moron scum")]
+    assert g.matched("a" * 1_000_000 + filler * 1000) == []
+
+
 def test_toxicity_learns_on_its_folds_only(spark, odd, empty):
     rng = random.Random(4)
     rows, labels = [], []

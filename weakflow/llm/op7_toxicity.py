@@ -138,7 +138,7 @@ def threat(reach: int = 3) -> Transducer:
     return Transducer(step)
 
 
-_CLAUSE = re.compile(r"[.,;:!?()\n]+")
+_CLAUSE = re.compile(r"[^.,;:!?()\n]+")
 _LETTERS = r"[0-9a-z\u0080-\U0010ffff]+"
 _WORD = re.compile(rf"{_LETTERS}(?:'{_LETTERS})*")
 _ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -148,6 +148,10 @@ def lowered(text: str) -> str:
     return text.translate(_ASCII_LOWER) if not text.isascii() else text.lower()
 
 
+def words_of(clause: str) -> Iterator[str]:
+    return map(re.Match.group, _WORD.finditer(clause))
+
+
 @dataclass
 class Grammar:
     """The composed machine with learnt weights, and the logistic curve over its features."""
@@ -157,10 +161,7 @@ class Grammar:
     curve: tuple[float, float, float] = (-3.0, 3.0, 0.5)
 
     def __post_init__(self) -> None:
-        words = sorted(set(self.insults) | set(self.threats), key=lambda w: (-len(w), w))
-        inner = r"0-9a-z'\u0080-\U0010ffff"
-        alternatives = "|".join(map(re.escape, words))
-        self._any = re.compile(rf"(?<![{inner}])(?:{alternatives})(?![{inner}])")
+        self._words = set(self.insults) | set(self.threats)
         machine = compose(lexicon(self.insults, self.threats), report())
         for further in (negation(), target(), threat()):
             machine = compose(machine, further)
@@ -175,23 +176,15 @@ class Grammar:
 
     def clause_score(self, clause: str) -> float:
         state, total = 0, 0.0
-        for word in _WORD.findall(clause):
+        for word in words_of(clause):
             state, _, weight = self._machine.step(state, word)
             total += weight
         return max(total, 0.0)
 
     def matched(self, text: str) -> list[tuple[str, float]]:
         """(clause, score) of the clauses with an insult or a threat."""
-        text = lowered(text)
-        found, last = [], -1
-        for hit in self._any.finditer(text):
-            if hit.start() < last:
-                continue
-            begin = max((m.end() for m in _CLAUSE.finditer(text, max(0, hit.start() - 400), hit.start())), default=max(0, hit.start() - 400))
-            end = _CLAUSE.search(text, hit.end(), hit.end() + 400)
-            last = end.start() if end else min(len(text), hit.end() + 400)
-            found.append((text[begin:last], self.clause_score(text[begin:last])))
-        return found
+        clauses = (m.group() for m in _CLAUSE.finditer(lowered(text)))
+        return [(c, self.clause_score(c)) for c in clauses if not self._words.isdisjoint(words_of(c))]
 
     def features(self, text: str | None) -> tuple[float, float]:
         if not text:
