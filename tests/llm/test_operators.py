@@ -230,6 +230,23 @@ def test_url_rules_and_trees(spark):
     assert op5_urls.judge(df.limit(0), [], model).count() == 0
 
 
+def test_url_suffixes_are_all_counted(spark):
+    """100 suffixes, more pages than labelled URLs, and a sample smaller than the labelled rows."""
+    labelled = [(f"http://h.s{s:03d}/{i:02d}", s % 2) for s in range(100) for i in range(6)]
+    pages = [(u,) for u, _ in labelled] + [(f"http://other.s{s:03d}/", ) for s in range(100) for _ in range(s)] + [(None,), ("http://h.new/",)]
+    model = op5_urls.train(
+        spark.createDataFrame(labelled, "url string, bad int"), rows=300, pages=spark.createDataFrame(pages, "url string")
+    )
+    got = {r["suffix"]: (r["suffix_share"], r["suffix_bad"]) for r in model.suffixes.collect()}
+    assert set(got) == {f"s{s:03d}" for s in range(100)} | {"new", ""}
+    for s in range(100):
+        share, bad = got[f"s{s:03d}"]
+        assert share == pytest.approx((6 + s) / len(pages)) and bad == pytest.approx((6 * (s % 2) + 5) / 16)
+    unseen = spark.createDataFrame([(f"http://h.s{s:03d}/99", s % 2) for s in range(100)], "url string, bad int")
+    judged = op5_urls.judge(unseen, [], model).collect()
+    assert sum((r["verdict"] == "block") == (r["bad"] == 1) for r in judged) >= 95
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.dictionaries(st.integers(1, 60), st.integers(1, 20), min_size=1, max_size=8), st.integers(1, 5))
 def test_bucket_boundaries_are_optimal(histogram, buckets):

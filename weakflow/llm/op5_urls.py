@@ -6,7 +6,10 @@ A rule names a host and a path; it fits that host with all its subdomains if the
 URL starts with the rule's. The longest fitting rule decides. URLs without a rule are judged
 by trees trained from labelled URLs: their features are the length, the depth of the path,
 the ratio of digits, the entropy of the characters, the number of parameters, and statistics
-of the host's suffix (how common it is, and how often its labelled URLs are bad).
+of the host's suffix (how common it is in all URLs, and how often its labelled URLs are bad).
+Suffixes are counted over all rows, without a limit; only the fit of the trees uses a sample. Few
+labelled URLs pull a suffix towards the prior, and the trees see a URL with the statistics of
+the other parts of the labelled URLs, since its own label would tell too much of a rare suffix.
 
 A NULL URL, or one without ``://``, has an empty host and path, fits no rule, and is judged
 by the trees like any other. Repeated ids stay separate rows. Without labelled URLs of both
@@ -21,10 +24,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weakflow.operators.joins import broadcast_if_small, spread_left_join
 from weakflow.sources.staging import stage
 
 TRAINING_ROWS = 20_000  # bound of the labelled sample that the trees are fitted on
-SUFFIXES = 64  # suffixes with statistics of their own; the rest share one entry
+PARTS = 5  # parts of the labelled URLs; the trees see each with the suffix statistics of the others
+PRIOR_ROWS = 10.0  # rows of the prior that are added to the labelled URLs of a suffix
 TREES = 20
 DEPTH = 4
 BLOCK_FROM = 0.5
@@ -83,7 +88,7 @@ def lexical(df: DataFrame, url: str = "url") -> DataFrame:
     query = F.regexp_extract(text, r"(?s)\?([^#]*)", 1)
     return named.withColumns(
         {
-            "suffix": F.regexp_extract("host", r"([^.]*)$", 1),
+            "suffix": suffix(F.col("host")),
             "length": length.cast("double"),
             "depth": steps.cast("double"),
             "host_labels": F.size(F.split("host", r"\.")).cast("double"),
@@ -96,59 +101,87 @@ def lexical(df: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
+def suffix(host: Column) -> Column:
+    return F.regexp_extract(host, r"([^.]*)$", 1)
+
+
 @dataclass(frozen=True)
 class UrlModel:
-    """The trees (None if they could not be grown), the prior and the suffix statistics."""
+    """The trees (None if they could not be grown), the prior and the suffix statistics, a
+    stored table with a row for every suffix of the URLs that it was made from."""
 
     trees: GBTClassificationModel | None
     prior: float
     suffixes: DataFrame
-    other: tuple[float, float]
 
 
-def _with_suffixes(df: DataFrame, model_suffixes: DataFrame, other: tuple[float, float]) -> DataFrame:
-    # At most SUFFIXES rows, so a broadcast is safe at any size of the input.
-    joined = df.join(F.broadcast(model_suffixes), "suffix", "left")
+def _with_suffixes(df: DataFrame, stats: DataFrame, prior: float) -> DataFrame:
+    """Adds the statistics, by a broadcast if the measured table is small. A suffix that was
+    never seen has a share of 0 and the prior."""
+    small = broadcast_if_small(stats)
+    joined = df.join(small, "suffix", "left") if small is not stats else spread_left_join(df, stats, "suffix", right_unique=True)
     return joined.withColumns(
         {
-            "suffix_share": F.coalesce("suffix_share", F.lit(other[0])),
-            "suffix_bad": F.coalesce("suffix_bad", F.lit(other[1])),
+            "suffix_share": F.coalesce("suffix_share", F.lit(0.0)),
+            "suffix_bad": F.coalesce("suffix_bad", F.lit(prior)),
         }
     )
 
 
-def train(labelled: DataFrame, url: str = "url", label: str = "bad", rows: int = TRAINING_ROWS) -> UrlModel:
+def _bad_rate(bad: Column, n: Column, prior: float) -> Column:
+    return (bad + F.lit(PRIOR_ROWS * prior)) / (n + F.lit(PRIOR_ROWS))
+
+
+def train(
+    labelled: DataFrame,
+    url: str = "url",
+    label: str = "bad",
+    rows: int = TRAINING_ROWS,
+    pages: DataFrame | None = None,
+) -> UrlModel:
     """Grow trees from (url, label) with label 0 or 1.
 
     At most about ``rows`` labelled URLs, chosen by a hash of the URL, are used for the fit.
+    The share of a suffix is counted over the ``url`` of all ``pages``, or else of the labelled URLs.
     """
     known = labelled.filter(F.col(label).isNotNull() & F.col(url).isNotNull())
     known = known.select(F.col(url).alias("url"), F.col(label).cast("double").alias("bad"))
-    n = known.count()
+    of_url = suffix(host(F.col("url"))).alias("suffix")
+    part = F.pmod(F.xxhash64("url", F.lit("part")), F.lit(PARTS)).alias("part")
+    by_part = known.select("bad", of_url, part).groupBy("suffix", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
+    by_part = stage(by_part, "url-suffix-parts")
+    n, all_bad = by_part.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0.0))).first()
+    prior = float((all_bad + 1) / (n + 2)) if n else 0.0
+    every = known.select("url") if pages is None else pages.select(F.col(url).alias("url"))
+    shares = stage(every.select(of_url).groupBy("suffix").agg(F.count(F.lit(1)).alias("pages")), "url-suffix-pages")
+    n_pages = shares.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
+    labels = by_part.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    counted = shares.join(labels, "suffix", "full").fillna(0)
+    counted = counted.withColumn("suffix_share", F.col("pages") / F.lit(float(max(1, n_pages))))
+    counted = stage(counted.select("suffix", "suffix_share", "n", "bad"), "url-suffix-counts")
+    stats = counted.select("suffix", "suffix_share", _bad_rate(F.col("bad"), F.col("n"), prior).alias("suffix_bad"))
+    stats = stage(stats, "url-suffixes")
+
     if n > rows:
-        part = F.pmod(F.xxhash64("url", F.lit("sample")), F.lit(1 << 20))
-        known = known.filter(part < int(rows / n * (1 << 20)))
-    known = stage(lexical(known), "url-training")
+        sample = F.pmod(F.xxhash64("url", F.lit("sample")), F.lit(1 << 20))
+        known = known.filter(sample < int(rows / n * (1 << 20)))
+    known = stage(lexical(known).withColumn("part", part), "url-training")
     total, bad = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("bad"), F.lit(0.0))).first()
-    prior = (bad + 1) / (total + 2) if total else 0.0
-    stats = known.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
-    stats = stats.orderBy(F.desc("n"), "suffix").limit(SUFFIXES)
-    stats = stage(
-        stats.select(
-            "suffix",
-            (F.col("n") / F.lit(float(max(1, total)))).alias("suffix_share"),
-            ((F.col("bad") + F.lit(10 * prior)) / (F.col("n") + 10)).alias("suffix_bad"),
-        ),
-        "url-suffixes",
-    )
-    other = (0.0, float(prior))
     trees = None
     if total and 0 < bad < total:
+        own = by_part.select("suffix", "part", F.col("n").alias("own_n"), F.col("bad").alias("own_bad"))
+        others = own.join(counted, "suffix").select(
+            "suffix",
+            "part",
+            "suffix_share",
+            _bad_rate(F.col("bad") - F.col("own_bad"), F.col("n") - F.col("own_n"), prior).alias("suffix_bad"),
+        )
+        points = known.join(others, ["suffix", "part"])  # each labelled URL has its suffix and part there
         ready = VectorAssembler(inputCols=FEATURES, outputCol="features")
-        points = ready.transform(_with_suffixes(known, stats, other)).select("features", "bad")
+        points = stage(ready.transform(points).select("features", "bad"), "url-points")
         fit = GBTClassifier(featuresCol="features", labelCol="bad", maxIter=TREES, maxDepth=DEPTH, seed=7)
         trees = fit.fit(points)
-    return UrlModel(trees, float(prior), stats, other)
+    return UrlModel(trees, prior, stats)
 
 
 def judge(df: DataFrame, rules: list[Rule], model: UrlModel, url: str = "url") -> DataFrame:
@@ -157,7 +190,7 @@ def judge(df: DataFrame, rules: list[Rule], model: UrlModel, url: str = "url") -
     given = [c for c in df.columns if c not in out]
     # Own names for the work, whatever other columns the table has.
     work = df.select(F.struct(*[F.col(f"`{c}`") for c in given]).alias("_row"), F.col(url).alias("_url"))
-    seen = _with_suffixes(lexical(work, "_url"), model.suffixes, model.other)
+    seen = _with_suffixes(lexical(work, "_url"), model.suffixes, model.prior)
     if model.trees is not None:
         seen = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(seen)
         seen = model.trees.transform(seen)

@@ -107,7 +107,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = ((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int")
     shown = pages.withColumn("doc_id", F.regexp_extract("url", r"/(\d{1,18})(?:[/.?#]|$)", 1).try_cast("long"))
     labelled = shown.join(labels.select("doc_id", bad.alias("bad")), "doc_id")
-    model = op5_urls.train(labelled.select("url", "bad"))
+    model = op5_urls.train(labelled.select("url", "bad"), pages=pages)
     return op5_urls.judge(pages, URL_RULES, model).select("page_id", "host", "path", "rule", "verdict", "p_bad")
 
 
