@@ -3,8 +3,6 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import public_tokenizers
-
 from weakflow.llm import (
     op1_lm,
     op2_decontamination,
@@ -16,6 +14,7 @@ from weakflow.llm import (
     op8_quality,
     op9_jaccard,
     op10_sharding,
+    op11_divergence,
 )
 from weakflow.plans.registry import Registry
 
@@ -65,6 +64,8 @@ def op2_decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("op3_token_blocks")
 def op3_token_blocks_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = op3_token_blocks.write_parts(docs, public_tokenizers.path("word_bpe_49k.json"))
     return op3_token_blocks.read_documents(spark, path)
@@ -174,6 +175,45 @@ def op10_sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@registry.add(
+    "op11_source_divergence",
+    """
+    WITH d AS (
+      SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+    t AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+    kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+    langs AS (SELECT lang, count(*) AS v, CAST(sum(n) AS BIGINT) AS total FROM kept GROUP BY lang),
+    groups AS (SELECT DISTINCT lang, source FROM d),
+    c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term),
+    totals AS (SELECT lang, source, CAST(sum(n) AS BIGINT) AS total FROM c GROUP BY lang, source),
+    p AS (
+      SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+        1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (coalesce(s.total, 0) + 5 * l.v) AS p,
+        1 + (1000000000 * (k.n + 5)) // (l.total + 5 * l.v) AS q
+      FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang)
+      LEFT JOIN totals s ON s.lang = g.lang AND s.source = g.source
+      LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    pairs AS (
+      SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f, 0) AS BIGINT) AS value
+      FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN (
+        SELECT x.lang, x.source, y.source AS other, sum(abs(x.p - y.p)) AS f
+        FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term GROUP BY x.lang, x.source, y.source) m
+      ON m.lang = a.lang AND m.source = a.source AND m.other = b.source),
+    terms AS (
+      SELECT lang, source, 'term' AS part, term AS item, CAST(p - q AS BIGINT) AS value FROM p WHERE n > 0 AND p > q),
+    ranked AS (
+      SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+      FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+    SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+    """,
+)
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return dict(registry.queries)
 
