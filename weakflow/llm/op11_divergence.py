@@ -34,9 +34,7 @@ from weakflow.sources.staging import stage
 LETTERS = textbytes.byte_table("".join(chr(c) for c in range(128) if not chr(c).isalpha()))
 MIN_DOCS = 30  # documents of a language that a kept term needs
 TERM_RANKS = 50  # ranks reported of part ``term``
-LEVELS = 8
-TILE = 1 << LEVELS  # rows and columns of a tile
-BUCKET_TERMS = TILE // 2  # mean terms of a hash bucket; a fuller one is cut into several tiles
+LEVELS = 8  # of a tree; a tile has 2 ** LEVELS rows and columns
 WALK = 1 << 15  # pairs of quadrants opened at once
 SLICE = 4 << 20
 SCALE_STEPS = 3  # 1000 ** 3 is the scale of p
@@ -113,11 +111,11 @@ class Tree:
     """A k2-tree of one tile: ``levels[l]`` holds four bits per node of level l, and ``child[l]`` the
     number of the node that each set bit leads to; nodes of the last level are the cells."""
 
-    def __init__(self, bits: bytes, counts: np.ndarray):
+    def __init__(self, bits: bytes, counts: np.ndarray, levels: int = LEVELS):
         flags = np.unpackbits(np.frombuffer(bits, dtype=np.uint8))
         self.levels, self.child, self.counts = [], [], counts
         at, nodes = 0, 1
-        for _ in range(LEVELS):
+        for _ in range(levels):
             level = flags[at : at + 4 * nodes]
             at += 4 * nodes
             self.levels.append(level)
@@ -131,21 +129,21 @@ class Tree:
         return np.where(there, self.child[level][place], -1)
 
 
-def _interleave(row: np.ndarray, column: np.ndarray) -> np.ndarray:
+def _interleave(row: np.ndarray, column: np.ndarray, levels: int) -> np.ndarray:
     code = np.zeros(len(row), dtype=np.int64)
-    for bit in range(LEVELS):
+    for bit in range(levels):
         code |= ((row >> bit) & 1) << (2 * bit + 1) | ((column >> bit) & 1) << (2 * bit)
     return code
 
 
-def build_tree(row: np.ndarray, column: np.ndarray, count: np.ndarray) -> tuple[bytes, np.ndarray]:
+def build_tree(row: np.ndarray, column: np.ndarray, count: np.ndarray, levels: int = LEVELS) -> tuple[bytes, np.ndarray]:
     """The bits of a tile's tree and its counts in Z-order."""
-    code = _interleave(row, column)
+    code = _interleave(row, column, levels)
     order = np.argsort(code)
     code = code[order]
     parents, bits = np.zeros(1, dtype=np.int64), []
-    for level in range(1, LEVELS + 1):
-        nodes = np.unique(code >> (2 * (LEVELS - level)))
+    for level in range(1, levels + 1):
+        nodes = np.unique(code >> (2 * (levels - level)))
         level_bits = np.zeros(4 * len(parents), dtype=np.uint8)
         level_bits[4 * np.searchsorted(parents, nodes >> 2) + (nodes & 3)] = 1
         bits.append(level_bits)
@@ -154,16 +152,22 @@ def build_tree(row: np.ndarray, column: np.ndarray, count: np.ndarray) -> tuple[
 
 
 def walk(
-    a: Tree | None, b: Tree | None, same: bool, whole_a: np.ndarray, whole_b: np.ndarray, width: int
+    a: Tree | None,
+    b: Tree | None,
+    same: bool,
+    whole_a: np.ndarray,
+    whole_b: np.ndarray,
+    width: int,
+    levels: int = LEVELS,
 ) -> tuple[np.ndarray, np.ndarray]:
     """(i, j) -> the summed distances of rows i of one row tile and j of another over a column tile.
 
     ``same`` says that both are the same tile, so that only i < j is wanted. None is an empty tile.
     The second result marks the pairs that were compared.
     """
-    rows_a, rows_b = len(whole_a), len(whole_b)
-    cells = np.zeros(TILE * TILE)
-    empty_columns = np.zeros((TILE, TILE), dtype=np.int64)
+    rows_a, rows_b, tile = len(whole_a), len(whole_b), 1 << levels
+    cells = np.zeros(tile * tile)
+    empty_columns = np.zeros((tile, tile), dtype=np.int64)
     zero = np.zeros(1, dtype=np.int64)
     todo = [(0, zero if a else zero - 1, zero if b else zero - 1, zero, zero, zero)]
     while todo:
@@ -172,8 +176,8 @@ def walk(
             todo.append((level, *[x[WALK:] for x in front]))
             front = [x[:WALK] for x in front]
         node_a, node_b, at_a, at_b, column = front
-        half = TILE >> (level + 1)
-        blocks = TILE // half
+        half = tile >> (level + 1)
+        blocks = tile // half
         priced = np.zeros(blocks * blocks)
         opened = []
         for q in range(8):
@@ -199,42 +203,42 @@ def walk(
         if not opened:
             continue
         front = [np.concatenate(x) for x in zip(*opened)]
-        if level + 1 < LEVELS:
+        if level + 1 < levels:
             todo.append((level + 1, *front))
             continue
         na, nb, ia, ib, _ = front
         count_a = np.where(na >= 0, a.counts[np.maximum(na, 0)], 0) if a else np.zeros(len(ia), dtype=np.int64)
         count_b = np.where(nb >= 0, b.counts[np.maximum(nb, 0)], 0) if b else np.zeros(len(ia), dtype=np.int64)
         gap = np.abs(share_array(count_a, whole_a[ia]) - share_array(count_b, whole_b[ib]))
-        cells += np.bincount(ia * TILE + ib, gap, TILE * TILE)
+        cells += np.bincount(ia * tile + ib, gap, tile * tile)
     nought_a, nought_b = (share_array(np.zeros(len(w), dtype=np.int64), w) for w in (whole_a, whole_b))
-    value = cells.astype(np.int64).reshape(TILE, TILE)[:rows_a, :rows_b]
+    value = cells.astype(np.int64).reshape(tile, tile)[:rows_a, :rows_b]
     value = value + empty_columns[:rows_a, :rows_b] * np.abs(nought_a[:, None] - nought_b[None, :])
     wanted = np.ones((rows_a, rows_b), dtype=bool)
     return value, np.triu(wanted, 1) if same else wanted
 
 
-def _build_group(cells: pa.Table) -> pa.Table:
+def _build_group(cells: pa.Table, levels: int) -> pa.Table:
     row, column, n = (cells.column(c).to_numpy() for c in ("r", "c", "n"))
-    bits, counts = build_tree(row, column, n)
+    bits, counts = build_tree(row, column, n, levels)
     key = cells.slice(0, 1).select(["lang", "bucket", "tile", "row_tile", "width"])
     key = key.append_column("bits", pa.array([bits], pa.binary()))
     return key.append_column("counts", pa.array([counts], pa.list_(pa.int64())))
 
 
-def _walk_group(trees: pa.Table) -> pa.Table:
+def _walk_group(trees: pa.Table, levels: int) -> pa.Table:
     rows = {t["row_tile"]: t for t in trees.to_pylist()}
     one = next(iter(rows.values()))
     a, b = one["a"], one["b"]
     whole_a, whole_b = (np.array(one[c], dtype=np.int64) for c in ("whole_a", "whole_b"))
 
     def tree(of: int) -> Tree | None:
-        return Tree(rows[of]["bits"], np.array(rows[of]["counts"], dtype=np.int64)) if of in rows else None
+        return Tree(rows[of]["bits"], np.array(rows[of]["counts"], dtype=np.int64), levels) if of in rows else None
 
     first = tree(a)
-    value, wanted = walk(first, first if a == b else tree(b), a == b, whole_a, whole_b, one["width"])
+    value, wanted = walk(first, first if a == b else tree(b), a == b, whole_a, whole_b, one["width"], levels)
     i, j = np.nonzero(wanted)
-    columns = [pa.array([one["lang"]] * len(i), pa.string()), pa.array(i + a * TILE), pa.array(j + b * TILE)]
+    columns = [pa.array([one["lang"]] * len(i), pa.string()), pa.array(i + (a << levels)), pa.array(j + (b << levels))]
     columns += [pa.array(value[i, j]), pa.array(np.full(len(i), one["width"], dtype=np.int64))]
     return pa.Table.from_arrays(columns, ["lang", "i", "j", "value", "covered"])
 
@@ -243,13 +247,13 @@ def _sum(name: str) -> Column:
     return F.sum(name).alias(name)
 
 
-def trees(cells: DataFrame) -> DataFrame:
+def trees(cells: DataFrame, levels: int = LEVELS) -> DataFrame:
     """One k2-tree per tile from (lang, bucket, tile, row_tile, width, r, c, n)."""
     wanted = cells.select("lang", "bucket", "tile", "row_tile", "width", "r", "c", "n")
-    return wanted.groupBy("lang", "bucket", "tile", "row_tile").applyInArrow(_build_group, _TREE)
+    return wanted.groupBy("lang", "bucket", "tile", "row_tile").applyInArrow(lambda t: _build_group(t, levels), _TREE)
 
 
-def pair_sums(forest: DataFrame, groups: DataFrame) -> DataFrame:
+def pair_sums(forest: DataFrame, groups: DataFrame, levels: int = LEVELS) -> DataFrame:
     """(lang, i, j, value, covered) for sources i < j: distance over the columns of their tiles, and
     how many columns those are."""
     whole = F.col("total") + 5 * F.col("terms")
@@ -263,27 +267,32 @@ def pair_sums(forest: DataFrame, groups: DataFrame) -> DataFrame:
     for side in "ab":
         one = sides.select("lang", F.col("row_tile").alias(side), F.col("wholes").alias(f"whole_{side}"))
         paired = paired.join(broadcast_if_small(one), ["lang", side])
-    walked = paired.drop("last", "other").groupBy("lang", "bucket", "tile", "a", "b").applyInArrow(_walk_group, _WALKED)
+    met = paired.drop("last", "other").groupBy("lang", "bucket", "tile", "a", "b")
+    walked = met.applyInArrow(lambda t: _walk_group(t, levels), _WALKED)
     return walked.groupBy("lang", "i", "j").agg(_sum("value"), _sum("covered"))
 
 
-def audit(docs: DataFrame, min_docs: int = MIN_DOCS, term_ranks: int | None = TERM_RANKS) -> DataFrame:
+def audit(
+    docs: DataFrame, min_docs: int = MIN_DOCS, term_ranks: int | None = TERM_RANKS, levels: int = LEVELS
+) -> DataFrame:
     """(lang, source, part, item, value, rank): part ``pair`` ranks the other sources of the language by
-    distance, part ``term`` the words that a source uses more than its language."""
+    distance, part ``term`` the words that a source uses more than its language. A hash bucket of words
+    fills half a tile on average; a fuller one is cut into several tiles."""
+    side_of_tile = F.lit(1 << levels).cast("long")
     counted = stage(term_counts(docs), "term-counts")
     kept = counted.groupBy("lang", "term").agg(_sum("docs"), F.sum("n").alias("in_lang"))
     kept = stage(kept.filter(F.col("docs") >= min_docs).drop("docs"), "kept-terms")
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("in_lang").alias("lang_total"))
     langs = stage(langs, "languages")
 
-    buckets = F.ceil(F.col("terms") / BUCKET_TERMS).cast("long")
+    buckets = F.ceil(F.col("terms") * 2 / side_of_tile).cast("long")
     bucketed = kept.join(broadcast_if_small(langs), "lang").withColumn("bucket", F.pmod(F.xxhash64("term"), buckets))
     in_bucket = Window.partitionBy("lang", "bucket")
     place = F.row_number().over(in_bucket.orderBy("term")).cast("long") - 1
-    tile = F.call_function("div", F.col("place"), F.lit(TILE).cast("long"))
+    tile = F.call_function("div", F.col("place"), side_of_tile)
     terms = bucketed.withColumns({"place": place, "filled": F.count(F.lit(1)).over(in_bucket)})
-    terms = terms.withColumns({"tile": tile, "c": F.col("place") % TILE})
-    terms = terms.withColumn("width", F.least(F.lit(TILE).cast("long"), F.col("filled") - F.col("tile") * TILE))
+    terms = terms.withColumns({"tile": tile, "c": F.col("place") % side_of_tile})
+    terms = terms.withColumn("width", F.least(side_of_tile, F.col("filled") - F.col("tile") * side_of_tile))
     terms = terms.select("lang", "term", "in_lang", "bucket", "tile", "c", "width")
 
     cells = stage(counted.drop("docs").join(terms, ["lang", "term"]), "cells")
@@ -293,12 +302,12 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, term_ranks: int | None = TE
     number = F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("long") - 1
     groups = groups.withColumn("g", number)
     groups = groups.withColumns(
-        {"row_tile": F.call_function("div", F.col("g"), F.lit(TILE).cast("long")), "r": F.col("g") % TILE}
+        {"row_tile": F.call_function("div", F.col("g"), side_of_tile), "r": F.col("g") % side_of_tile}
     )
     groups = stage(groups, "groups")
     placed = cells.join(broadcast_if_small(groups), ["lang", "source"])
 
-    sums = pair_sums(stage(trees(placed), "trees"), groups.filter("terms > 0"))
+    sums = pair_sums(stage(trees(placed, levels), "trees"), groups.filter("terms > 0"), levels)
     nought = F.when(F.col("terms") > 0, share(F.lit(0).cast("long"), F.col("total"), F.col("terms"))).otherwise(0)
     side = groups.select("lang", "source", "g", "terms", nought.alias("nought"))
     left = side.select("lang", F.col("source").alias("x"), F.col("g").alias("i"), "terms", F.col("nought").alias("nx"))

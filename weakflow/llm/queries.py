@@ -15,6 +15,8 @@ from weakflow.llm import (
     op9_jaccard,
     op10_sharding,
     op11_divergence,
+    op12_extraction,
+    op13_conversations,
 )
 from weakflow.plans.registry import Registry
 
@@ -214,6 +216,105 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_divergence.audit(table(spark, sf_dir, "documents"))
 
 
+@registry.add("op12_main_text")
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages show documents, whose number ends their path: these texts label the pages."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    number = F.regexp_extract("url", r"/(\d{1,18})(?:[/.?#]|$)", 1).try_cast("long")
+    labelled = op12_extraction.label_pages(pages, table(spark, sf_dir, "documents"), number)
+    return op12_extraction.extract(pages, op12_extraction.train(labelled))
+
+
+#: The crc32 of ``crc_key`` (ASCII) in SQL: each byte is taken in and followed by eight shifts (-1).
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, length(crc_key) + 1),
+  lambda i: [CAST(ord(substr(crc_key, i, 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END))"""
+
+
+def _repair_sql() -> str:
+    """A fold over the rows of each conversation that keeps, for every state, the least
+    (cost, audit, repaired text)."""
+
+    def add(state: str, cost: str, letter: str, line: str | None = None) -> str:
+        text = f"{state}.t" if line is None else f"list_append({state}.t, {line})"
+        return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {text}}} END"
+
+    def closed(columns: str, source: str) -> str:
+        put_u = ", ".join(add(s, "5", "I", "'user:'") for s in ("s0", "s1", "s3"))
+        put_a = add("s2", "5", "I", "'assistant:'")
+        return (
+            f"SELECT {columns}, s0, s1, s2, least(s3, {put_a}) AS s3 FROM "
+            f"(SELECT {columns}, s0, s1, least(s2, {put_u}) AS s2, s3 FROM {source})"
+        )
+
+    u, a, own = "'user:' || r.text", "'assistant:' || r.text", "r.role || ':' || r.text"
+
+    def stays(state: str, letter: str, line: str, cost: str, condition: str = "true") -> str:
+        return f"CASE WHEN NOT r.gone AND {condition} THEN {add(state, cost, letter, line)} END"
+
+    def into_u(state: str) -> str:
+        keep = stays(state, "K", own, "r.extra", "r.initial = 'u'")
+        return f"{keep}, {stays(state, 'R', u, '1 + r.extra')}"
+
+    step = f"""
+      SELECT f.conv, f.i + 1 AS i,
+        {add("f.s0", "2", "D")} AS s0,
+        least({add("f.s1", "2", "D")}, {stays("f.s0", "K", own, "r.extra", "r.initial = 's'")}) AS s1,
+        least({add("f.s2", "2", "D")}, {into_u("f.s0")}, {into_u("f.s1")}, {into_u("f.s3")}) AS s2,
+        least({add("f.s3", "2", "D")}, {stays("f.s2", "K", own, "r.extra", "r.initial = 'a'")},
+          {stays("f.s2", "R", a, "1 + r.extra")}) AS s3
+      FROM f JOIN r ON r.conv = f.conv AND r.i = f.i + 1"""
+    nothing = "CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR[]))"
+    start = f"""
+      SELECT conv, CAST(0 AS BIGINT) AS i, {{'c': CAST(0 AS BIGINT), 'a': '', 't': CAST([] AS VARCHAR[])}} AS s0,
+        {nothing} AS s1, {nothing} AS s2, {nothing} AS s3 FROM sizes"""
+    return f"""
+    WITH RECURSIVE o AS (
+      SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        {_CRC32} % 20 AS fate
+      FROM (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS crc_key
+        FROM conversations)),
+    d AS (
+      SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+        CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+      FROM o, unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) WHERE fate <> 0),
+    n AS (
+      SELECT *, coalesce(CAST(conv_id AS VARCHAR), '') AS conv,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+        NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank FROM d),
+    m AS (
+      SELECT *, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS dup,
+        substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS prior FROM n),
+    r AS (
+      SELECT *, blank OR dup AS gone,
+        NOT blank AND NOT dup AND NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') AS cut,
+        CASE WHEN cut THEN 5 ELSE 0 END AS extra FROM m),
+    sizes AS (
+      SELECT conv, any_value(conv_id) AS conv_id, count(*) AS size,
+        coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate, count(*) FILTER (cut) AS truncated,
+        count(*) FILTER (prior IS NOT NULL AND prior || initial NOT IN ('su', 'ua', 'au')) AS illegal
+      FROM r GROUP BY conv),
+    f AS (
+      ({closed("conv, i", f"({start})")})
+      UNION ALL
+      ({closed("conv, i", f"({step})")})),
+    best AS (SELECT s.*, least(f.s0, f.s3) AS b FROM sizes s JOIN f ON f.conv = s.conv AND f.i = s.size),
+    ids AS (SELECT DISTINCT conv_id FROM conversations)
+    SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+      CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+      CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(b.c, 0) AS BIGINT) AS cost,
+      coalesce(b.a, '') AS audit, sha256(coalesce(array_to_string(b.t, chr(10)), '')) AS repaired_sha256
+    FROM ids LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM ids.conv_id
+    """
+
+
+@registry.add("op13_conversation_repair", _repair_sql())
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return op13_conversations.repair(rows, op13_conversations.damage(rows))
+
+
 def queries() -> dict:
     return dict(registry.queries)
 
