@@ -8,8 +8,8 @@ marginal is above one half are the main text. So a paragraph is judged with its
 is above it, not alone.
 
 All potentials are frequencies counted by Spark on labelled pages: (html, text) rows, where a text of
-the page is content if it stands in the text. At most ``TRAIN_PAGES`` labelled pages are used, those
-with the least hashes; their counts, at most ``TRUST`` observations for each potential, are added to the
+the page is content if it stands in the text. At most ``TRAIN_PAGES`` labelled pages are used
+(``label_pages`` takes those with the least hashes); their counts, at most ``TRUST`` observations for each potential, are added to the
 fixed pseudo-counts below, so that menus, notices and comments of forms never seen in training are known.
 What cannot be main text in any page is left out of the tree: scripts, styles, templates, the head,
 embedded documents, and the controls of forms.
@@ -391,16 +391,23 @@ def model(counts: dict[tuple[str, int], int]) -> Model:
 
 def train(labelled: DataFrame, limit: int = TRAIN_PAGES) -> Model:
     """The model of (html, text) rows, at most ``limit`` of them."""
-    chosen = stage(labelled.select("html", "text").orderBy(F.xxhash64("html"), F.xxhash64("text")).limit(limit), "labelled")
+    chosen = stage(labelled.select("html", "text").limit(limit), "labelled")
     counted = chosen.repartition(64).mapInArrow(_count_pages, "name string, which int, n long").groupBy("name", "which").agg(F.sum("n").alias("n"))
     return model({(r["name"], r["which"]): r["n"] for r in counted.collect()})
 
 
 def label_pages(pages: DataFrame, documents: DataFrame, number: Column, limit: int = TRAIN_PAGES) -> DataFrame:
-    """(html, text) of at most ``limit`` pages whose ``number`` is the id of a document. The pages are
-    chosen first, so that only they are joined."""
-    chosen = pages.select("html", number.alias("doc_id")).filter("doc_id IS NOT NULL")
-    chosen = stage(chosen.orderBy(F.xxhash64("doc_id", "html")).limit(limit), "chosen-pages")
+    """(html, text) of at most ``limit`` different pages whose ``number`` is the id of a document.
+
+    The pages are chosen first, so that only they are joined: a share of all hashes that holds some more
+    than ``limit`` rows, and of these the least hashes, each once, however often its page is repeated."""
+    numbered = pages.select("html", number.alias("doc_id")).filter("doc_id IS NOT NULL")
+    numbered = numbered.withColumn("_hash", F.xxhash64("doc_id", "html"))
+    share = 2.0 * limit / max(numbered.count(), 1)
+    some = numbered.filter(F.pmod("_hash", F.lit(1 << 62)) < min(share, 1.0) * float(1 << 62))
+    least = stage(some.select("_hash").distinct().orderBy("_hash").limit(limit), "chosen-hashes")
+    chosen = some.join(F.broadcast(least), "_hash", "left_semi")  # at most ``limit`` numbers
+    chosen = stage(chosen.groupBy("_hash", "doc_id").agg(F.first("html").alias("html")).drop("_hash"), "chosen-pages")
     wanted = F.broadcast(chosen.select("doc_id").distinct())  # at most ``limit`` ids
     texts = documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
     return chosen.join(texts, "doc_id").select("html", "text")
