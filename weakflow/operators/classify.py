@@ -55,6 +55,18 @@ def train_naive_bayes(
     sizes = df.groupBy("y").agg(
         F.count(F.lit(1)).alias("docs"), F.sum(F.size("ids").cast("long")).alias("tokens")
     )
+    return naive_bayes_of_counts(counts, sizes, dictionary, num_words, alpha, weights)
+
+
+def naive_bayes_of_counts(
+    counts: DataFrame,
+    sizes: DataFrame,
+    dictionary: DataFrame,
+    num_words: int = NUM_WORDS,
+    alpha: float = 1.0,
+    weights: DataFrame | None = None,
+) -> NaiveBayes:
+    """The model of counts (y, idx, n) and class sizes (y, docs, tokens)."""
     names = dictionary.select(F.col("idx").alias("y"), "label")
     nothing = F.lit(0).cast("long")
     sizes = names.join(sizes, "y", "left").select(

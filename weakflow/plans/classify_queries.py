@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weakflow.functions.text import WORD_SEPARATORS, one_hot, tokenize
-from weakflow.operators import classify, labels, reports, sampling, tokens
+from weakflow.operators import classify, corpus, factorised, labels, reports, sampling, tokens
 from weakflow.plans import fixtures as fx
 from weakflow.plans.page_queries import SQL_TEXT, sql_recommendations
 from weakflow.plans.registry import Registry
@@ -401,6 +401,58 @@ def labels_with(rows: DataFrame, weights: DataFrame) -> DataFrame:
     return rows.join(weights.select("label", "weight"), "label")
 
 
+# --- statistics and training over the whole joined corpus ----------------------------------
+
+# The rows of the fan-out, word by word. Words of a row are those of its three parts.
+_SQL_CORPUS_WORDS = f"""{fx.SQL_KEYED},
+row_words AS (SELECT row_key, cwe_name, {_sql_tokens("text")} AS tokens FROM keyed),
+corpus_words AS (SELECT cwe_name, word, count(*) AS n
+  FROM (SELECT cwe_name, unnest(tokens) AS word FROM row_words) GROUP BY cwe_name, word)"""
+
+_SQL_CORPUS_MODEL = f"""{_SQL_CORPUS_WORDS},
+vocab AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) + 1 AS idx
+  FROM (SELECT word, sum(n) AS n FROM corpus_words GROUP BY word)),
+kept AS (SELECT cwe_name AS label, count(*) AS docs FROM row_words WHERE len(tokens) > 0
+  GROUP BY cwe_name HAVING count(*) >= 2),
+classes AS (SELECT label, docs, CAST(row_number() OVER (ORDER BY label) - 1 AS INT) AS y,
+    CAST(sum(docs) OVER () AS DOUBLE) / (count(*) OVER () * docs) AS weight FROM kept),
+class_words AS (SELECT c.y, CASE WHEN v.idx < 10000 THEN v.idx ELSE 1 END AS idx, CAST(sum(w.n) AS BIGINT) AS n
+  FROM corpus_words w JOIN classes c ON c.label = w.cwe_name JOIN vocab v ON v.word = w.word GROUP BY ALL),
+sized AS (SELECT y, sum(n) AS tokens FROM class_words GROUP BY y)"""
+
+
+def _statistics(spark: SparkSession, sf_dir: str) -> factorised.CorpusStatistics:
+    return factorised.CorpusStatistics(corpus.Corpus(*fx.corpus_tables(spark, sf_dir)))
+
+
+@registry.add(
+    "corpus_word_counts",
+    f"{_SQL_CORPUS_WORDS} SELECT word, CAST(sum(n) AS BIGINT) AS n FROM corpus_words GROUP BY word",
+)
+def corpus_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word frequencies over every row of the joined corpus, none of which is made."""
+    return _statistics(spark, sf_dir).word_counts()
+
+
+@registry.add("corpus_vocabulary", f"{_SQL_CORPUS_MODEL} SELECT word, CAST(n AS BIGINT) AS n, CAST(idx AS INT) AS idx FROM vocab")
+def corpus_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _statistics(spark, sf_dir).vocabulary()
+
+
+@registry.add(
+    "corpus_nb_model",
+    f"""{_SQL_CORPUS_MODEL} SELECT c.y, c.label,
+  CAST(round(ln(docs * weight / (SELECT sum(docs * weight) FROM classes)) * 1e6) AS BIGINT) AS prior,
+  CAST(round(ln(1.0 / (s.tokens * weight + 10000.0)) * 1e6) AS BIGINT) AS base, CAST(w.idx AS INT) AS idx,
+  CAST(round(ln(w.n * weight + 1) * 1e6) AS BIGINT) AS delta
+FROM classes c JOIN sized s ON s.y = c.y JOIN class_words w ON w.y = c.y""",
+)
+def corpus_nb_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Naive Bayes trained on every row of the joined corpus."""
+    model, _, _ = _statistics(spark, sf_dir).naive_bayes()
+    return model.cells.join(model.classes, "y").select("y", "label", "prior", "base", "idx", "delta")
+
+
 # --- page analysis and reports ---------------------------------------------------------
 
 _AT = "2025-01-01 00:00:00"
