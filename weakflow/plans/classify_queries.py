@@ -6,7 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weakflow.functions.text import WORD_SEPARATORS, one_hot, tokenize
-from weakflow.operators import classify, corpus, factorised, labels, reports, sampling, tokens
+from weakflow.operators import (
+    calibration,
+    classify,
+    corpus,
+    factorised,
+    labels,
+    reports,
+    rules,
+    sampling,
+    tokens,
+    topk,
+)
 from weakflow.plans import fixtures as fx
 from weakflow.plans.page_queries import SQL_TEXT, sql_recommendations
 from weakflow.plans.registry import Registry
@@ -401,6 +412,95 @@ def labels_with(rows: DataFrame, weights: DataFrame) -> DataFrame:
     return rows.join(weights.select("label", "weight"), "label")
 
 
+@registry.add(
+    "nb_top_classes",
+    f"""{_SQL_SCORED} SELECT doc_id, string_agg(y || ':' || score, ' ' ORDER BY r) FILTER (r <= 3) AS best
+FROM probs GROUP BY doc_id""",
+)
+def nb_top_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best classes by the threshold algorithm, from a model in several shards."""
+    t = _trained(spark, sf_dir)
+    found = topk.top_classes(t.rows.select("doc_id", "ids"), t.model, shard_cells=10_000)
+    pair = F.transform("best", lambda b: F.concat_ws(":", b["y"].cast("string"), b["score"].cast("string")))
+    return found.select("doc_id", F.array_join(pair, " ").alias("best"))
+
+
+# --- calibration ---------------------------------------------------------------------------
+
+_SQL_THREE = f"""{_SQL_ENCODED},
+split AS (SELECT *, CASE WHEN h < 0.7 * 4294967296.0 THEN 'train' WHEN h < 0.8 * 4294967296.0 THEN 'valid'
+    ELSE 'test' END AS part
+  FROM (SELECT *, {fx.sql_hash("CAST(doc_id AS VARCHAR)", "split")} AS h FROM encoded)),
+"""
+_SQL_CALIBRATED = (
+    _SQL_MODEL.replace("WITH ", "WITH RECURSIVE ", 1).replace(_SQL_SPLIT[: _SQL_SPLIT.index("weights AS")].removeprefix("WITH "), _SQL_THREE.removeprefix("WITH "))
+    + f""",
+{_sql_scores("split", "doc_id")},
+scaled AS (SELECT p.*, p.score / CAST(1e6 AS DOUBLE) / p.size AS v, s.part, s.y AS truth
+  FROM probs p JOIN split s ON s.doc_id = p.doc_id),
+tops AS (SELECT *, max(v) OVER (PARTITION BY doc_id) AS top FROM scaled),
+newton AS (
+  SELECT 0 AS i, CAST(1.0 AS DOUBLE) AS b
+  UNION ALL
+  SELECT i + 1, least(greatest(b - first / second, b / 4, 1e-3), b * 4, 1e3) FROM (
+    SELECT i, b, sum(mean - of_true) AS first, sum(square - mean * mean) AS second FROM (
+      SELECT i, b, doc_id, sum(v * e) / sum(e) AS mean, sum(v * v * e) / sum(e) AS square,
+        max(v) FILTER (y = truth) AS of_true
+      FROM (SELECT n.i, n.b, t.*, exp((t.v - t.top) * n.b) AS e FROM newton n, tops t
+        WHERE t.part = 'valid' AND n.i < 30) GROUP BY i, b, doc_id) GROUP BY i, b)),
+sharp AS (SELECT b FROM newton WHERE i = 30),
+calibrated AS (SELECT doc_id, truth, part, y, label, e / sum(e) OVER (PARTITION BY doc_id) AS prob, r
+  FROM (SELECT t.*, exp((t.v - t.top) * b) AS e FROM tops t, sharp)),
+judged AS (SELECT doc_id, part, truth, y AS y_pred, trim(label) AS label, prob AS confidence
+  FROM calibrated WHERE r = 1)"""
+)
+
+
+def _calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of the test part, with the sharpness fitted on the validation part."""
+    tokenized = _tokenized(spark, sf_dir)
+    vocab = _vocabulary(tokenized)
+    coded, dictionary = labels.drop_rare_labels(stage(_encoded(tokenized, vocab), "encoded"), "label")
+    rows = sampling.split_three(coded, F.col("doc_id").cast("string"))
+    train = rows.filter("part = 'train'")
+    weights = labels.class_weights(labels.label_counts(train, "label"), "label")
+    model = classify.store(classify.train_naive_bayes(train, dictionary, weights=weights))
+    scored = stage(classify.score(rows.filter("part <> 'train'"), model), "scored")
+    sharpness = calibration.fit_sharpness(scored.filter("part = 'valid'"))
+    tested = calibration.calibrated(scored.filter("part = 'test'").drop("label"), sharpness)
+    return classify.predict(tested, _names(dictionary)).withColumn("sharpness", F.lit(sharpness))
+
+
+@registry.add(
+    "calibrated_confidence",
+    f"""{_SQL_CALIBRATED} SELECT doc_id, label, {_r6('confidence')} AS confidence,
+  CASE WHEN confidence < 0.3 THEN 'LOW' WHEN confidence < 0.6 THEN 'MEDIUM'
+    WHEN confidence < 0.8 THEN 'HIGH' ELSE 'CRITICAL' END AS risk_level,
+  (SELECT {_r6('b')} FROM sharp) AS sharpness FROM judged WHERE part = 'test'""",
+)
+def calibrated_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _calibrated(spark, sf_dir).select(
+        "doc_id",
+        "label",
+        _rounded(F.col("confidence")).alias("confidence"),
+        rules.risk_level(F.col("confidence")).alias("risk_level"),
+        _rounded(F.col("sharpness")).alias("sharpness"),
+    )
+
+
+@registry.add(
+    "reliability_bins",
+    f"""{_SQL_CALIBRATED} SELECT CAST(least(floor(confidence * 10), 9) AS INT) AS bin, count(*) AS n,
+  CAST(sum(CASE WHEN truth = y_pred THEN 1 ELSE 0 END) AS BIGINT) AS correct, {_r6('avg(confidence)')} AS confidence,
+  {_r6('abs(avg(CASE WHEN truth = y_pred THEN 1.0 ELSE 0.0 END) - avg(confidence))')} AS gap
+FROM judged WHERE part = 'test' GROUP BY bin""",
+)
+def reliability_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often test predictions of about one confidence are right."""
+    found = calibration.reliability(_calibrated(spark, sf_dir))
+    return found.withColumns({c: _rounded(F.col(c)) for c in ("confidence", "gap")})
+
+
 # --- statistics and training over the whole joined corpus ----------------------------------
 
 # The rows of the fan-out, word by word. Words of a row are those of its three parts.
