@@ -65,32 +65,26 @@ def _report(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     folder = new_path(spark, "reports")
     reports.write_reports(cq._analysis(spark, sf_dir), folder)
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+    # An empty text is written in quotes and NULL without; any other mark for NULL keeps them apart.
+    reader = reader.option("nullValue", "\\N")
     return reader.csv(f"{folder}/{name}")
 
 
 @registry.add(
     "report_csv_main",
-    f"""{cq._SQL_ANALYSIS} SELECT url AS "URL", risk_level AS "Risk_Level",
+    f"""{cq._SQL_ANALYSIS} SELECT url AS "URL", '{cq._AT}' AS "Analysis_Timestamp", risk_level AS "Risk_Level",
   predicted AS "Predicted_Vulnerability", printf('%.4f', confidence) AS "Confidence",
   labels3[1] || printf(' (%.3f)', probs3[1]) AS "Top_Prediction_1",
+  labels3[2] || printf(' (%.3f)', probs3[2]) AS "Top_Prediction_2",
+  labels3[3] || printf(' (%.3f)', probs3[3]) AS "Top_Prediction_3",
   CASE WHEN security_headers <> '' THEN 'true' ELSE 'false' END AS "Security_Headers_Present",
-  CASE WHEN forms <> '' THEN 'true' ELSE 'false' END AS "Forms_Found",
+  technologies AS "Technologies_Detected", CASE WHEN forms <> '' THEN 'true' ELSE 'false' END AS "Forms_Found",
   CAST(len(advice) AS VARCHAR) AS "Recommendations_Count",
   replace(replace(regexp_extract(url, '://([^/?#]*)', 1), '.', '_'), ':', '_') AS domain FROM analysis""",
 )
 def report_csv_main(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = [
-        "URL",
-        "Risk_Level",
-        "Predicted_Vulnerability",
-        "Confidence",
-        "Top_Prediction_1",
-        "Security_Headers_Present",
-        "Forms_Found",
-        "Recommendations_Count",
-        "domain",
-    ]
-    return _report(spark, sf_dir, "main").select(*names)
+    """All twelve report columns and the domain, as they come back from the files."""
+    return _report(spark, sf_dir, "main").drop("bucket")
 
 
 @registry.add(

@@ -1,5 +1,6 @@
 """Queries over the classifier: tokens, vocabulary, training, scoring, evaluation, reports."""
 
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +23,8 @@ from weakflow.plans import fixtures as fx
 from weakflow.plans.page_queries import SQL_TEXT, sql_recommendations
 from weakflow.plans.registry import Registry
 from weakflow.schemas import FEATURES
-from weakflow.sources.staging import stage
+from weakflow.sources import model_store
+from weakflow.sources.staging import shared_folder, stage
 
 registry = Registry()
 LR_FLOOR = 0.7  # share of right predictions that the regression must reach
@@ -574,12 +576,37 @@ analysis AS (SELECT f.*, b.predicted, b.confidence, b.labels3, b.probs3,
   FROM features f JOIN best b ON b.page_id = f.page_id)"""
 
 
+def served(spark: SparkSession, sf_dir: str) -> model_store.Served:
+    """The stored model of these tables: the first query of an application trains and publishes it,
+    all others load it."""
+    of_tables = zlib.crc32(sf_dir.encode())
+    root = f"{shared_folder(spark)}/models/{spark.sparkContext.applicationId}-{of_tables:08x}"
+    try:
+        return model_store.load(spark, root)
+    except LookupError:
+        t = _trained(spark, sf_dir)
+        model_store.publish(spark, root, t.model, t.vocab, _names(t.dictionary), {"max_len": "300"})
+        return model_store.load(spark, root)
+
+
+@registry.add(
+    "model_published",
+    f"""{_SQL_MODEL} SELECT 1 AS number, (SELECT count(*) FROM classes) AS classes, (SELECT count(*) FROM cells) AS cells,
+  (SELECT count(*) FROM vocab) AS words, (SELECT count(*) FROM dict) AS labels, '300' AS max_len""",
+)
+def model_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of the model that the analysis and the reports serve."""
+    model = served(spark, sf_dir)
+    sizes = {"classes": model.model.classes, "cells": model.model.cells, "words": model.vocab, "labels": model.labels}
+    row = spark.range(1).select(F.lit(model.number).cast("long").alias("number"))
+    counted = [t.agg(F.count(F.lit(1))).scalar().alias(name) for name, t in sizes.items()]
+    return row.select("number", *counted, F.lit(model.facts["max_len"]).alias("max_len"))
+
+
 def _analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _trained(spark, sf_dir)
+    m = served(spark, sf_dir)
     at = F.lit(_AT).cast("timestamp")
-    return reports.analyze_pages(
-        fx.site_pages(spark, sf_dir), t.vocab, t.model, _names(t.dictionary), at
-    )
+    return reports.analyze_pages(fx.site_pages(spark, sf_dir), m.vocab, m.model, m.labels, at)
 
 
 @registry.add(
