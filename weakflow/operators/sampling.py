@@ -2,13 +2,14 @@
 
 Each row is compared with a threshold on its hash, so the choice does not depend on
 partitioning and needs no shuffle of the rows. Exact sizes come from small histograms
-of the hashes. Row keys must be unique.
+of the hashes, and are exact also where row keys repeat.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weakflow.functions.hashing import below, row_hash
+from weakflow.operators.ranks import global_rank
 from weakflow.sources.staging import stage
 
 _BITS = 16  # a histogram has at most 2**16 hash prefixes (per class)
@@ -80,43 +81,56 @@ def split_three(
 def mark_lowest(
     df: DataFrame, quotas: DataFrame, group: str, key: Column, flag: str, seed: int | str
 ) -> DataFrame:
-    """Adds a boolean ``flag``: true for the ``quota`` lowest hashes of each group.
-
-    ``quotas`` is (group, quota). Per group, a histogram finds the prefix that holds the
-    quota-th row; a second one over the rest of the hash finds the very hash, and only the rows
-    with that hash are ranked by their keys. Every row is then compared with its group's
-    threshold, so a large group is never gathered in one task. The hash is computed once and
-    stored with the key. The thresholds are stored, so that their size (one row per group)
-    decides whether they are broadcast.
+    """Adds a boolean ``flag``: true for the ``quota`` lowest rows of each group.
+
+    ``quotas`` is (group, quota). Rows are ordered by (hash, key, number), where the number tells rows
+    with equal keys apart, so exactly ``quota`` rows are marked also where keys repeat or are NULL. NULL
+    is a group like any other. Per group, a histogram finds the prefix of the hash that holds the
+    quota-th row, and a second one over the rest of the hash the very hash. Where rows share that hash,
+    histograms over their keys, and then over steps of their numbers, go on to the very row; each has at
+    most 2**17 bins, so a group, or a key, with a third of all rows is never gathered in one task. Every
+    row is then compared with its group's row. Hash and number are stored with the rows. The found
+    rows are stored, so that their size (one per group) decides whether they are broadcast.
     """
-    hashed = stage(_hashed(df, key, seed), "hashed")
-
-    def edge(rows: DataFrame, need: DataFrame, bin_name: str) -> DataFrame:
-        """(group, bin, _need): the bin that holds the wanted row, and its place in there."""
-        upto = F.sum("n").over(Window.partitionBy(group).orderBy(bin_name))
-        counted = rows.groupBy(group, bin_name).agg(F.count(F.lit(1)).alias("n")).withColumn("upto", upto)
-        found = counted.join(need, group).filter(
-            (F.col("upto") >= F.col("_need")) & (F.col("upto") - F.col("n") < F.col("_need"))
+    numbered = _hashed(df, F.coalesce(key, F.lit("")), seed).withColumn("_no", F.monotonically_increasing_id())
+    # A struct is equal to another one also where both hold NULL.
+    hashed = stage(numbered.withColumn("_group", F.struct(F.col(group).alias("g"))), "hashed")
+    # The upper half of a number is its partition; the lower half counts rows.
+    steps = {
+        "_prefix": F.col("_prefix"),
+        "_hash": F.col("_hash"),
+        "_key": F.col("_key"),
+        "_part": F.shiftright("_no", 33),
+        "_block": F.shiftright("_no", 16),
+        "_no": F.col("_no"),
+    }
+    rows = hashed.select("_group", *[c.alias(name) for name, c in steps.items()])
+    wanted = quotas.select(F.struct(F.col(group).alias("g")).alias("_group"), F.col("quota").alias("_need"))
+    cuts = None
+    for step in steps:
+        counted = rows.groupBy("_group", step).agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("_group").orderBy(step))
+        found = counted.withColumn("_upto", upto).join(wanted, "_group").filter(
+            (F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("n") < F.col("_need"))
         )
-        return found.select(group, bin_name, (F.col("_need") - F.col("upto") + F.col("n")).alias("_need"))
-
-    coarse = stage(edge(hashed, quotas.select(group, F.col("quota").alias("_need")), "_prefix"), "edges")
-    keyed = hashed.select(group, "_prefix", "_hash", "_key")
-    in_prefix = keyed.join(coarse.select(group, "_prefix"), [group, "_prefix"])
-    fine = stage(edge(in_prefix, coarse.select(group, "_need"), "_hash"), "edges")
-    rank = F.row_number().over(Window.partitionBy(group, "_hash").orderBy("_key"))
-    cuts = (
-        keyed.select(group, "_hash", "_key")
-        .join(fine, [group, "_hash"])
-        .withColumn("_rank", rank)
-        .filter(F.col("_rank") == F.col("_need"))
-        .select(group, F.col("_hash").alias("_cut_hash"), F.col("_key").alias("_cut_key"))
-    )
-    cuts = stage(cuts, "cuts")
-    low = (F.col("_hash") < F.col("_cut_hash")) | (
-        (F.col("_hash") == F.col("_cut_hash")) & (F.col("_key") <= F.col("_cut_key"))
-    )
-    marked = hashed.join(cuts, group, "left").withColumn(flag, F.coalesce(low, F.lit(False)))
+        bins = found.select("_group", step, (F.col("_need") - F.col("_upto") + F.col("n")).alias("_need"), "n")
+        bins = stage(bins, "edges")
+        chosen = bins.select("_group", F.col(step).alias(f"_cut{step}"))
+        cuts = chosen if cuts is None else cuts.join(chosen, "_group", "left")
+        # A bin that is wanted as a whole needs no further look.
+        wanted = bins.filter("_need < n").select("_group", "_need")
+        if step != "_prefix" and wanted.isEmpty():
+            break
+        wanted = bins.select("_group", "_need") if step == "_prefix" else wanted
+        rows = rows.join(wanted.join(bins, "_group").select("_group", step), ["_group", step])
+    cuts = stage(cuts.drop("_cut_prefix"), "cuts")
+    low = F.lit(True)
+    for step in reversed([step for step in steps if f"_cut{step}" in cuts.columns]):
+        value, cut = steps[step], F.col(f"_cut{step}")
+        low = (value < cut) | ((value == cut) & low)
+        if step != "_hash":
+            low = low | cut.isNull()  # all rows up to the step before are wanted
+    marked = hashed.join(cuts, "_group", "left").withColumn(flag, F.coalesce(low, F.lit(False)))
     return marked.select(*df.columns, flag)
 
 
@@ -170,6 +184,9 @@ def split_stratified(
     return marked.withColumn("part", F.when(F.col("_test"), "test").otherwise("train")).drop("_test")
 
 
-def training_order(df: DataFrame, key: Column, seed: int | str = "order") -> DataFrame:
-    """Repeatable shuffled order, for exporting training rows."""
-    return df.withColumn("_hash", row_hash(key, seed)).orderBy("_hash").drop("_hash")
+def training_order(df: DataFrame, key: Column, seed: int | str = "order", place: str = "place") -> DataFrame:
+    """Adds ``place``: the place of each row, from 1, in a repeatable shuffled order, for exporting
+    training rows. Ties of the 32-bit hash go by the key, so rows are told apart as far as keys do."""
+    ordered = df.withColumns({"_order_hash": row_hash(key, seed), "_order_key": key})
+    ranked = global_rank(ordered, [F.col("_order_hash"), F.col("_order_key")], place)
+    return ranked.drop("_order_hash", "_order_key")

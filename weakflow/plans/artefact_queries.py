@@ -3,10 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weakflow.functions.hashing import row_hash
 from weakflow.functions.text import tokenize
 from weakflow.operators import classify, corpus, labels, reports, sampling, tokens
-from weakflow.operators.ranks import global_rank
 from weakflow.plans import classify_queries as cq
 from weakflow.plans import corpus_queries as rq
 from weakflow.plans import fixtures as fx
@@ -115,13 +113,12 @@ _ORDER = fx.sql_hash("CAST(doc_id AS VARCHAR)", "order")
 
 @registry.add(
     "training_order",
-    f"""SELECT doc_id, row_number() OVER (ORDER BY {_ORDER}, doc_id) AS place FROM documents""",
+    f"""SELECT doc_id, row_number() OVER (ORDER BY {_ORDER}, CAST(doc_id AS VARCHAR)) AS place FROM documents""",
 )
 def training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every document in the repeatable shuffled order."""
     docs = fx.table(spark, sf_dir, "documents").select("doc_id")
-    hashed = docs.withColumn("_hash", row_hash(F.col("doc_id").cast("string"), "order"))
-    return global_rank(hashed, [F.col("_hash"), F.col("doc_id")], "place").select("doc_id", "place")
+    return sampling.training_order(docs, F.col("doc_id").cast("string"))
 
 
 # --- the whole job: corpus -> sample -> classifier -> evaluation ---------------------------

@@ -4,8 +4,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weakflow import schemas
-from weakflow.functions.text import timestamp_stamp, timestamp_text
-from weakflow.operators import corpus, labels, sampling
+from weakflow.functions.text import WORD_SEPARATORS, timestamp_stamp, timestamp_text, tokenize
+from weakflow.operators import corpus, labels, observed, sampling
 from weakflow.plans import fixtures as fx
 from weakflow.plans.registry import Registry
 from weakflow.sources import artefacts, tables
@@ -423,3 +423,59 @@ def split_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _corpus(spark, sf_dir).keys()
     keyed = stage(rows.select(corpus.row_key().alias("row_key"), "cwe_name"), "keys")
     return sampling.split_stratified(keyed, F.col("row_key"), "cwe_name")
+
+
+_MIN_OF_LABEL = 10
+
+
+@registry.add(
+    "corpus_drop_report",
+    f"""WITH {fx.SQL_CVE},
+judged AS (SELECT cwe_name, CASE WHEN cwe_name IS NULL THEN 'unlabelled'
+    WHEN trim(coalesce(summary, '')) = '' THEN 'blank'
+    WHEN trim(translate(summary, {fx.quote(WORD_SEPARATORS)}, '{" " * len(WORD_SEPARATORS)}')) = '' THEN 'empty'
+    ELSE 'kept' END AS reason FROM cve),
+sized AS (SELECT *, CASE WHEN reason = 'kept' AND count(*) FILTER (reason = 'kept') OVER (PARTITION BY cwe_name)
+    < {_MIN_OF_LABEL} THEN 'rare' ELSE reason END AS final FROM judged)
+SELECT r.reason, count(s.final) AS n FROM
+  (SELECT unnest(['unlabelled', 'blank', 'empty', 'rare', 'kept']) AS reason) r
+  LEFT JOIN sized s ON s.final = r.reason GROUP BY r.reason
+UNION ALL SELECT 'rows', count(*) FROM sized""",
+)
+def corpus_drop_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training rows of the CVE table, and why the others are dropped, in one scan."""
+    rows = fx.cve(spark, sf_dir)
+    _, report = observed.drop_report(rows, "summary", "cwe_name", tokenize(F.col("summary")), _MIN_OF_LABEL)
+    return report
+
+
+@registry.add(
+    "cap_repeated_keys",
+    f"""WITH sized AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+placed AS (SELECT *, sum(n) OVER (ORDER BY {fx.sql_hash("source")}, source) - n AS before FROM sized)
+SELECT source, CAST(least(n, 333 - before) AS BIGINT) AS n FROM placed WHERE before < 333""",
+)
+def cap_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cap over rows whose key repeats gives exactly as many rows as asked for."""
+    capped = sampling.cap_rows(fx.table(spark, sf_dir, "documents").select("source"), 333, F.col("source"))
+    return capped.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@registry.add(
+    "split_null_class",
+    """WITH labelled AS (SELECT CASE WHEN lang <> 'en' THEN lang END AS label FROM documents),
+sized AS (SELECT label, count(*) AS n FROM labelled GROUP BY label),
+totals AS (SELECT CAST(sum(n) AS BIGINT) AS n_all, (CAST(sum(n) AS BIGINT) * 20 + 99) // 100 AS nt FROM sized),
+shared AS (SELECT label, n, nt, (nt * n) // n_all AS base, (nt * n) % n_all AS rest FROM sized, totals),
+quotas AS (SELECT label, n, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, label NULLS FIRST)
+  <= nt - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM shared)
+SELECT label, CAST(quota AS BIGINT) AS n_test, CAST(n - quota AS BIGINT) AS n_train FROM quotas""",
+)
+def split_null_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stratified split by a label that is NULL for a part of the rows, with keys that repeat."""
+    label = F.when(F.col("lang") != "en", F.col("lang")).alias("label")
+    rows = fx.table(spark, sf_dir, "documents").select("source", label)
+    parts = sampling.split_stratified(rows, F.col("source"), "label")
+    return parts.groupBy("label").agg(
+        F.count_if(F.col("part") == "test").alias("n_test"), F.count_if(F.col("part") == "train").alias("n_train")
+    )
