@@ -7,14 +7,16 @@ cross from one text into the next). Segments are rows of a Parquet table in the
 the index grows with the corpus, is never shuffled, and a lost task writes its part again.
 
 Searching: the test items are sent to the tasks in blocks of at most ``BLOCK_BYTES``, however
-many there are; every block is searched in every segment. For each phrase the place lists of
+many there are; every block is searched in every segment, one block after the other, and only
+one is held. A text is known by its segment and its place there, which the index stores, so the
+hits of several blocks meet whatever the plan of each search. For each phrase the place lists of
 its terms are intersected, shifted by their offset in the phrase, beginning with the rarest
 term of that segment. ``phrase_starts`` finds exact phrases, ``proximity_matches`` places
 where all terms of a phrase stand within a window of words. Terms are compared by their
 bytes, so results are exact.
 
-NULL or empty texts have no words and no hits; items without text or without an id occur
-nowhere. Rows with the same id stay separate rows of the result. Empty tables give no rows, or
+NULL or empty texts have no words and no hits; items without text occur nowhere. Items without an
+id count for the hits, but cannot be listed or counted among the items. Rows with the same id stay separate rows of the result. Empty tables give no rows, or
 rows without hits.
 """
 
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +39,7 @@ SEGMENTS_PER_FILE = 8
 _GAP = 1 << 10  # numbers left free between two texts; longer than any phrase or window
 
 SEGMENT = (
-    "ids binary, n_words binary, begin binary, term_hash binary, term_at binary, term_bytes binary, "
+    "segment string, ids binary, n_words binary, begin binary, term_hash binary, term_at binary, term_bytes binary, "
     "list_at binary, places binary"
 )
 
@@ -79,16 +82,21 @@ def build_index(df: DataFrame, key: str = "doc_id", text: str = "text", gap: int
     """The stored segments of the index over all rows of ``df``."""
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in SEGMENT.split(", ")]
+        schema = pa.schema([(name, pa.binary() if i else pa.string()) for i, name in enumerate(names)])
+        partition, n = TaskContext.get().partitionId(), 0
         for batch in batches:
-            rows = [_segment(p.column(0), p.column(1), gap) for p in tb.slices(batch, "text")]
+            rows = []
+            for piece in tb.slices(batch, "text"):
+                n += 1
+                rows.append({"segment": f"{partition}-{n}", **_segment(piece.column(0), piece.column(1), gap)})
             if rows:
-                schema = pa.schema([(name, pa.binary()) for name in rows[0]])
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     pairs = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
     path = new_path(df.sparkSession, "positions")
     # Few segments per file: readers decode the rows of a file together.
-    pairs.mapInArrow(segments, SEGMENT).write.option("maxRecordsPerFile", SEGMENTS_PER_FILE).parquet(path)
+    pairs.mapInArrow(lambda b: tb.tidy(segments(b)), SEGMENT).write.option("maxRecordsPerFile", SEGMENTS_PER_FILE).parquet(path)
     return df.sparkSession.read.schema(SEGMENT).parquet(path)
 
 
@@ -96,6 +104,7 @@ class Segment:
     """One segment, read back for searching."""
 
     def __init__(self, row: dict) -> None:
+        self.name = row.get("segment")
         self.ids = pa.ipc.open_stream(row["ids"]).read_all()["id"].combine_chunks()
         self.n_words = np.frombuffer(row["n_words"], dtype=np.int64)
         self.begin = np.frombuffer(row["begin"], dtype=np.int64)
@@ -158,14 +167,14 @@ def proximity_matches(segment: Segment, terms: np.ndarray, within: int) -> np.nd
 class Phrases:
     """The windows of a block of test items, as numbers of distinct terms."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int) -> None:
+    def __init__(self, items: list[tuple[str | None, str]], window: int) -> None:
         words = tb.find_words(pa.array([t for _, t in items], pa.string()), tb.ALPHANUMERIC)
         terms = tb.spans_as_binary(words.data, words.start, words.end).to_pylist()
         self.terms = sorted(set(terms))
         number = {t: i for i, t in enumerate(self.terms)}
         joined = tb.find_words(pa.array([b" ".join(self.terms)]).cast(pa.string()), tb.ALPHANUMERIC)
         self.hashes = joined.hashes()
-        self.items: list[str] = [name for name, _ in items]
+        self.items: list[str | None] = [name for name, _ in items]
         sequences: dict[tuple[int, ...], list[int]] = {}
         for i in range(len(items)):
             own = [number[t] for t in terms[words.first[i] : words.first[i + 1]]]
@@ -181,13 +190,13 @@ class Phrases:
             self.grid[i, : len(w)] = w
 
 
-def _blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[str, str]]]:
+def _blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[str | None, str]]]:
     """The items with words, in blocks of bounded size, fetched one partition at a time."""
     rows = items.select(F.col(key).cast("string").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     block, size = [], 0
-    for row in rows.filter(F.col("id").isNotNull()).toLocalIterator():
+    for row in rows.toLocalIterator():
         block.append((row["id"], row["text"]))
-        size += len(row["text"].encode()) + len(row["id"]) + 64
+        size += len(row["text"].encode()) + len(row["id"] or "") + 64
         if size >= BLOCK_BYTES:
             yield block
             block, size = [], 0
@@ -196,7 +205,7 @@ def _blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[str, s
 
 
 def search(index: DataFrame, phrases: Phrases, key_type: str, proximity: int = 0) -> DataFrame:
-    """(segment-wise) rows (id, n_words, hit_words, items): one per text of the index.
+    """(segment-wise) rows (segment, at, id, n_words, hit_words, items): one per text of the index.
 
     ``hit_words`` lists the numbers of the words inside any occurrence of a phrase; with
     ``proximity`` it lists the places of proximity matches instead.
@@ -209,8 +218,8 @@ def search(index: DataFrame, phrases: Phrases, key_type: str, proximity: int = 0
             for row in batch.to_pylist():
                 yield _found(Segment(row), asked, proximity)
 
-    schema = f"id {key_type}, n_words long, hit_words array<long>, items array<string>"
-    return index.mapInArrow(matches, schema)
+    schema = f"segment string, at int, id {key_type}, n_words long, hit_words array<long>, items array<string>"
+    return index.mapInArrow(lambda b: tb.tidy(matches(b)), schema)
 
 
 def _found(segment: Segment, asked: Phrases, proximity: int) -> pa.RecordBatch:
@@ -230,14 +239,18 @@ def _found(segment: Segment, asked: Phrases, proximity: int) -> pa.RecordBatch:
             continue
         spans.append((starts[:, None] + np.arange(size)).ravel())
         for text in np.unique(np.searchsorted(segment.begin, starts, "right") - 1):
-            by_text.setdefault(int(text), set()).update(asked.items[i] for i in asked.owners[w])
+            by_text.setdefault(int(text), set()).update(
+                asked.items[i] for i in asked.owners[w] if asked.items[i] is not None
+            )
     hits = np.unique(np.concatenate(spans)) if spans else np.empty(0, dtype=np.int64)
     text = np.searchsorted(segment.begin, hits, "right") - 1
     offsets = np.searchsorted(text, np.arange(n + 1)).astype(np.int32)
     words = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hits - segment.begin[text]))
     items = pa.array([sorted(by_text.get(i, ())) for i in range(n)], pa.list_(pa.string()))
+    where = [pa.array([segment.name] * n, pa.string()), pa.array(np.arange(n, dtype=np.int32))]
     return pa.RecordBatch.from_arrays(
-        [segment.ids, pa.array(segment.n_words), words, items], names=["id", "n_words", "hit_words", "items"]
+        [*where, segment.ids, pa.array(segment.n_words), words, items],
+        names=["segment", "at", "id", "n_words", "hit_words", "items"],
     )
 
 
@@ -259,18 +272,17 @@ def contamination(
         raise ValueError("a window must be shorter than the gap between texts")
     kind = docs.schema[key].dataType.simpleString()
     index = build_index(docs, key, text)
-    found = [search(index, Phrases(b, window), kind) for b in _blocks(items, item_key, item_text)]
-    if not found:
-        found = [search(index, Phrases([], window), kind)]
-    if len(found) == 1:
-        merged = found[0]
-    else:
-        # Several blocks: rows of one text are told apart by their place in the index.
-        parts = [stage(f.withColumn("_at", F.monotonically_increasing_id()), "hits") for f in found]
-        merged = parts[0]
-        for p in parts[1:]:
-            merged = merged.unionByName(p)
-        merged = merged.groupBy("_at").agg(
+    blocks = _blocks(items, item_key, item_text)
+    merged = search(index, Phrases(next(blocks, []), window), kind)
+    following = next(blocks, None)
+    if following is not None:
+        # The first search gives all texts; of the others only hits are stored.
+        merged = stage(merged, "hits")
+        while following is not None:
+            hits = search(index, Phrases(following, window), kind).filter(F.size("hit_words") > 0)
+            merged = merged.unionByName(stage(hits, "hits"))
+            following = next(blocks, None)
+        merged = merged.groupBy("segment", "at").agg(
             F.first("id").alias("id"),
             F.first("n_words").alias("n_words"),
             F.array_distinct(F.flatten(F.collect_list("hit_words"))).alias("hit_words"),

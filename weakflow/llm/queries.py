@@ -51,7 +51,8 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM d, sizes, unnest(range(1, len(w) - size + 2)) AS t(i)),
     found AS (SELECT s.doc_id, s.i, s.size, x.item_id FROM seen s JOIN wanted x USING (size, phrase)),
     hit AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM found, unnest(range(size)) AS t(j) GROUP BY doc_id),
-    items AS (SELECT doc_id, list_sort(list(DISTINCT item_id)) AS ids FROM found GROUP BY doc_id)
+    items AS (
+      SELECT doc_id, list_sort(list(DISTINCT item_id)) AS ids FROM found WHERE item_id IS NOT NULL GROUP BY doc_id)
     SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
       CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
       sha256(array_to_string(coalesce(ids, []), ',')) AS items_sha256,
