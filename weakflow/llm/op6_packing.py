@@ -10,7 +10,8 @@ Inside a bucket rows stand in a seeded order and are cut into batches of
 ``max(1, budget // boundary)`` rows, so that a padded batch keeps to the token budget. A row
 longer than the budget is a batch of its own; nothing is cut or dropped. A bucket is never
 numbered in one task: rows are counted per hash prefix first, as many prefixes as keep about
-``ROWS_PER_SLICE`` rows together.
+``ROWS_PER_SLICE`` rows together. One pass counts lengths by prefix, and the histogram and the
+sizes of the prefixes are sums of that table. Rows without an id are ordered by their content.
 
 The length is the number of words, plus one end token; a NULL text has length 1. Equal rows all
 keep a place. An empty table has no buckets and gives no rows. All columns of the input are
@@ -20,12 +21,9 @@ kept, except those with the names of the added ones, which are replaced.
 import math
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
-from weakflow.llm import textbytes as tb
 from weakflow.sources.staging import stage
 
 BUCKETS = 16
@@ -35,18 +33,10 @@ ROWS_PER_SLICE = 50_000
 ADDED = ("n_tokens", "bucket", "bucket_length", "batch", "place", "padding")
 
 
-@F.arrow_udf(LongType())
-def _token_count(texts: pa.Array) -> pa.Array:
-    sizes = []
-    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
-    for piece in tb.slices(batch, "text"):
-        sizes.append(tb.find_words(piece.column("text"), tb.NOT_SPACE, lower=False).counts() + 1)
-    return pa.array(np.concatenate(sizes) if sizes else np.empty(0, dtype=np.int64), pa.int64())
-
-
 def token_count(text: str) -> Column:
     """Words of a text column, plus one."""
-    return _token_count(F.col(text).cast("string"))
+    words = F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+"))
+    return (words + 1).cast("long")
 
 
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
@@ -94,9 +84,9 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS)
     return ends[::-1]
 
 
-def histogram(lengths: DataFrame, length: str) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct lengths, rows of each), ascending."""
-    counted = lengths.groupBy(length).agg(F.count(F.lit(1)).alias("n")).toArrow()
+def histogram(counted: DataFrame, length: str) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct lengths, rows of each), ascending, from counts ``n``."""
+    counted = counted.groupBy(length).agg(F.sum("n").alias("n")).toArrow()
     order = np.argsort(counted[length].to_numpy())
     return counted[length].to_numpy()[order], counted["n"].to_numpy()[order]
 
@@ -112,24 +102,20 @@ def pack(
 ) -> DataFrame:
     """Adds n_tokens, bucket, bucket_length, batch (inside the bucket), place and padding."""
     kept = [c for c in df.columns if c not in ADDED]
-    lengths, counts = histogram(df.select(length.alias("n_tokens")), "n_tokens")
-    ends = boundaries(lengths, counts, buckets)
-    total = int(counts.sum()) if len(counts) else 0
-    digits = max(1, math.ceil(math.log(max(1.0, total / rows_per_slice), 16)))
+    digits = max(1, math.ceil(math.log(max(1.0, df.count() / rows_per_slice), 16)))
+    content = F.concat(F.lit("NULL"), F.hex(F.xxhash64(*[F.col(f"_row.`{c}`") for c in kept])))
+    mark = F.coalesce(F.col(f"_row.`{key}`").cast("string"), content)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), length.alias("n_tokens"))
+    rows = rows.withColumn("_order", F.md5(F.concat(F.lit(seed + ":"), mark)))
+    rows = rows.withColumn("_slice", F.substring("_order", 1, digits))
+    counted = stage(rows.groupBy("n_tokens", "_slice").agg(F.count(F.lit(1)).alias("n")), "length-counts")
+    ends = boundaries(*histogram(counted, "n_tokens"), buckets)
     number, boundary = F.lit(None).cast("int"), F.lit(None).cast("long")
     for i, end in reversed(list(enumerate(ends))):
         fits = F.col("n_tokens") <= end
         number, boundary = F.when(fits, F.lit(i)).otherwise(number), F.when(fits, F.lit(end)).otherwise(boundary)
-    mark = F.coalesce(F.col(f"_row.`{key}`").cast("string"), F.lit("NULL"))
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), length.alias("n_tokens"))
-    rows = rows.select(
-        "_row",
-        "n_tokens",
-        number.alias("bucket"),
-        boundary.cast("long").alias("bucket_length"),
-        F.md5(F.concat(F.lit(seed + ":"), mark)).alias("_order"),
-    ).withColumn("_slice", F.substring("_order", 1, digits))
-    sizes = rows.groupBy("bucket", "_slice").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counted.groupBy(number.alias("bucket"), "_slice").agg(F.sum("n").alias("n"))
+    rows = rows.withColumns({"bucket": number, "bucket_length": boundary.cast("long")})
     earlier = Window.partitionBy("bucket").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before")
     sizes = stage(sizes.select("bucket", "_slice", before), "slice-sizes")
