@@ -5,29 +5,37 @@ through Spark's text writer (whose line separator ends a record), so the files a
 task by task and lie where all executors see them. A response is an HTTP message in chunked
 framing; a message longer than ``SEGMENT_BYTES`` is written as a first segment and
 continuation records that name it by ``WARC-Segment-Origin-ID``. A page whose payload equals
-that of a page with a larger id is a revisit record that names that page.
+that of a page with a larger id is a revisit record that names the record of that page.
 
 ``read_archive`` parses the files record by record, whatever the payloads contain. Segments
 are grouped by their origin, put in order by number, and their total length is verified; then
-the chunked framing is decoded, and length and digest are taken from the decoded payload.
-``status`` says ``ok`` or what does not fit. ``read_payloads`` also returns the payloads.
-
-A NULL html is an empty payload; a NULL url is left out of the record. Equal rows stay separate
-records. Of equal large payloads, all rows with the largest id are responses; rows without an id
-are always responses. Cuts are made between characters, never inside one.
+the chunked framing is decoded, length and digest are taken from the decoded payload, and the
+digest is compared with the recorded one. ``status`` says ``ok`` or what does not fit: a changed
+record, missing or wrong segments, and an archive that ends or breaks inside a record, whose
+records before that place are read. ``read_payloads`` also returns the payloads.
+
+Every row is stored with a number of its own first, so record ids are unique and a revisit names a
+record that exists. A NULL html is an empty payload; a NULL url is left out of the record. Ids may be
+of any type that can be cast to a string and back. Equal rows stay separate records. Of equal large
+payloads, all rows with the largest id are responses, and revisits name one of them; rows without an id
+are always responses. Cuts are made between characters, never inside one. Very long pages are cut into
+segments; other columns are not read, whatever their names. An empty table gives no records. A file of
+the archive is one gzip member, as Spark's writer makes it.
 """
 
 import gzip
 import hashlib
 import io
 import re
+import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weakflow.operators.joins import spread_left_join
 from weakflow.sources.staging import new_path, stage
 
 REVISIT_FROM = 1000  # smaller payloads are always written whole
@@ -78,11 +86,23 @@ def _record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block
 
 
+def record_name(page: str | None, number: int) -> str:
+    """The id of the record of a row; a page without an id leaves its place empty."""
+    return f"urn:page:{'' if page is None else 'p' + quote(page, safe='')}:{number}"
+
+
+def page_of(name: str) -> str | None:
+    """The page that a record id names."""
+    part = name.strip("<>").split(":")[2]
+    return unquote(part[1:]) if part else None
+
+
 def page_records(
-    page: str, serial: str, url: str | None, payload: bytes, digest: str, refers_to: str | None, segment: int
+    page: str | None, number: int, url: str | None, payload: bytes, digest: str, refers_to: str | None, segment: int
 ) -> list[bytes]:
-    """The records of one page, without the separator that ends a record."""
-    name = f"urn:page:{page}:{serial}"
+    """The records of one page, without the separator that ends a record; ``refers_to`` is the name of
+    another record."""
+    name = record_name(page, number)
     given = [("WARC-Date", _DATE), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if url is not None:
         given.append(("WARC-Target-URI", re.sub(r"[\r\n]", " ", url)))
@@ -90,7 +110,7 @@ def page_records(
     kind = ("Content-Type", "application/http; msgtype=response")
     if refers_to is not None:
         block = http + b"Content-Length: %d\r\n\r\n" % len(payload)
-        about = [("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", _PROFILE), kind]
+        about = [("WARC-Refers-To", f"<{refers_to}>"), ("WARC-Profile", _PROFILE), kind]
         return [_record([("WARC-Type", "revisit"), ("WARC-Record-ID", f"<{name}>"), *given, *about], block)]
     block = http + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     first = [("WARC-Type", "response"), ("WARC-Record-ID", f"<{name}>"), *given, kind]
@@ -112,24 +132,21 @@ def page_records(
     return out
 
 
-def with_revisits(df: DataFrame, key: str, html: str) -> DataFrame:
-    """(page, url, payload, digest, refers_to) of every row.
+def with_revisits(pages: DataFrame) -> DataFrame:
+    """Adds refers_to and refers_number, the page and number of the row that a row repeats, to stored
+    rows (number, page, payload, digest).
 
-    Groups of equal payloads are counted before any shuffle of rows, and only ids and digests
-    are joined; the payloads move once, by the page id.
+    Groups of equal payloads are counted before any shuffle of rows, and only numbers, ids and digests
+    are joined by digest, a hot one in parts; the payloads move once, by their numbers.
     """
-    payload = F.coalesce(F.col(html), F.lit(""))
-    pages = df.select(
-        F.col(key).alias("page"),
-        F.col("url"),
-        payload.alias("payload"),
-        F.sha1(payload.cast("binary")).alias("digest"),
-    )
     large = pages.filter((F.octet_length("payload") >= REVISIT_FROM) & F.col("page").isNotNull())
-    large = stage(large.select("page", "digest"), "warc-digests")
-    last = large.groupBy("digest").agg(F.max("page").alias("refers_to"), F.count(F.lit(1)).alias("n"))
-    again = large.join(last.filter("n > 1").drop("n"), "digest").filter(F.col("page") < F.col("refers_to"))
-    return pages.join(stage(again.distinct(), "warc-revisits"), ["page", "digest"], "left")
+    large = large.select("number", "page", "digest")
+    greatest = F.max(F.struct("page", (-F.col("number")).alias("low"))).alias("last")
+    last = large.groupBy("digest").agg(greatest, F.count(F.lit(1)).alias("n")).filter("n > 1")
+    last = stage(last.select("digest", F.col("last.page").alias("refers_to"), (-F.col("last.low")).alias("refers_number")), "warc-last")
+    again = spread_left_join(large, last, "digest", right_unique=True).filter(F.col("page") < F.col("refers_to"))
+    again = stage(again.select("number", "refers_to", "refers_number"), "warc-revisits")
+    return pages.join(again, "number", "left")
 
 
 def write_archive(
@@ -138,25 +155,28 @@ def write_archive(
     """Write the pages; the folder of the archives is returned."""
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        partition, n = TaskContext.get().partitionId(), 0
+        names = ("number", "page", "url", "payload", "digest", "refers_to", "refers_number")
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("page", "url", "payload", "digest", "refers_to"))
             out: list[bytes] = []
-            for page, url, payload, digest, refers in zip(*columns, strict=True):
-                n += 1
-                out += page_records(page or "", f"{partition}-{n}", url, payload, digest, refers, segment)
+            for number, page, url, payload, digest, *of in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                refers = None if of[1] is None else record_name(*of)
+                out += page_records(page, number, url, payload, digest, refers, segment)
                 if len(out) >= 512:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
                     out = []
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
 
-    rows = df.select(F.col(key).alias("page"), F.col(url).alias("url"), F.col(html).alias("html"))
-    pages = with_revisits(rows, "page", "html").select(
+    rows = df.select(F.col(key).alias("page"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("payload"))
+    digest = F.sha1(F.col("payload").cast("binary")).alias("digest")
+    numbered = stage(rows.select(F.monotonically_increasing_id().alias("number"), "*", digest), "warc-pages")
+    pages = with_revisits(numbered).select(
+        "number",
         F.col("page").cast("string").alias("page"),
         "url",
         F.col("payload").cast("binary").alias("payload"),
         "digest",
         F.col("refers_to").cast("string").alias("refers_to"),
+        "refers_number",
     )
     path = new_path(df.sparkSession, "warc")
     writer = pages.mapInArrow(records, "value string").write.option("lineSep", _END)
@@ -192,16 +212,18 @@ def http_payload(block: bytes) -> bytes:
     return body
 
 
-_PAGE = re.compile(r"<urn:page:(-?\d*)")
 _PARSED = (
     "page string, record_type string, refers_to string, digest string, payload_bytes long, payload binary, "
-    "origin string, number int, total long, block binary"
+    "origin string, number int, total long, block binary, status string"
 )
+CHANGED, BROKEN = "digest differs", "archive ends or breaks here"
+_BREAKS = (ValueError, KeyError, TypeError, IndexError, EOFError, OSError, zlib.error)
 
 
 def _parsed(fields: dict[str, str], block: bytes, keep: bool) -> dict:
     row = dict.fromkeys(re.findall(r"(\w+) \w+(?:, |$)", _PARSED))
     kind = fields["warc-type"]
+    row["status"] = "ok"
     if "warc-segment-number" in fields:
         row["origin"] = fields.get("warc-segment-origin-id", fields["warc-record-id"])
         row["number"], row["block"] = int(fields["warc-segment-number"]), block
@@ -209,40 +231,41 @@ def _parsed(fields: dict[str, str], block: bytes, keep: bool) -> dict:
             row["total"] = int(fields["warc-segment-total-length"])
     if kind == "continuation":
         return row
-    row["page"] = _PAGE.match(fields["warc-record-id"])[1]
+    row["page"] = page_of(fields["warc-record-id"])
     row["record_type"] = kind
     row["digest"] = fields["warc-payload-digest"].partition(":")[2]
     if kind == "revisit":
-        row["refers_to"] = _PAGE.match(fields["warc-refers-to"])[1]
+        row["refers_to"] = page_of(fields["warc-refers-to"])
         row["payload_bytes"] = int(re.search(rb"(?i)content-length:\s*(\d+)", block)[1])
     elif row["origin"] is None:
-        payload = http_payload(block)
-        row["payload_bytes"], row["digest"] = len(payload), hashlib.sha1(payload).hexdigest()
-        row["payload"] = payload if keep else None
+        _decode(row, block, keep)
     return row
 
 
+def _decode(row: dict, block: bytes, keep: bool) -> None:
+    """Take payload, length and digest from the block, and say whether they fit the record."""
+    try:
+        payload = http_payload(block)
+    except _BREAKS:
+        row["status"], row["digest"] = "wrong chunked framing", None
+        return
+    found = hashlib.sha1(payload).hexdigest()
+    row["status"] = "ok" if found == row["digest"] else CHANGED
+    row["payload_bytes"], row["digest"], row["payload"] = len(payload), found, payload if keep else None
+
+
 def _reassembled(group: pa.Table, keep: bool) -> pa.Table:
     rows = sorted(group.to_pylist(), key=lambda r: r["number"])
     head, tail = rows[0], rows[-1]
     block = b"".join(r["block"] for r in rows)
-    status = "ok"
-    payload = None
+    out = dict.fromkeys(_OUT.names) | {"page": head["page"], "record_type": head["record_type"]}
     if [r["number"] for r in rows] != list(range(1, len(rows) + 1)) or tail["total"] is None:
-        status = "segments missing"
+        out["status"] = "segments missing"
     elif tail["total"] != len(block):
-        status = "wrong total length"
+        out["status"] = "wrong total length"
     else:
-        payload = http_payload(block)
-    out = {
-        "page": head["page"],
-        "record_type": head["record_type"],
-        "refers_to": None,
-        "digest": None if payload is None else hashlib.sha1(payload).hexdigest(),
-        "payload_bytes": None if payload is None else len(payload),
-        "payload": payload if keep else None,
-        "status": status,
-    }
+        out["digest"] = head["digest"]
+        _decode(out, block, keep)
     return pa.Table.from_pylist([out], schema=_OUT)
 
 
@@ -266,9 +289,17 @@ def read_payloads(spark: SparkSession, path: str, keep: bool = True) -> DataFram
             for content in batch.column(0):
                 rows, size = [], 0
                 stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content.as_py())))
-                for fields, block in parse_records(stream):
-                    rows.append(_parsed(fields, block, keep))
-                    size += len(block)
+                found = parse_records(stream)
+                while True:
+                    try:
+                        record = next(found, None)
+                        if record is None:
+                            break
+                        rows.append(_parsed(*record, keep))
+                    except _BREAKS:
+                        rows.append(dict.fromkeys(schema.names) | {"status": BROKEN})
+                        break
+                    size += len(record[1])
                     if size >= 8 << 20:
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)
                         rows, size = [], 0
@@ -277,7 +308,7 @@ def read_payloads(spark: SparkSession, path: str, keep: bool = True) -> DataFram
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
     parsed = stage(files.select("content").mapInArrow(records, _PARSED), "warc-records")
     whole = parsed.filter("origin IS NULL").select(
-        "page", "record_type", "refers_to", "digest", "payload_bytes", "payload", F.lit("ok").alias("status")
+        "page", "record_type", "refers_to", "digest", "payload_bytes", "payload", "status"
     )
     split = parsed.filter("origin IS NOT NULL").groupBy("origin")
     return whole.unionByName(split.applyInArrow(lambda t: _reassembled(t, keep), _RESULT))
@@ -292,7 +323,7 @@ def read_archive(spark: SparkSession, path: str, key: str = "page_id", key_type:
     """(key, payload_bytes, payload_digest, record_type, refers_to, status) per page."""
     found = read_payloads(spark, path, keep=False)
     return found.select(
-        F.when(F.col("page") != "", F.col("page")).cast(key_type).alias(key),
+        F.col("page").cast(key_type).alias(key),
         "payload_bytes",
         F.col("digest").alias("payload_digest"),
         "record_type",
