@@ -1,3 +1,7 @@
+import gzip
+import hashlib
+import io
+import pathlib
 import random
 import zlib
 from collections import Counter
@@ -114,10 +118,12 @@ def test_decontamination(spark, odd, empty, monkeypatch, block):
     planted = [(900, "a, " + " ".join(VOCABULARY[52:68]).upper() + "! w1 w2 w3 w1 w2"), (901, "w1-w2\nw3")]
     df = df.unionByName(spark.createDataFrame(planted, "doc_id long, text string"), allowMissingColumns=True)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    named = [i for i in ITEMS if i[0] is not None]
+    # Items without an id count for the hits and are not listed.
+    every = [(f"none {k}" if i is None else i, t) for k, (i, t) in enumerate(ITEMS)]
     want = Counter()
     for key, text in [(r[0], r[1]) for r in rows] + planted:
-        n, hit, names = brute.contamination(text, named)
+        n, hit, names = brute.contamination(text, every)
+        names = [x for x in names if not str(x).startswith("none")]
         want[key, n, hit, len(names), op2_decontamination.digest(names), hit > 0 and 20 * hit >= n] += 1
     got = op2_decontamination.contamination(df, items)
     assert bag(got, *got.columns) == want
@@ -126,6 +132,33 @@ def test_decontamination(spark, odd, empty, monkeypatch, block):
     assert none.count() == len(rows) + 2 and none.filter("n_hit > 0 OR contaminated").count() == 0
 
 
+def test_blocks_of_items_meet_under_any_plan(spark, odd, monkeypatch):
+    """Each block's search is planned with other splits, as if executors had come or gone."""
+    monkeypatch.setattr(textbytes, "SLICE_BYTES", 2000)
+    monkeypatch.setattr(op2_decontamination, "SEGMENTS_PER_FILE", 1)
+    _, df = odd
+    items = spark.createDataFrame([(i, f"w{i} w{i + 1}") for i in range(40)] + [(99, " ".join(VOCABULARY[50:70]))], "item_id long, text string")
+    df = df.unionByName(spark.createDataFrame([(700 + i, f"x w{i} w{i + 1} y w7 w8") for i in range(38)], "doc_id long, text string"), allowMissingColumns=True)
+    once = op2_decontamination.contamination(df, items)
+    want = bag(once, *once.columns)
+    searches = []
+    search = op2_decontamination.search
+
+    def planned_anew(*args):
+        searches.append(1)
+        spark.conf.set("spark.sql.files.minPartitionNum", 1 if len(searches) % 2 else 40)
+        return search(*args)
+
+    monkeypatch.setattr(op2_decontamination, "search", planned_anew)
+    monkeypatch.setattr(op2_decontamination, "BLOCK_BYTES", 600)
+    try:
+        got = op2_decontamination.contamination(df, items)
+        assert bag(got, *got.columns) == want and sum(n for r, n in want.items() if r[2]) > 30
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert len(searches) > 2
+
+
 def test_proximity():
     segment = op2_decontamination.Segment(
         op2_decontamination._segment(pa.array([1, 2]), pa.array(["a x b y c", "a q q q q q b"]), 1024)
@@ -176,8 +209,6 @@ def test_warc(spark, empty):
     df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, digest int")
     path = op4_warc.write_archive(df)
     got = op4_warc.read_archive(spark, path)
-    import hashlib
-
     want = Counter()
     last = {}
     for key, _, html in pages:
@@ -196,13 +227,71 @@ def test_warc(spark, empty):
 
 def test_warc_reports_broken_segments():
     block = b"HTTP/1.1 200 OK\r\n\r\nabcdef"
-    rows = [{"page": "1", "record_type": "response", "number": 1, "block": block[:10], "total": None},
-            {"page": None, "record_type": None, "number": 2, "block": block[10:], "total": len(block)}]
+    digest = hashlib.sha1(b"abcdef").hexdigest()
+    rows = [{"page": "1", "record_type": "response", "number": 1, "block": block[:10], "total": None, "digest": digest},
+            {"page": None, "record_type": None, "number": 2, "block": block[10:], "total": len(block), "digest": None}]
     whole = op4_warc._reassembled(pa.Table.from_pylist(rows[::-1]), True).to_pylist()[0]
     assert whole["status"] == "ok" and whole["payload"] == b"abcdef"
     rows[1]["total"] = 99
     assert op4_warc._reassembled(pa.Table.from_pylist(rows), True).to_pylist()[0]["status"] == "wrong total length"
     assert op4_warc._reassembled(pa.Table.from_pylist(rows[1:]), True).to_pylist()[0]["status"] == "segments missing"
+    rows[1] |= {"total": len(block), "block": block[10:-1] + b"X"}
+    assert op4_warc._reassembled(pa.Table.from_pylist(rows), True).to_pylist()[0]["status"] == op4_warc.CHANGED
+
+
+def archives(path):
+    return sorted(p for p in pathlib.Path(path).iterdir() if p.suffix == ".gz")
+
+
+def test_warc_revisits_resolve_and_ids_are_texts(spark):
+    """Ids with any characters come back, and what a revisit names is a response with its payload."""
+    rng = random.Random(3)
+    large, other = prose(rng, 300), prose(rng, 301)
+    ids = ["", "a:b>", "é %", "z", "z", None, "m"]
+    rows = [(i, "u", other if i == "m" else large) for i in ids]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string").repartition(3)
+    path = op4_warc.write_archive(df)
+    got = op4_warc.read_archive(spark, path, key_type="string")
+    told = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in got.collect())
+    assert told == Counter([("", "revisit", "é %"), ("a:b>", "revisit", "é %"), ("z", "revisit", "é %"), ("z", "revisit", "é %"),
+                            ("é %", "response", None), (None, "response", None), ("m", "response", None)])
+    records = [r for f in archives(path) for r in op4_warc.parse_records(io.BytesIO(gzip.decompress(f.read_bytes())))]
+    by_id = {f["warc-record-id"]: f for f, _ in records}
+    assert len(by_id) == len(records)
+    revisits = [f for f, _ in records if f["warc-type"] == "revisit"]
+    for f in revisits:
+        target = by_id[f["warc-refers-to"]]
+        assert target["warc-type"] == "response" and target["warc-payload-digest"] == f["warc-payload-digest"]
+    assert len(revisits) == 4
+
+
+@pytest.mark.parametrize("damage", ["changed", "cut inside the file", "cut inside a record", "framing", "no archive"])
+def test_warc_reports_damaged_archives(spark, tmp_path, damage):
+    rows = [(i, "u", f"page {i} " + "text " * 20) for i in range(6)]
+    path = op4_warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    (file,) = archives(path)
+    data = gzip.decompress(file.read_bytes())
+    if damage == "changed":
+        raw = gzip.compress(data.replace(b"page 4 text", b"page 4 tExt"))
+    elif damage == "cut inside the file":
+        raw = file.read_bytes()[:-30]
+    elif damage == "cut inside a record":
+        raw = gzip.compress(data[: data.index(b"page 4 text") + 20])
+    elif damage == "framing":
+        at = data.index(b"page 4 text")
+        raw = gzip.compress(data[: at - 4] + b"zz" + data[at - 2 :])
+    else:
+        raw = b"not gzip"
+    (tmp_path / "a.gz").write_bytes(raw)
+    got = op4_warc.read_archive(spark, str(tmp_path)).collect()
+    states = {r["page_id"]: r["status"] for r in got}
+    if damage == "no archive":
+        assert states == {None: op4_warc.BROKEN}
+    elif damage.startswith("cut"):
+        assert states.pop(None) == op4_warc.BROKEN and set(states) <= set(range(5)) and set(states.values()) <= {"ok"}
+    else:
+        assert states.pop(4) == {"changed": op4_warc.CHANGED, "framing": "wrong chunked framing"}[damage]
+        assert states == {i: "ok" for i in (0, 1, 2, 3, 5)}
 
 
 def test_url_rules_and_trees(spark):

@@ -48,6 +48,7 @@ GROUP_BYTES = 4 << 20
 PART_ROWS = 100_000
 MAX_BROADCAST_IDS = 1_000_000
 POSTINGS_HELD = 1 << 18  # postings that a task holds before it passes them on
+POSTED_SETS = 200_000  # sets that a task remembers, so as not to post a copy; forgetting costs time only
 _BLOCK = 4096
 
 
@@ -107,7 +108,7 @@ def signatures(df: DataFrame) -> DataFrame:
             names=names,
         )
 
-    return df.mapInArrow(rows, "id long, n long, s1 long, s2 long, block int, counts binary")
+    return df.mapInArrow(lambda b: tb.tidy(rows(b)), "id long, n long, s1 long, s2 long, block int, counts binary")
 
 
 def sketch_of(signed: DataFrame) -> np.ndarray:
@@ -177,7 +178,7 @@ def prefix_postings(df: DataFrame, sketch: np.ndarray, buckets: int, k: int = K)
                     if n[i] and mark not in posted:
                         fresh[i] = True
                         posted.add(mark)
-                if len(posted) > 1_000_000:
+                if len(posted) > POSTED_SETS:
                     posted.clear()
                 slot = _slot(hashes)
                 owner = np.repeat(np.arange(len(n)), n)
@@ -200,7 +201,7 @@ def prefix_postings(df: DataFrame, sketch: np.ndarray, buckets: int, k: int = K)
         if held:
             yield flush()
 
-    return df.mapInArrow(rows, "bucket int, postings binary")
+    return df.mapInArrow(lambda b: tb.tidy(rows(b)), "bucket int, postings binary")
 
 
 _BAND = float(np.log(100 / PERCENT))
@@ -239,7 +240,7 @@ def shared_lists(postings: DataFrame, partitions: int) -> DataFrame:
             )
 
     dealt = postings.repartition(partitions, "bucket")
-    return dealt.mapInArrow(rows, "h long, id long, n long, pos long, parts long, band long, pivot long")
+    return dealt.mapInArrow(lambda b: tb.tidy(rows(b)), "h long, id long, n long, pos long, parts long, band long, pivot long")
 
 
 def heap_merge(lists: list[np.ndarray], threshold: int) -> dict[int, int]:
@@ -310,7 +311,7 @@ def verified(df: DataFrame, pairs: DataFrame) -> DataFrame:
                     [piece.column("id"), pa.array(data, pa.binary())], names=["id", "shingles"]
                 )
 
-    sets_of = stage(texts.select("id", "text").mapInArrow(sets, "id long, shingles binary"), "candidate-sets")
+    sets_of = stage(texts.select("id", "text").mapInArrow(lambda b: tb.tidy(sets(b)), "id long, shingles binary"), "candidate-sets")
     width = sets_of.select(F.col("id").alias("b"), F.octet_length("shingles").alias("bytes"))
     groups = pairs.join(width, "b").groupBy("a").agg(F.sum("bytes").alias("bytes"))
     parts = F.greatest(F.ceil(F.col("bytes") / GROUP_BYTES), F.lit(1)).cast("int")

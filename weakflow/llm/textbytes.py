@@ -6,6 +6,8 @@ of a class given by a table of 256 flags; since all classes used here keep every
 NULL texts have no bytes.
 """
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,6 +47,20 @@ def _power(base: np.uint64, n: int, name: str) -> np.ndarray:
     return have[:n]
 
 
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; what the worker still holds after the last one is given back to the system.
+
+    Spark keeps a Python worker for later tasks, and with it all memory that its allocators keep."""
+    try:
+        yield from batches
+    finally:
+        _powers.clear()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(ctypes.util.find_library("c")), "malloc_trim", None)
+        if trim is not None:  # glibc only
+            trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (a bijection)."""
     x = x ^ (x >> np.uint64(31))
