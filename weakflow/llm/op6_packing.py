@@ -115,7 +115,8 @@ def pack(
         fits = F.col("n_tokens") <= end
         number, boundary = F.when(fits, F.lit(i)).otherwise(number), F.when(fits, F.lit(end)).otherwise(boundary)
     sizes = counted.groupBy(number.alias("bucket"), "_slice").agg(F.sum("n").alias("n"))
-    rows = rows.withColumns({"bucket": number, "bucket_length": boundary.cast("long")})
+    # Dealt out by prefix first, so that the bucket is looked up by a length that is there already.
+    rows = rows.repartition("_slice").withColumns({"bucket": number, "bucket_length": boundary.cast("long")})
     earlier = Window.partitionBy("bucket").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before")
     sizes = stage(sizes.select("bucket", "_slice", before), "slice-sizes")
