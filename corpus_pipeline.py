@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weakflow.llm import op2_decontamination, op6_packing, op7_toxicity, op8_quality, op9_jaccard
+from weakflow.operators.joins import broadcast_if_small
 from weakflow.sources.staging import stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -38,7 +39,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """The rows whose ``_key`` is not among the rejected ones."""
     keys = stage(rejected.select("_key").distinct(), "rejected")
-    return _keyed(docs).join(keys, "_key", "left_anti").select(*docs.columns)
+    return _keyed(docs).join(broadcast_if_small(keys), "_key", "left_anti").select(*docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +61,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     linked = joined.filter("component_id <> doc_id").select("doc_id").distinct()
     repeated = joined.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     repeated = stage(repeated.select("doc_id").join(linked, "doc_id", "left_anti"), "repeated-ids")
-    once = docs.join(stage(linked.unionByName(repeated), "duplicates"), "doc_id", "left_anti")
+    duplicates = stage(linked.unionByName(repeated), "duplicates")
+    once = docs.join(broadcast_if_small(duplicates), "doc_id", "left_anti")
     one_of = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(one_of).select(*docs.columns)
 
