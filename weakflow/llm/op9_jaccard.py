@@ -135,7 +135,11 @@ def sketch_of(signed: DataFrame) -> np.ndarray:
 def _levels(sketch: np.ndarray) -> np.ndarray:
     """0 for slots of ordinary load (chance included), then one more for each doubling."""
     ordinary = sketch.mean() + 6 * np.sqrt(sketch.mean()) + 4
-    return np.where(sketch > ordinary, np.frexp(sketch / ordinary)[1], 0).astype(np.int8)
+    levels = np.zeros(len(sketch), dtype=np.int8)
+    for at in range(0, len(sketch), 1 << 16):
+        part = sketch[at : at + (1 << 16)]
+        levels[at : at + (1 << 16)] = np.where(part > ordinary, np.frexp(part / ordinary)[1], 0)
+    return levels
 
 
 def prefix_postings(df: DataFrame, sketch: np.ndarray, buckets: int, k: int = K) -> DataFrame:
@@ -147,6 +151,7 @@ def prefix_postings(df: DataFrame, sketch: np.ndarray, buckets: int, k: int = K)
     hot = np.flatnonzero(sketch >= PART_ROWS)
     parts = (1 + sketch[hot] // PART_ROWS).astype(np.uint64)
     shared = df.sparkSession.sparkContext.broadcast((_levels(sketch), hot, parts))
+    tb.release()  # the driver, too, keeps what it needed for the sketch
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, hot, hot_parts = shared.value

@@ -47,6 +47,15 @@ def _power(base: np.uint64, n: int, name: str) -> np.ndarray:
     return have[:n]
 
 
+def release() -> None:
+    """Give back to the system what this process's allocators keep."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(ctypes.util.find_library("c")), "malloc_trim", None)
+    if trim is not None:  # glibc only
+        trim(0)
+
+
 def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same batches; what the worker still holds after the last one is given back to the system.
 
@@ -54,11 +63,7 @@ def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     try:
         yield from batches
     finally:
-        _powers.clear()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(ctypes.util.find_library("c")), "malloc_trim", None)
-        if trim is not None:  # glibc only
-            trim(0)
+        release()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
