@@ -121,7 +121,9 @@ def pack(
     before = F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before")
     sizes = stage(sizes.select("bucket", "_slice", before), "slice-sizes")
     inside = F.row_number().over(Window.partitionBy("bucket", "_slice").orderBy("_order", "n_tokens"))
-    placed = rows.withColumn("_inside", inside).join(sizes, ["bucket", "_slice"])
+    # Every row finds its slice. An inner join would test the bucket for NULL before the deal, by
+    # counting the words of a text once for each bucket.
+    placed = rows.withColumn("_inside", inside).join(sizes, ["bucket", "_slice"], "left")
     rank = F.col("_before") + F.col("_inside") - 1
     fill = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_length"))).cast("long")
     return placed.withColumns({"_rank": rank, "_fill": fill}).select(
