@@ -519,3 +519,16 @@ def test_queries_are_registered():
     names = set(queries.queries())
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
     assert set(queries.oracle_sql()) <= names
+
+
+def test_language_model_finds_words_behind_a_taken_place(monkeypatch):
+    monkeypatch.setattr(op1_lm, "FRONT", 8)  # most words share a place of the front table
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(1, 1 << 62, 200, dtype=np.uint64))
+    counts = rng.integers(1, 50, len(keys))
+    vocab = op1_lm.Vocabulary(keys, counts, np.zeros(len(keys), dtype=np.int64), np.zeros(1), np.zeros(1), 0, 0, 0)
+    asked = np.concatenate([keys[::-1], keys + np.uint64(1)])
+    _, count, found = vocab.look_up(asked, np.zeros(len(asked), dtype=np.int64))
+    known = dict(zip(keys.tolist(), counts.tolist(), strict=True))
+    assert count.tolist() == [known.get(h, 0) for h in asked.tolist()]
+    assert found.tolist() == [h in known for h in asked.tolist()]

@@ -12,15 +12,19 @@ where h_1 .. h_n are the symbols before w; the softmax is mixed with a small sha
 unigram distribution of the symbols.
 
 Counting covers all training texts: words are counted inside each task, and the counts are
-added up by a shuffle on a 64-bit hash of the word. Training goes over every position of all
-training texts: each task trains a copy of the parameters by AdaGrad on the NCE objective in
-numpy, with noise symbols from the unigram distribution shared by a batch, and the copies are
-averaged by a Spark aggregation, weighted by their tokens, once per round. Scoring is a matrix
-product per batch of positions. The counts of the most frequent words (at most
-``DICTIONARY_WORDS``) are sent to the tasks; all rarer words are joined with the full table.
+added up by a shuffle on a 64-bit hash of the word. All texts are then cut into words once more
+and stored as symbols (a byte per token) with their sums of word shares; training and scoring
+read only these. Training goes over every position of all training texts: each task trains a
+copy of the parameters by AdaGrad on the NCE objective in numpy, with noise symbols from the
+unigram distribution shared by a batch, and the copies are averaged by a Spark aggregation,
+weighted by their tokens, once per round. Each round reads every text equally often: once, and more often only if the whole
+corpus has fewer than ``LEAST_POSITIONS`` tokens. Scoring is a matrix product per batch of
+positions. The counts of the most frequent words (at most ``DICTIONARY_WORDS``) are sent to the
+tasks; all rarer words are joined with the full table.
 
 A NULL or empty text is one end. A NULL id counts as an empty one for the fold. Rows with the
-same id stay separate rows. Without training texts all counts are zero and the model is
+same id stay separate rows. A very long text is scored whole; a task holds its symbols and works
+on a batch of positions at a time. Further columns are not read. Without training texts all counts are zero and the model is
 uniform over its symbols.
 """
 
@@ -44,7 +48,10 @@ DIM, CONTEXT = 32, 5
 NOISE, BATCH = 32, 2048
 ROUNDS = 2
 RATE = 0.08
-LEAST_STEPS = 64  # batches trained on each slice at least, by repeating a small slice
+SCORED = 1024  # positions scored by one matrix product
+LEAST_POSITIONS = 2_000_000  # a smaller corpus is read several times in each round
+MOST_EPOCHS = 64
+FRONT = 1 << 20  # places of the table that finds most words without a search
 UNIGRAM_SHARE = 0.05
 DICTIONARY_WORDS = 1 << 19
 END_HASH = np.uint64(0)  # no word is expected to hash to zero
@@ -81,12 +88,25 @@ class Vocabulary:
     end_count: int
     tokens: int
     distinct: int
+    front: np.ndarray | None = None
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """The place in ``keys`` where each hash stands, if it does. A table by low bits holds the
+        most frequent word of each place; only words not found there are searched for."""
+        if self.front is None:
+            self.front = np.zeros(FRONT, dtype=np.int32)
+            rising = np.argsort(self.counts, kind="stable")
+            self.front[(self.keys[rising] & np.uint64(FRONT - 1)).astype(np.int64)] = rising
+        at = self.front[(hashes & np.uint64(FRONT - 1)).astype(np.int64)].astype(np.int64)
+        missed = np.flatnonzero(self.keys[at] != hashes)
+        at[missed] = np.minimum(np.searchsorted(self.keys, hashes[missed]), len(self.keys) - 1)
+        return at
 
     def look_up(self, hashes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(symbol, count, in the dictionary?) of each word."""
         if not len(self.keys):
             return 1 + HEAD + classes, np.zeros(len(hashes), dtype=np.int64), np.zeros(len(hashes), dtype=bool)
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        at = self.places(hashes)
         found = self.keys[at] == hashes
         symbol = np.where(found & (self.symbols[at] > 0), self.symbols[at], 1 + HEAD + classes)
         return symbol, np.where(found, self.counts[at], 0), found
@@ -185,42 +205,43 @@ class Model:
             at += a.size
 
     def hidden(self, contexts: np.ndarray) -> np.ndarray:
+        """The sums of what each place's symbol adds."""
         tables = self.R @ self.C
-        out = tables[0][contexts[:, 0]]
+        places = contexts.T.astype(np.int64)
+        out = tables[0].take(places[0], axis=0)
         for j in range(1, CONTEXT):
-            out += tables[j][contexts[:, j]]
+            out += tables[j].take(places[j], axis=0)
         return out
 
     def log10_probabilities(self, contexts: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Normalised log probabilities of the symbols, by a matrix product per batch."""
-        tables = self.R @ self.C
-        share = np.log10(1 - UNIGRAM_SHARE)
+        outputs = np.ascontiguousarray(self.Q.T)
+        ones = np.ones(len(self.b), dtype=np.float32)
         out = np.empty(len(symbols))
-        for lo in range(0, len(symbols), BATCH):
-            ctx, sym = contexts[lo : lo + BATCH], symbols[lo : lo + BATCH]
-            h = tables[0][ctx[:, 0]]
-            for j in range(1, CONTEXT):
-                h += tables[j][ctx[:, j]]
-            logits = h @ self.Q.T
+        for lo in range(0, len(symbols), SCORED):
+            ctx, sym = contexts[lo : lo + SCORED], symbols[lo : lo + SCORED]
+            logits = self.hidden(ctx) @ outputs
             logits += self.b
-            own = logits[np.arange(len(sym)), sym].astype(np.float64)
-            top = logits.max(axis=1)
-            logits -= top[:, None]
+            own = logits[np.arange(len(sym)), sym]
+            top = logits.max()
+            if top - logits.min() < 60:  # nothing gets too small beside the largest of the block
+                logits -= top
+            else:
+                top = logits.max(axis=1)
+                logits -= top[:, None]
             np.exp(logits, out=logits)
-            lp = (own - top - np.log(logits.sum(axis=1, dtype=np.float64))) / math.log(10)
-            unigram = np.log10(UNIGRAM_SHARE * self.noise[sym])
-            out[lo : lo + BATCH] = np.logaddexp2((lp + share) / math.log10(2), unigram / math.log10(2)) * math.log10(2)
+            p = np.exp((own - top).astype(np.float64)) / (logits @ ones)
+            out[lo : lo + SCORED] = np.log10((1 - UNIGRAM_SHARE) * p + UNIGRAM_SHARE * self.noise[sym])
         return out
 
 
 def _sums_by_symbol(symbols: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    """The rows summed over equal symbols (of which there are fewer than 256)."""
-    small = symbols.astype(np.uint8)
-    order = np.argsort(small, kind="stable")
-    ordered = small[order]
+    """The rows summed over equal symbols, which are bytes."""
+    order = np.argsort(symbols, kind="stable")
+    ordered = symbols.take(order)
     first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     out = np.zeros((size, rows.shape[1]), dtype=np.float32)
-    out[ordered[first]] = np.add.reduceat(rows[order], first, axis=0)
+    out[ordered[first]] = np.add.reduceat(rows.take(order, axis=0), first, axis=0)
     return out
 
 
@@ -240,35 +261,39 @@ class Trainer:
     def step(self, contexts: np.ndarray, symbols: np.ndarray) -> None:
         """One gradient step. What depends on a symbol only is computed once per symbol: the
         contexts' share of the hidden vectors, and the sums of gradients over equal symbols."""
-        m = self.model
+        m, size = self.model, len(self.model.b)
         h = m.hidden(contexts)
-        noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE)), len(self.cumulative) - 1)
-        q = m.Q[symbols]
-        real = np.einsum("nd,nd->n", h, q) + m.b[symbols] - self.offset[symbols]
-        made = h @ m.Q[noise].T + (m.b[noise] - self.offset[noise])
-        up = (1 / (1 + np.exp(np.clip(real, -30, 30)))).astype(np.float32)  # 1 - P(data)
-        down = (-1 / (1 + np.exp(-np.clip(made, -30, 30)))).astype(np.float32)
-        grad_q = _sums_by_symbol(symbols, up[:, None] * h, len(m.Q))
-        grad_b = np.bincount(symbols, weights=up, minlength=len(m.b)).astype(np.float32)
-        np.add.at(grad_q, noise, down.T @ h)
-        np.add.at(grad_b, noise, down.sum(axis=0))
-        grad_h = up[:, None] * q + down @ m.Q[noise]
+        noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE)), size - 1)
+        q, q_noise, bias = m.Q.take(symbols, axis=0), m.Q[noise], m.b - self.offset
+        real = np.einsum("nd,nd->n", h, q) + bias.take(symbols)
+        made = h @ q_noise.T
+        made += bias[noise]
+        with np.errstate(over="ignore"):  # 1 / (1 + inf) is the right limit
+            up = 1 / (1 + np.exp(real))  # 1 - P(data)
+            np.exp(np.negative(made, out=made), out=made)
+        made += 1
+        down = np.divide(-1, made, out=made)
+        grad_q = _sums_by_symbol(symbols.astype(np.uint8), up[:, None] * h, size)
+        grad_b = np.bincount(symbols, weights=up, minlength=size).astype(np.float32)
+        drawn = np.zeros((size, NOISE), dtype=np.float32)
+        drawn[noise, np.arange(NOISE)] = 1
+        grad_q += drawn @ (down.T @ h)
+        grad_b += drawn @ (np.ones(len(down), dtype=np.float32) @ down)
+        grad_h = np.multiply(up[:, None], q, out=q)
+        grad_h += down @ q_noise
         per_context = np.stack([_sums_by_symbol(contexts[:, j], grad_h, len(m.R)) for j in range(CONTEXT)])
         grad_c = m.R.T @ per_context
         grad_r = (per_context @ m.C.transpose(0, 2, 1)).sum(axis=0)
         for i, g in enumerate((grad_r, grad_c, grad_q, grad_b)):
             self._update(i, g)
 
-    def train(self, contexts: np.ndarray, symbols: np.ndarray) -> None:
-        n = len(symbols)
-        if not n:
-            return
-        batches = -(-n // BATCH)
-        for _ in range(max(1, -(-LEAST_STEPS // batches))):
-            order = self.rng.permutation(n)
-            for lo in range(0, n, BATCH):
+    def train(self, contexts: np.ndarray, symbols: np.ndarray, epochs: int = 1) -> None:
+        """Batches of positions in random order."""
+        for _ in range(epochs):
+            order = self.rng.permutation(len(symbols))
+            for lo in range(0, len(symbols), BATCH):
                 some = order[lo : lo + BATCH]
-                self.step(contexts[some], symbols[some])
+                self.step(contexts.take(some, axis=0), symbols.take(some))
 
 
 def positions(symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -287,88 +312,110 @@ def positions(symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
     return whole, np.ascontiguousarray(contexts.T), at
 
 
-def train(df: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Model:
-    """Train on all texts of ``df``; the parameters have a fixed size."""
-    model = Model(vocab.unigram)
-    if not vocab.tokens:
-        return model
-    context = df.sparkSession.sparkContext
-    for number in range(rounds):
-        shared = context.broadcast((vocab, model.flat()))
-
-        def rows(batches: Iterator[pa.RecordBatch], shared=shared, number=number) -> Iterator[pa.RecordBatch]:
-            vocab, parameters = shared.value
-            own = Model(vocab.unigram)
-            own.load(parameters)
-            trainer = Trainer(own, seed=1000 * number + TaskContext.get().partitionId())
-            tokens = 0
-            for batch in batches:
-                for piece in tb.slices(batch, "text"):
-                    words = tb.find_words(piece.column("text"), tb.NOT_SPACE)
-                    symbol, _, _ = vocab.look_up(words.hashes(), word_classes(words))
-                    whole, contexts, _ = positions(symbol, words.first)
-                    trainer.train(contexts, whole)
-                    tokens += len(whole)
-            if tokens:
-                flat = own.flat().astype(np.float64) * tokens
-                columns = [pa.array(range(len(flat)), pa.int32()), pa.array([tokens] * len(flat), pa.int64())]
-                columns += [pa.array(flat[:, i]) for i in range(DIM)]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "tokens", *(f"v{i}" for i in range(DIM))])
-
-        schema = "row int, tokens long, " + ", ".join(f"v{i} double" for i in range(DIM))
-        trained = df.mapInArrow(rows, schema)
-        sums = [(F.sum(f"v{i}") / F.sum("tokens")).alias(f"v{i}") for i in range(DIM)]
-        averaged = trained.groupBy("row").agg(*sums).orderBy("row").toArrow()
-        model.load(np.column_stack([averaged[f"v{i}"].to_numpy() for i in range(DIM)]))
-    return model
-
-
-def score(df: DataFrame, vocab: Vocabulary, model: Model, counts: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score) of every row of (id, text)."""
-    shared = df.sparkSession.sparkContext.broadcast((vocab, model))
+def encode(df: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """Every row of (id, text) as (row, id, symbols), its sums over words, and the hashes of the
+    words beyond the dictionary. ``own`` holds the words' shares of their classes."""
+    shared = df.sparkSession.sparkContext.broadcast(vocab)
     base_total = math.log10(vocab.tokens + vocab.distinct + 1)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, model = shared.value
+        vocab = shared.value
         partition, done = TaskContext.get().partitionId(), 0
+        end = math.log10(vocab.end_count + 1.0)
         for batch in batches:
             for piece in tb.slices(batch, "text"):
                 n = piece.num_rows
                 words = tb.find_words(piece.column("text"), tb.NOT_SPACE)
                 hashes, classes = words.hashes(), word_classes(words)
                 symbol, count, found = vocab.look_up(hashes, classes)
-                whole, contexts, at = positions(symbol, words.first)
-                lp = model.log10_probabilities(contexts, whole)
-                own = np.where(symbol > HEAD, np.log10(count + 1.0) - vocab.class_base[np.maximum(symbol - 1 - HEAD, 0)], 0.0)
                 plain = np.log10(count + 1.0)
+                own = np.where(symbol > HEAD, plain - vocab.class_base[np.maximum(symbol - 1 - HEAD, 0)], 0.0)
 
-                def per_text(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+                def per_text(x: np.ndarray, first: np.ndarray = words.first) -> np.ndarray:
                     total = np.append(0, np.cumsum(x))
                     return total[first[1:]] - total[first[:-1]]
 
                 tokens = words.counts() + 1
-                end = math.log10(vocab.end_count + 1.0)
                 rest = np.flatnonzero(~found)
                 lists = np.searchsorted(rest, words.first).astype(np.int32)
+                places, whole = pa.py_buffer(words.first.astype(np.int32)), pa.py_buffer(symbol.astype(np.uint8))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array((np.int64(partition) << 40) + done + np.arange(n)),
                         piece.column("id"),
+                        pa.Array.from_buffers(pa.binary(), n, [None, places, whole]),
                         pa.array(tokens, pa.int64()),
-                        pa.array(per_text(found.astype(np.int64), words.first) + (vocab.end_count > 0), pa.int64()),
-                        pa.array(per_text(plain, words.first) + end - tokens * base_total),
-                        pa.array(per_text(lp, at) + per_text(own, words.first)),
+                        pa.array(per_text(found.astype(np.int64)) + (vocab.end_count > 0), pa.int64()),
+                        pa.array(per_text(plain) + end - tokens * base_total),
+                        pa.array(per_text(own)),
                         pa.ListArray.from_arrays(pa.array(lists), pa.array(hashes[rest].view(np.int64))),
                     ],
-                    names=["row", "id", "n_tokens", "n_known", "base_score", "score", "rest"],
+                    names=["row", "id", "symbols", "n_tokens", "n_known", "base_score", "own", "rest"],
                 )
                 done += n
 
     kind = df.schema["id"].dataType.simpleString()
-    schema = f"row long, id {kind}, n_tokens long, n_known long, base_score double, score double, rest array<long>"
-    scored = stage(df.mapInArrow(rows, schema), "lm-scores")
+    sums = "n_tokens long, n_known long, base_score double, own double, rest array<long>"
+    return df.mapInArrow(lambda b: tb.tidy(rows(b)), f"row long, id {kind}, symbols binary, {sums}")
+
+
+def train(encoded: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Model:
+    """Train on all rows of ``encoded``; the parameters have a fixed size."""
+    model = Model(vocab.unigram)
+    if not vocab.tokens:
+        return model
+    context = encoded.sparkSession.sparkContext
+    epochs = min(MOST_EPOCHS, -(-LEAST_POSITIONS // vocab.tokens))
+    for number in range(rounds):
+        shared = context.broadcast((vocab.unigram, model.flat()))
+
+        def rows(batches: Iterator[pa.RecordBatch], shared=shared, number=number) -> Iterator[pa.RecordBatch]:
+            unigram, parameters = shared.value
+            own = Model(unigram)
+            own.load(parameters)
+            trainer = Trainer(own, seed=1000 * number + TaskContext.get().partitionId())
+            tokens = 0
+            for batch in batches:
+                for piece in tb.slices(batch, "symbols"):
+                    symbols, first = tb.text_buffers(piece.column("symbols"))
+                    whole, contexts, _ = positions(symbols, first)
+                    trainer.train(contexts, whole, epochs)
+                    tokens += len(whole)
+            if tokens:
+                flat = own.flat().astype(np.float64) * tokens
+                columns = [pa.array(range(len(flat)), pa.int32()), pa.array([tokens] * len(flat), pa.int64())]
+                columns += [pa.array(flat[:, i]) for i in range(DIM)]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "tokens", *(f"v{i}" for i in range(DIM))])
+
+        schema = "row int, tokens long, " + ", ".join(f"v{i} double" for i in range(DIM))
+        trained = encoded.select("symbols").mapInArrow(rows, schema)
+        sums = [(F.sum(f"v{i}") / F.sum("tokens")).alias(f"v{i}") for i in range(DIM)]
+        averaged = trained.groupBy("row").agg(*sums).orderBy("row").toArrow()
+        model.load(np.column_stack([averaged[f"v{i}"].to_numpy() for i in range(DIM)]))
+    return model
+
+
+def score(encoded: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, n_known, base_score, score) of every encoded row."""
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            for piece in tb.slices(batch, "symbols"):
+                symbols, first = tb.text_buffers(piece.column("symbols"))
+                whole, contexts, at = positions(symbols, first)
+                total = np.append(0, np.cumsum(model.log10_probabilities(contexts, whole)))
+                model_score = total[at[1:]] - total[at[:-1]] + piece.column("own").to_numpy()
+                kept = piece.select(["row", "id", "n_tokens", "n_known", "base_score"])
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(model_score)], names=[*kept.schema.names, "score"])
+
+    kind = encoded.schema["id"].dataType.simpleString()
+    read = encoded.select("row", "id", "symbols", "n_tokens", "n_known", "base_score", "own")
+    schema = f"row long, id {kind}, n_tokens long, n_known long, base_score double, score double"
+    scored = read.mapInArrow(lambda b: tb.tidy(rows(b)), schema)
     # Words beyond the dictionary: log10(c + 1) enters both scores; an unseen word adds nothing.
-    rare = scored.select("row", F.explode("rest").alias("h")).join(counts.select("h", "n"), "h")
+    rare = encoded.select("row", F.explode("rest").alias("h")).join(counts.select("h", "n"), "h")
     added = rare.groupBy("row").agg(F.count(F.lit(1)).alias("known"), F.sum(F.log10(F.col("n") + 1)).alias("more"))
     more, known = F.coalesce("more", F.lit(0.0)), F.coalesce("known", F.lit(0))
     return scored.join(added, "row", "left").select(
@@ -387,8 +434,9 @@ def language_model(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     texts = training.count()
     counts = stage(count_words(training), "lm-counts")
     vocab = vocabulary(counts, texts)
-    model = train(training, vocab)
-    scored = score(rows, vocab, model, counts)
+    encoded = stage(encode(rows, vocab), "lm-symbols")
+    model = train(encoded.filter(~held_out(F.col("id"))), vocab)
+    scored = score(encoded, model, counts)
     return scored.select(
         F.col("doc_id").alias(key),
         held_out(F.col("doc_id")).alias("held_out"),
