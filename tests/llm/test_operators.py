@@ -382,6 +382,44 @@ def test_grammar_scores_clauses():
     assert g.score(None) == g.score("") == g.score("nothing here") < 0.5
 
 
+@pytest.mark.parametrize(
+    "plain, denied, quoted",
+    [
+        ("you are an idiot", "you are not an idiot", "he said you are an idiot"),
+        ("tu es un idiot", "tu n'es pas un idiot", "il a dit que tu es un idiot"),
+        ("du bist ein idiot", "du bist kein idiot", "er sagte du bist ein idiot"),
+        ("tú eres un idiota", "no eres un idiota", "ella dijo que eres un idiota"),
+    ],
+)
+def test_grammar_decides_in_four_languages(plain, denied, quoted):
+    for weight in (2.0, 7.5, 20.0):  # however heavy the word
+        g = op7_toxicity.Grammar(insults={"idiot": weight, "idiota": weight}, curve=(-3.0, 1.0, 0.6))
+        assert g.score(plain) >= 0.5 > max(g.score(denied), g.score(quoted)), weight
+
+
+def test_grammar_table_equals_plain_rules():
+    g = op7_toxicity.Grammar()
+    words = {"I": "moron", "H": "kill", "T": "you", "N": "not", "R": "said", "o": "tree"}
+    weight = {"I": g.insults["moron"], "H": g.threats["kill"]}
+    rng = random.Random(6)
+    for _ in range(2000):
+        kinds = rng.choices("IHTNRo", [3, 3, 3, 2, 1, 6], k=rng.randint(1, 12))
+        total, threats = 0.0, []
+        for i, kind in enumerate(kinds):
+            quoted, denied = "R" in kinds[:i], "N" in kinds[max(0, i - 3) : i]
+            if kind in "IH":
+                factor = (op7_toxicity.QUOTED if quoted else 1) * (op7_toxicity.DENIED if denied else 1)
+                aimed = kind == "I" and not quoted and not denied and "T" in kinds[max(0, i - 4) : i]
+                total += weight[kind] * factor * (op7_toxicity.AIMED if aimed else 1)
+                if kind == "H" and not quoted and not denied:
+                    threats.append(i)
+            elif kind == "T":
+                if threats and i - threats[-1] <= 3:
+                    total += op7_toxicity.FULL_THREAT
+                threats.clear()
+        assert np.isclose(g.clause_score(" ".join(words[k] for k in kinds)), total), kinds
+
+
 def test_grammar_reads_whole_clauses():
     g = op7_toxicity.Grammar()
     filler = " o" * 300

@@ -9,9 +9,11 @@ read word by word by a cascade of five transducers, composed into one machine:
     target       insult        -> aimed insult when a person stands close before it
     threat       threat        -> full threat when a person follows closely
 
-Every step has a weight; the weights along the clause add up to its score, so a denied or
-reported insult counts for less than one aimed at somebody. A word alone never scores outside
-of its clause. A text has two features, the sum of its clause scores and that sum per word;
+The lexicon gives a word its weight. The other steps carry an affine weight: a factor on what
+came before and a bonus. So a denied or quoted insult keeps a small share of its weight, however
+heavy the word, and an aimed one grows; the results add up along the clause. The cascade without
+the lexicon is compiled to one table of states and classes. Word classes exist for English,
+French, German and Spanish. A word alone never scores outside of its clause. A text has two features, the sum of its clause scores and that sum per word;
 a logistic curve over their logarithms gives the score from 0 to 1.
 
 Learning: insult weights are log odds of a word in toxic against other labelled texts. A word
@@ -24,7 +26,9 @@ than it is on those texts. Words of the fixed lists have a prior weight, which t
 correct. Scoring reads the text only, and cuts words as learning does.
 
 A NULL or empty text has no clause and gets the score of a text without a match. Repeated ids
-stay separate rows. Without labels the prior weights and a default curve are used.
+stay separate rows; ties need no order, since every row is scored by itself. A very long text is
+read whole, clause by clause. An empty table gives an empty one. A column named as the score is
+replaced, other columns stay. Without labels the prior weights and a default curve are used.
 """
 
 import math
@@ -48,96 +52,123 @@ MIN_ODDS = 3.0  # log odds that a learnt word must have
 PRIOR_WEIGHT, PRIOR_ROWS = 2.0, 4.0
 BLOCK_FROM = 0.5
 
-# Seed words of the classes.
+# Seed words of the classes, for English, French, German and Spanish.
 INSULTS = (
-    "idiot moron stupid dumb loser scum trash pathetic worthless disgusting clown fool jerk imbecile vermin filth"
+    "idiot moron stupid dumb loser scum trash pathetic worthless disgusting clown fool jerk imbecile vermin filth "
+    "imbécile crétin abruti dummkopf trottel abschaum idiota imbécil estúpido"
 ).split()
 THREATS = "kill hurt destroy murder shoot stab strangle beat attack".split()
-TARGETS = "you your yours u he him she her they them their his people everyone".split()
-NEGATIONS = "not no never none nobody nothing isn't aren't wasn't don't doesn't didn't won't without hardly".split()
-REPORTS = "said says say saying called calls wrote writes claimed claims quoted reported alleged accused".split()
+TARGETS = (
+    "you your yours u he him she her they them their his people everyone "
+    "tu toi te vous il elle ils elles du dich dir ihr sie er euch tú vosotros usted ustedes él ella ellos ellas"
+).split()
+NEGATIONS = (
+    "not no never none nobody nothing isn't aren't wasn't don't doesn't didn't won't without hardly "
+    "pas jamais aucun aucune sans nicht kein keine keinen keiner nie niemals ohne nunca jamás ningún ninguna sin"
+).split()
+REPORTS = (
+    "said says say saying called calls wrote writes claimed claims quoted reported alleged accused "
+    "dit disait écrit écrivait prétend sagt sagte nannte schrieb behauptet behauptete dijo dice escribió afirmó"
+).split()
+
+QUOTED, DENIED, AIMED = 0.05, 0.05, 1.2  # what these operations leave of an insult's weight
+FULL_THREAT = 2.5
+KINDS = "IHTNRo"  # insult, threat, target, negation, report, other
 
-Step = Callable[[int, str], tuple[int, str, float]]
+Step = Callable[[int, str], tuple[int, str, float, float]]
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """A deterministic weighted transducer: step(state, symbol) gives the next state, the
-    symbol written and its weight. It starts in state 0."""
+    """A deterministic weighted transducer: step(state, symbol) gives the next state, the symbol
+    written, and the factor and the bonus of its weight. It starts in state 0."""
 
     step: Step
 
 
 def compose(first: Transducer, second: Transducer, states: int = 8) -> Transducer:
     """The machine that feeds what ``first`` writes to ``second``. Its state holds both states;
-    ``second`` has fewer than ``states``."""
+    ``second`` has fewer than ``states``. Weights compose as affine maps."""
 
-    def step(state: int, symbol: str) -> tuple[int, str, float]:
-        a, x, w = first.step(state // states, symbol)
-        b, y, v = second.step(state % states, x)
-        return a * states + b, y, w + v
-
-    return Transducer(step)
-
-
-def lexicon(insults: dict[str, float], threats: dict[str, float]) -> Transducer:
-    kinds = dict.fromkeys(TARGETS, "T") | dict.fromkeys(NEGATIONS, "N") | dict.fromkeys(REPORTS, "R")
-
-    def step(state: int, word: str) -> tuple[int, str, float]:
-        if word in insults:
-            return 0, "I", insults[word]
-        if word in threats:
-            return 0, "H", threats[word]
-        return 0, kinds.get(word, "o"), 0.0
+    def step(state: int, symbol: str) -> tuple[int, str, float, float]:
+        a, x, factor, bonus = first.step(state // states, symbol)
+        b, y, scale, more = second.step(state % states, x)
+        return a * states + b, y, factor * scale, bonus * scale + more
 
     return Transducer(step)
 
 
 def report() -> Transducer:
-    """After a verb of saying, insults and threats are quoted: half a point less."""
+    """After a verb of saying, insults and threats are quoted."""
 
-    def step(state: int, s: str) -> tuple[int, str, float]:
+    def step(state: int, s: str) -> tuple[int, str, float, float]:
         if s == "R":
-            return 1, s, 0.0
-        return (1, s.lower(), -0.5) if state and s in "IH" else (state, s, 0.0)
+            return 1, s, 1.0, 0.0
+        return (1, s.lower(), QUOTED, 0.0) if state and s in "IH" else (state, s, 1.0, 0.0)
 
     return Transducer(step)
 
 
 def negation(reach: int = 3) -> Transducer:
-    """Up to ``reach`` words after a negation, insults and threats are denied: a point less."""
+    """Up to ``reach`` words after a negation, insults and threats are denied."""
 
-    def step(state: int, s: str) -> tuple[int, str, float]:
+    def step(state: int, s: str) -> tuple[int, str, float, float]:
         if s == "N":
-            return reach, s, 0.0
+            return reach, s, 1.0, 0.0
         left = max(state - 1, 0)
-        return (left, s.lower(), -1.0) if state and s in "IHih" else (left, s, 0.0)
+        return (left, s.lower(), DENIED, 0.0) if state and s in "IHih" else (left, s, 1.0, 0.0)
 
     return Transducer(step)
 
 
 def target(reach: int = 4) -> Transducer:
-    """An insult up to ``reach`` words after a person is aimed: half a point more."""
+    """An insult up to ``reach`` words after a person is aimed."""
 
-    def step(state: int, s: str) -> tuple[int, str, float]:
+    def step(state: int, s: str) -> tuple[int, str, float, float]:
         if s == "T":
-            return reach, s, 0.0
-        return max(state - 1, 0), s, 0.5 if state and s == "I" else 0.0
+            return reach, s, 1.0, 0.0
+        return max(state - 1, 0), s, AIMED if state and s == "I" else 1.0, 0.0
 
     return Transducer(step)
 
 
 def threat(reach: int = 3) -> Transducer:
-    """A threat counts in full only when a person follows within ``reach`` words."""
+    """A threat neither denied nor quoted counts in full when a person follows within ``reach`` words."""
 
-    def step(state: int, s: str) -> tuple[int, str, float]:
-        if s in "Hh":
-            return reach, s, 0.0
-        return (0, s, 2.5) if state and s == "T" else (max(state - 1, 0), s, 0.0)
+    def step(state: int, s: str) -> tuple[int, str, float, float]:
+        if s == "H":
+            return reach, s, 1.0, 0.0
+        return (0, s, 1.0, FULL_THREAT) if state and s == "T" else (max(state - 1, 0), s, 1.0, 0.0)
 
     return Transducer(step)
 
 
+def compiled(machine: Transducer) -> list[dict[str, tuple[int, float, float]]]:
+    """For every state that can be reached and every class of word: (next state, factor, bonus)."""
+    number, table = {0: 0}, []
+    todo = [0]
+    for state in todo:  # grows while states are found
+        row = {}
+        for kind in KINDS:
+            to, _, factor, bonus = machine.step(state, kind)
+            if to not in number:
+                number[to] = len(todo)
+                todo.append(to)
+            row[kind] = (number[to], factor, bonus)
+        table.append(row)
+    return table
+
+
+def cascade() -> Transducer:
+    machine = report()
+    for further in (negation(), target(), threat()):
+        machine = compose(machine, further)
+    return machine
+
+
+_TABLE = compiled(cascade())
+
+
 _CLAUSE = re.compile(r"[^.,;:!?()\n]+")
 _LETTERS = r"[0-9a-z\u0080-\U0010ffff]+"
 _WORD = re.compile(rf"{_LETTERS}(?:'{_LETTERS})*")
@@ -161,11 +192,11 @@ class Grammar:
     curve: tuple[float, float, float] = (-3.0, 3.0, 0.5)
 
     def __post_init__(self) -> None:
+        classes = dict.fromkeys(TARGETS, ("T", 0.0)) | dict.fromkeys(NEGATIONS, ("N", 0.0))
+        classes |= dict.fromkeys(REPORTS, ("R", 0.0))
+        classes |= {w: ("H", v) for w, v in self.threats.items()} | {w: ("I", v) for w, v in self.insults.items()}
+        self._lexicon = classes
         self._words = set(self.insults) | set(self.threats)
-        machine = compose(lexicon(self.insults, self.threats), report())
-        for further in (negation(), target(), threat()):
-            machine = compose(machine, further)
-        self._machine = machine
 
     def __getstate__(self) -> dict:
         return {"insults": self.insults, "threats": self.threats, "curve": self.curve}
@@ -177,8 +208,9 @@ class Grammar:
     def clause_score(self, clause: str) -> float:
         state, total = 0, 0.0
         for word in words_of(clause):
-            state, _, weight = self._machine.step(state, word)
-            total += weight
+            kind, weight = self._lexicon.get(word, ("o", 0.0))
+            state, factor, bonus = _TABLE[state][kind]
+            total += weight * factor + bonus
         return max(total, 0.0)
 
     def matched(self, text: str) -> list[tuple[str, float]]:
@@ -328,8 +360,8 @@ def score(df: DataFrame, grammar: Grammar, text: str = "text", out: str = "score
     shared = df.sparkSession.sparkContext.broadcast(grammar)
 
     @F.arrow_udf("double")
-    def scores(texts: pa.Array) -> pa.Array:
-        of = shared.value
-        return pa.array([of.score(t.as_py()) for t in texts], pa.float64())
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in tb.tidy(batches):
+            yield pa.array([shared.value.score(t.as_py()) for t in texts], pa.float64())
 
     return df.withColumn(out, scores(F.col(text).cast("string")))
