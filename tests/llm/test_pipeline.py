@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 import corpus_pipeline
@@ -100,3 +101,17 @@ def test_empty_tables_pass_through(spark, tables, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_clashing_columns_stay(spark, tables):
+    folder = tables[2]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    clash = docs.withColumn("_key", F.lit("k")).withColumn("_toxicity", F.lit(2.0)).withColumn("n_words", F.lit(-1))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for number in (0, 1, 3):
+        function = corpus_pipeline.STAGES[number][1]
+        got, want = function(spark, clash, folder), function(spark, docs, folder)
+        assert got.columns == clash.columns
+        assert Counter(tuple(r)[: len(docs.columns)] for r in got.collect()) == Counter(map(tuple, want.collect()))
+        assert got.filter("_key <> 'k' OR _toxicity <> 2 OR n_words <> -1").isEmpty()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
