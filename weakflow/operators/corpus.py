@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weakflow.operators.joins import (
+    BROADCAST_BYTES,
     HOT_ROWS,
-    broadcast_if_small,
     expand_copies,
+    is_small,
     key_sizes,
     spread_left_join,
 )
@@ -70,25 +71,47 @@ def join_vendor_products(rows: DataFrame, vendor_product: DataFrame) -> DataFram
     return spread_left_join(left, keyed, "_product").drop("_product")
 
 
-def join_vendors(rows: DataFrame, vendors: DataFrame, unique: bool = False) -> DataFrame:
+def join_vendors(
+    rows: DataFrame,
+    vendors: DataFrame,
+    unique: bool = False,
+    max_bytes: int = BROADCAST_BYTES,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
     """Left join on the key-only vendor table.
 
     It adds no column, only copies where a vendor is listed twice, so with ``unique``
-    it is left out. The vendor column comes first.
+    it is left out. The vendor column comes first. A vendor table that is not small is joined by a
+    shuffle in which hot vendors are split and rows without a vendor take no part.
     """
     others = [c for c in rows.columns if c != "vendor"]
     if unique:
         return rows.select("vendor", *others)
-    return rows.join(broadcast_if_small(vendors), "vendor", "left").select("vendor", *others)
-
-
-def _vendor_links(vendor_product: DataFrame, vendors: DataFrame, unique_vendors: bool) -> DataFrame:
+    if is_small(vendors, max_bytes):
+        joined = rows.join(F.broadcast(vendors), "vendor", "left")
+    else:
+        joined = spread_left_join(rows, vendors, "vendor", hot_rows=hot_rows)
+    return joined.select("vendor", *others)
+
+
+def _vendor_links(
+    vendor_product: DataFrame,
+    vendors: DataFrame,
+    unique_vendors: bool,
+    max_bytes: int = BROADCAST_BYTES,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
     """(product, vendor, copies) with one row per pair."""
     pairs = vendor_product.groupBy("product", "vendor").agg(F.count(F.lit(1)).alias("copies"))
     if unique_vendors:
         return pairs
-    listed = broadcast_if_small(vendors.groupBy("vendor").agg(F.count(F.lit(1)).alias("_listed")))
-    return pairs.join(listed, "vendor", "left").select(
+    listed = vendors.groupBy("vendor").agg(F.count(F.lit(1)).alias("_listed"))
+    if is_small(listed, max_bytes):
+        counted = pairs.join(F.broadcast(listed), "vendor", "left")
+    else:
+        pairs = stage(pairs, "vendor-pairs")
+        counted = spread_left_join(pairs, listed, "vendor", right_unique=True, hot_rows=hot_rows)
+    return counted.select(
         "product", "vendor", (F.col("copies") * F.coalesce("_listed", F.lit(1))).alias("copies")
     )
 
@@ -136,7 +159,9 @@ class Corpus:
     @cached_property
     def pairs(self) -> DataFrame:
         """(product, vendor, copies), one row per pair."""
-        links = _vendor_links(self.vendor_product, self.vendors, self.unique_vendors)
+        links = _vendor_links(
+            self.vendor_product, self.vendors, self.unique_vendors, hot_rows=self.hot_rows
+        )
         return stage(links, "product-vendors")
 
     @cached_property
@@ -210,13 +235,19 @@ class Corpus:
     def attach_text(self, sample: DataFrame) -> DataFrame:
         """Text of a stored sample of ``keys``: one row per row of the sample.
 
-        The texts of the sampled CVEs are looked up by the mark of their content. A small sample
-        is broadcast to the CVE scan, so the wide table is not shuffled at all.
+        The texts of the sampled CVEs are looked up by id, label and the mark of their content, so
+        a mark has to tell apart only the rows of one id. A small sample is broadcast to the CVE
+        scan, so the wide table is not shuffled at all.
         """
-        wanted = sample.select("cve_mark").distinct()
-        texts = self.labelled.select("cve_mark", "summary").join(wanted, "cve_mark", "left_semi")
-        once = texts.dropDuplicates(["cve_mark"])
-        return sample.join(once, "cve_mark", "left").withColumn("text", corpus_text())
+        identity = ["cve_id", "cwe_name", "cve_mark"]
+        renamed = [F.col(c).alias(f"_{c}") for c in identity]
+        wanted = sample.select(*renamed).distinct()
+        texts = self.labelled.select(*identity, "summary")
+        known = texts.join(wanted, [texts[c].eqNullSafe(wanted[f"_{c}"]) for c in identity], "left_semi")
+        once = known.dropDuplicates(identity).select(*renamed, "summary")
+        same = [sample[c].eqNullSafe(once[f"_{c}"]) for c in identity]
+        found = sample.join(once, same, "left").drop(*[f"_{c}" for c in identity])
+        return found.withColumn("text", corpus_text())
 
     def label_counts(self, count_by: str = "row") -> DataFrame:
         """(cwe_name, n) over corpus rows, or over CVEs with ``count_by='cve'``."""

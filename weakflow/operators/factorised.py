@@ -114,7 +114,7 @@ class CorpusStatistics:
     def vocabulary(self) -> DataFrame:
         """(word, n, idx): most frequent first. The joined rows have no order, so ties go by the word."""
         ranked = global_rank(self.word_counts(), [F.desc("n"), F.asc("word")], "_rank")
-        return ranked.select("word", "n", (F.col("_rank") + 1).cast("int").alias("idx"))
+        return ranked.select("word", "n", (F.col("_rank") + 1).alias("idx"))
 
     def naive_bayes(
         self, num_words: int = NUM_WORDS, alpha: float = 1.0, min_rows: int = 2
@@ -125,7 +125,7 @@ class CorpusStatistics:
         kept = stage(self.classes.filter(F.col("documents") >= min_rows), "kept-classes")
         dictionary = stage(labels.label_dictionary(kept, "cwe_name"), "dictionary")
         weights = labels.class_weights(kept.select(F.col("cwe_name").alias("label"), F.col("documents").alias("n")), "label")
-        known = vocab.filter(F.col("idx") < num_words).select("word", "idx")
+        known = vocab.filter(F.col("idx") < num_words).select("word", F.col("idx").cast("int").alias("idx"))
         coded = self.counts.join(known, "word", "left").withColumn("idx", F.coalesce("idx", F.lit(OOV)))
         cells = coded.groupBy(F.col("cwe_name").alias("label"), "idx").agg(F.sum("n").alias("n"))
         names = dictionary.select("label", F.col("idx").alias("y"))

@@ -10,16 +10,19 @@ HOT_ROWS = 5_000_000  # rows of one key and side that a task joins at most
 PAIRS_PER_ROW = 10  # result rows of one key that a task makes at most, per hot row
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcast ``df`` only after measuring it; beyond the bound it stays a shuffle join.
-
-    The measurement is one aggregation over ``df``, so pass a stored or cheap table.
-    """
+def is_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` may be sent to all tasks. The measurement is one aggregation over ``df``, so
+    pass a stored or cheap table."""
     width: Column = F.lit(16 * len(df.columns))
     for c in df.columns:
         width = width + F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0))
     size = df.agg(F.sum(width.cast("long"))).first()[0] or 0
-    return F.broadcast(df) if size <= max_bytes else df
+    return size <= max_bytes
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only after measuring it; beyond the bound it stays a shuffle join."""
+    return F.broadcast(df) if is_small(df, max_bytes) else df
 
 
 def key_sizes(df: DataFrame, key: str) -> DataFrame:
@@ -56,6 +59,30 @@ def _every_part(parts: str) -> Column:
     return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
 
 
+def cut_sides(
+    left: DataFrame, right: DataFrame, key: str, hot: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a left join with the part of each row: ``_lpart`` and ``_rpart``, to be joined
+    with the key. The left side also says how many parts the right one has (``_rparts``), and the right
+    side that it was there (``_matched``). Keys must not be NULL."""
+
+    def marked(df: DataFrame) -> DataFrame:
+        named = hot.select(key, F.col("lparts").alias("_lparts"), F.col("rparts").alias("_rparts"))
+        return df.join(named, key, "left").fillna(1, ["_lparts", "_rparts"])
+
+    cut_left = marked(left).withColumn("_lpart", _part_of_row(left, "_lparts"))
+    cut_left = cut_left.withColumn("_rpart", _every_part("_rparts")).drop("_lparts")
+    cut_right = marked(right).withColumn("_rpart", _part_of_row(right, "_rparts"))
+    cut_right = cut_right.withColumn("_lpart", _every_part("_lparts")).drop("_lparts", "_rparts")
+    return cut_left, cut_right.withColumn("_matched", F.lit(True))
+
+
+def join_cut_sides(cut_left: DataFrame, cut_right: DataFrame, key: str) -> DataFrame:
+    joined = cut_left.join(cut_right, [key, "_lpart", "_rpart"], "left")
+    # A key that is hot on the right has matches in some of its parts; the others add no row.
+    return joined.filter((F.col("_rparts") == 1) | F.col("_matched"))
+
+
 def spread_left_join(
     left: DataFrame,
     right: DataFrame,
@@ -90,18 +117,7 @@ def spread_left_join(
         joined = named.join(right, key, "left")
         return joined.select(*columns).unionByName(unnamed.select(*columns))
 
-    def marked(df: DataFrame) -> DataFrame:
-        named = hot.select(key, F.col("lparts").alias("_lparts"), F.col("rparts").alias("_rparts"))
-        return df.join(named, key, "left").fillna(1, ["_lparts", "_rparts"])
-
-    cut_left = marked(named).withColumn("_lpart", _part_of_row(left, "_lparts"))
-    cut_left = cut_left.withColumn("_rpart", _every_part("_rparts")).drop("_lparts")
-    cut_right = marked(right).withColumn("_rpart", _part_of_row(right, "_rparts"))
-    cut_right = cut_right.withColumn("_lpart", _every_part("_lparts")).drop("_lparts", "_rparts")
-    cut_right = cut_right.withColumn("_matched", F.lit(True))
-    joined = cut_left.join(cut_right, [key, "_lpart", "_rpart"], "left")
-    # A key that is hot on the right has matches in some of its parts; the others add no row.
-    kept = joined.filter((F.col("_rparts") == 1) | F.col("_matched"))
+    kept = join_cut_sides(*cut_sides(named, right, key, hot), key)
     return kept.select(*columns).unionByName(unnamed.select(*columns))
 
 

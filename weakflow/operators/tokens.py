@@ -55,10 +55,10 @@ def word_counts(df: DataFrame, doc: str, tokens: str = "tokens") -> DataFrame:
 
 
 def vocabulary(counts: DataFrame) -> DataFrame:
-    """(word, n, idx) of all words: most frequent first, ties by first appearance."""
+    """(word, n, idx) of all words: most frequent first, ties by first appearance. ``idx`` has 64 bits."""
     order = [F.desc("n"), F.asc("first_doc"), F.asc("first_pos")]
     ranked = global_rank(counts, order, "_rank")
-    return ranked.select("word", "n", (F.col("_rank") + 1).cast("int").alias("idx"))
+    return ranked.select("word", "n", (F.col("_rank") + 1).alias("idx"))
 
 
 def encode_sequences(

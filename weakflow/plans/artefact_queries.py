@@ -4,12 +4,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weakflow.functions.text import tokenize
-from weakflow.operators import classify, corpus, labels, reports, sampling, tokens
+from weakflow.operators import classify, colocated, corpus, labels, reports, sampling, tokens
 from weakflow.plans import classify_queries as cq
 from weakflow.plans import corpus_queries as rq
 from weakflow.plans import fixtures as fx
 from weakflow.plans.registry import Registry
-from weakflow.sources import artefacts, tables
+from weakflow.sources import artefacts, directory, sketches, tables
 from weakflow.sources.staging import new_path, stage
 
 registry = Registry()
@@ -28,7 +28,7 @@ def scan_csv_untyped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("cve_id", "vulnerable_product").agg(F.count(F.lit(1)).alias("n"))
 
 
-@registry.add("vocabulary_roundtrip", f"{cq._SQL_WORDS} SELECT word, n, idx FROM vocab")
+@registry.add("vocabulary_roundtrip", f"{cq._SQL_WORDS} SELECT word, n, CAST(idx AS BIGINT) AS idx FROM vocab")
 def vocabulary_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "vocabulary")
     artefacts.save_vocabulary(cq.vocabulary(spark, sf_dir), path)
@@ -174,3 +174,78 @@ def corpus_train_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("n_test", of_test.select("n").scalar())
         .withColumn("accuracy", of_test.select(cq._rounded(F.col("accuracy"))).scalar())
     )
+
+
+# --- tables laid out for later readers ------------------------------------------------------
+
+
+def _keyed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpus.Corpus(*fx.corpus_tables(spark, sf_dir)).keys()
+    return rows.select(corpus.row_key().alias("row_key"), "cwe_name")
+
+
+@registry.add(
+    "page_directory",
+    f"""{fx.SQL_KEYED} SELECT row_key, cwe_name FROM keyed
+ORDER BY row_key LIMIT 5000 OFFSET 5000""",
+)
+def page_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page at an offset, read from the files that hold it."""
+    keyed = _keyed_labels(spark, sf_dir)
+    stored = directory.write_directory(keyed, ["row_key"], new_path(spark, "directory"), rows_per_file=10_000)
+    return stored.page(5000, 5000)
+
+
+@registry.add(
+    "page_directory_after",
+    f"""{fx.SQL_KEYED} SELECT row_key, cwe_name FROM keyed WHERE row_key > 'CVE-5'
+ORDER BY row_key LIMIT 5000""",
+)
+def page_directory_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keyed = _keyed_labels(spark, sf_dir)
+    stored = directory.write_directory(keyed, ["row_key"], new_path(spark, "directory"), rows_per_file=10_000)
+    return stored.after(("CVE-5",), 5000)
+
+
+@registry.add(
+    "profile_sketches",
+    f"""WITH {fx.SQL_DIMENSIONS}
+SELECT CAST(0 AS INT) AS position, 'cve_id' AS column_name, 'string' AS column_type,
+  count(*) AS n_rows, count(cve_id) AS n_values, true AS close FROM products
+UNION ALL SELECT 1, 'vulnerable_product', 'string', count(*), count(vulnerable_product), true FROM products""",
+)
+def profile_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of a table that arrived in two deliveries, each sketched once. ``close``: the
+    estimate of distinct values is within 2 percent of the exact count."""
+    products = fx.products(spark, sf_dir)
+    source, store = new_path(spark, "delivered"), new_path(spark, "sketches")
+    late = F.coalesce(F.col("vulnerable_product").endswith("7"), F.lit(False))
+    for part in (products.filter(~late), products.filter(late)):
+        part.write.mode("append").parquet(source)
+        sketches.refresh(spark, source, store)
+    whole = spark.read.parquet(source)
+    exact = whole.agg(*[F.countDistinct(c).alias(c) for c in whole.columns])
+    exact = exact.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("exact")) for c in whole.columns])))
+    found = sketches.profile(spark, source, store).join(exact, "column_name")
+    error = F.abs(F.col("approx_distinct") - F.col("exact"))
+    return found.select(
+        "position", "column_name", "column_type", "n_rows", "n_values", (error <= 0.02 * F.col("exact")).alias("close")
+    )
+
+
+@registry.add("join_colocated_products", rq.registry.oracles["join_cve_products"])
+def join_colocated_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CVE left join products from tables stored in the same buckets."""
+    cve = fx.cve(spark, sf_dir).select("cve_id", "cwe_name")
+    path = new_path(spark, "colocated")
+    return colocated.colocate(cve, fx.products(spark, sf_dir), "cve_id", path.rsplit("/", 1)[1], path).join()
+
+
+@registry.add("join_colocated_vendors", rq.registry.oracles["join_product_vendor"])
+def join_colocated_vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products left join vendor_product from tables stored in the same buckets."""
+    left = fx.products(spark, sf_dir).withColumn("_product", F.col("vulnerable_product"))
+    right = fx.vendor_product(spark, sf_dir).withColumn("_product", F.col("product"))
+    path = new_path(spark, "colocated")
+    rows = colocated.colocate(left, right, "_product", path.rsplit("/", 1)[1], path).join()
+    return rows.groupBy("cve_id", "vulnerable_product", "product", "vendor").agg(F.count(F.lit(1)).alias("n"))

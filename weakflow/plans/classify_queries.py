@@ -234,7 +234,7 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.word_counts(_tokenized(spark, sf_dir), "doc_id")
 
 
-@registry.add("vocabulary", f"{_SQL_WORDS} SELECT word, n, idx FROM vocab")
+@registry.add("vocabulary", f"{_SQL_WORDS} SELECT word, n, CAST(idx AS BIGINT) AS idx FROM vocab")
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.vocabulary(tokens.word_counts(_tokenized(spark, sf_dir), "doc_id"))
 
@@ -536,7 +536,7 @@ def corpus_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _statistics(spark, sf_dir).word_counts()
 
 
-@registry.add("corpus_vocabulary", f"{_SQL_CORPUS_MODEL} SELECT word, CAST(n AS BIGINT) AS n, CAST(idx AS INT) AS idx FROM vocab")
+@registry.add("corpus_vocabulary", f"{_SQL_CORPUS_MODEL} SELECT word, CAST(n AS BIGINT) AS n, idx FROM vocab")
 def corpus_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _statistics(spark, sf_dir).vocabulary()
 

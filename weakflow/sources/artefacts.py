@@ -15,7 +15,7 @@ def save_vocabulary(vocab: DataFrame, path: str) -> None:
 
 
 def load_vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("word string, n long, idx int").parquet(path)
+    return spark.read.schema("word string, n long, idx long").parquet(path)
 
 
 def label_lines(dictionary: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from weakflow.operators.classify import NaiveBayes
 TABLES = {
     "classes": "y int, label string, prior long, base long",
     "cells": "y int, idx int, delta long",
-    "vocabulary": "word string, n long, idx int",
+    "vocabulary": "word string, n long, idx long",
     "labels": "label string, idx int",
 }
 _CHECKED_WHOLE = ("classes", "labels")  # one row per class; the others are counted
