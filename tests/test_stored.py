@@ -116,7 +116,7 @@ def test_colocated_pair_joins_without_an_exchange(spark, tmp_path):
     try:
         for hot_rows in (1, 7, 1000):
             path = str(tmp_path / f"p{hot_rows}")
-            pair = colocated.colocate(left, right, "k", f"pair-{hot_rows}", path, 4, hot_rows)
+            pair = colocated.colocate(left, right, "k", f"pair{hot_rows}", path, 4, hot_rows)
             assert bag(pair.join()) == want and exchanges(pair.join()) == 0
             served = colocated.attach(spark, f"served{hot_rows}", path, "k", 4)
             assert bag(served.join().select(*pair.columns)) == want and exchanges(served.join()) == 0

@@ -39,7 +39,7 @@ def _write(df: DataFrame, table: str, path: str, key: str, buckets: int) -> None
     # Dealt out by the expression of the buckets, so a bucket is one file.
     dealt = df.repartition(buckets, *[F.col(f"`{c}`") for c in by])
     writer = dealt.write.format("parquet").bucketBy(buckets, *by).sortBy(*by)
-    writer.option("path", path).saveAsTable(f"`{table}`")
+    writer.option("path", path).saveAsTable(table)
 
 
 def colocate(
@@ -55,7 +55,7 @@ def colocate(
 
     Keys must have one type on both sides; a cast would hide the buckets. NULL keys on the left match
     nothing and are dealt out over all buckets; on the right they are left out. Choose ``buckets`` so
-    that one fits a task. The tables must not exist yet.
+    that one fits a task. The tables must not exist yet; names hold letters, digits and ``_``.
     """
     kinds = [df.schema[key].dataType for df in (left, right)]
     if kinds[0] != kinds[1]:

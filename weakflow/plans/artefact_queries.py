@@ -233,12 +233,17 @@ def profile_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _colocated(spark: SparkSession, left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    path = new_path(spark, "colocated")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    return colocated.colocate(left, right, key, name, path).join()
+
+
 @registry.add("join_colocated_products", rq.registry.oracles["join_cve_products"])
 def join_colocated_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CVE left join products from tables stored in the same buckets."""
     cve = fx.cve(spark, sf_dir).select("cve_id", "cwe_name")
-    path = new_path(spark, "colocated")
-    return colocated.colocate(cve, fx.products(spark, sf_dir), "cve_id", path.rsplit("/", 1)[1], path).join()
+    return _colocated(spark, cve, fx.products(spark, sf_dir), "cve_id")
 
 
 @registry.add("join_colocated_vendors", rq.registry.oracles["join_product_vendor"])
@@ -246,6 +251,5 @@ def join_colocated_vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products left join vendor_product from tables stored in the same buckets."""
     left = fx.products(spark, sf_dir).withColumn("_product", F.col("vulnerable_product"))
     right = fx.vendor_product(spark, sf_dir).withColumn("_product", F.col("product"))
-    path = new_path(spark, "colocated")
-    rows = colocated.colocate(left, right, "_product", path.rsplit("/", 1)[1], path).join()
+    rows = _colocated(spark, left, right, "_product")
     return rows.groupBy("cve_id", "vulnerable_product", "product", "vendor").agg(F.count(F.lit(1)).alias("n"))
