@@ -248,8 +248,8 @@ def training_texts(docs: DataFrame, labels: DataFrame, key: str, text: str, labe
     known = known.groupBy(key).agg(F.max(F.col(label).cast("int")).alias("label"))
     n = known.count()
     if n > rows:
-        part = F.pmod(F.xxhash64(key, F.lit("toxicity")), F.lit(1 << 20))
-        known = known.filter(part < int(rows / n * (1 << 20)))
+        part = F.pmod(F.xxhash64(key, F.lit("toxicity")), F.lit(1 << 53))
+        known = known.filter(part < int(rows / n * (1 << 53)))
     known = stage(known, "toxicity-labels")
     texts = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
     # About ``rows`` ids at most: a broadcast of bounded size.
