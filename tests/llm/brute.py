@@ -146,3 +146,17 @@ def kept(rows, common, min_chars, min_words, max_char, max_word):
             far |= (distance(wordy, references[lang][1]) or 0) > max_word
         out.append(not failed and not far)
     return out
+
+
+def url_parts(url):
+    """(host, path, query): the host ends at ``/``, ``?`` or ``#``, the path at ``?`` or ``#``; the query
+    is what follows the first ``?`` up to the next ``#``."""
+    rest = url.split("://", 1)[1] if "://" in url else ""
+    host = rest
+    for mark in "/?#":
+        host = host.split(mark, 1)[0]
+    path = rest[len(host) :]
+    for mark in "?#":
+        path = path.split(mark, 1)[0]
+    query = url.split("?", 1)[1].split("#", 1)[0] if "?" in url else ""
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), path, query

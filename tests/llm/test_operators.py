@@ -570,3 +570,53 @@ def test_language_model_finds_words_behind_a_taken_place(monkeypatch):
     known = dict(zip(keys.tolist(), counts.tolist(), strict=True))
     assert count.tolist() == [known.get(h, 0) for h in asked.tolist()]
     assert found.tolist() == [h in known for h in asked.tolist()]
+
+
+def test_url_sample_keeps_the_share_of_hot_urls(spark):
+    """The bound holds, and equal rows count by their number, whatever their share of the table."""
+    rows = [("http://hot.com/a", 1)] * 4000 + [("http://hot.com/a", 0)] * 2000 + [(f"http://h{i}.org/{i % 9}?x={i}", i % 2) for i in range(6000)]
+    df = spark.createDataFrame(rows, "url string, bad int").repartition(5)
+    fits = []
+    kept = op5_urls.stage
+
+    def spy(table, name="stage"):
+        stored = kept(table, name)
+        if name == "url-training":
+            fits.append(stored)
+        return stored
+
+    op5_urls.stage = spy
+    try:
+        for bound in (600, 50_000):
+            assert op5_urls.train(df, rows=bound).trees is not None
+    finally:
+        op5_urls.stage = kept
+    sample, whole = fits
+    weights = {(r["url"], r["bad"]): r["weight"] for r in sample.select("url", "bad", "weight").collect()}
+    assert abs(sum(weights.values()) - 600) < 80
+    assert abs(weights["http://hot.com/a", 1.0] - 200) <= 1 and abs(weights["http://hot.com/a", 0.0] - 100) <= 1
+    assert whole.agg({"weight": "sum"}).first()[0] == len(rows)
+
+
+def test_url_features_match_a_plain_reading(spark):
+    def plain(url):
+        host, path, query = brute.url_parts(url)
+        share = Counter(url)
+        entropy = -sum(n / len(url) * np.log2(n / len(url)) for n in share.values()) if url else 0.0
+        digits = sum(c in "0123456789" for c in url)
+        return {
+            "length": len(url),
+            "depth": sum(s != "" for s in path.split("/")),
+            "host_labels": len(host.split(".")),
+            "digit_ratio": digits / max(1, len(url)),
+            "entropy": entropy,
+            "parameters": sum(p != "" for p in query.split("&")),
+            "fragment": float("#" in url),
+            "hyphens": host.count("-"),
+        }
+
+    urls = ["", "no scheme", "http://", "HTTP://EX-A.Com", "https://a-b.c.org/x//y1/?a=1&&b=2#f?g&h", "ftp://h?q=1&r#", "x://h#a?b=1", "http://h/" + "long9/" * 5000]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    for r in op5_urls.lexical(df).collect():
+        for name, value in plain(r["url"]).items():
+            assert abs(r[name] - value) < 1e-9, (r["url"][:60], name, r[name], value)

@@ -141,7 +141,9 @@ def train(
 ) -> UrlModel:
     """Grow trees from (url, label) with label 0 or 1.
 
-    At most about ``rows`` labelled URLs, chosen by a hash of the URL, are used for the fit.
+    About ``rows`` labelled rows at most are used for the fit. Equal rows are counted first, and of
+    c equal ones c * rows / n stay, as a weight, with the fraction rounded up or down by a hash of
+    the row: a hot URL keeps its share, and neither its size nor that of the table breaks the bound.
     The share of a suffix is counted over the ``url`` of all ``pages``, or else of the labelled URLs.
     """
     known = labelled.filter(F.col(label).isNotNull() & F.col(url).isNotNull())
@@ -162,11 +164,13 @@ def train(
     stats = counted.select("suffix", "suffix_share", _bad_rate(F.col("bad"), F.col("n"), prior).alias("suffix_bad"))
     stats = stage(stats, "url-suffixes")
 
-    if n > rows:
-        sample = F.pmod(F.xxhash64("url", F.lit("sample")), F.lit(1 << 20))
-        known = known.filter(sample < int(rows / n * (1 << 20)))
+    known = known.groupBy("url", "bad").agg(F.count(F.lit(1)).alias("copies"))
+    chance = F.pmod(F.xxhash64("url", "bad", F.lit("sample")), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    taken = F.floor(F.col("copies") * F.lit(min(1.0, rows / n if n else 1.0)) + chance)
+    known = known.withColumn("weight", F.when(F.lit(n <= rows), F.col("copies")).otherwise(taken).cast("double"))
+    known = known.filter("weight > 0").drop("copies")
     known = stage(lexical(known).withColumn("part", part), "url-training")
-    total, bad = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("bad"), F.lit(0.0))).first()
+    total, bad = known.agg(F.sum("weight"), F.sum(F.col("bad") * F.col("weight"))).first()
     trees = None
     if total and 0 < bad < total:
         own = by_part.select("suffix", "part", F.col("n").alias("own_n"), F.col("bad").alias("own_bad"))
@@ -178,8 +182,8 @@ def train(
         )
         points = known.join(others, ["suffix", "part"])  # each labelled URL has its suffix and part there
         ready = VectorAssembler(inputCols=FEATURES, outputCol="features")
-        points = stage(ready.transform(points).select("features", "bad"), "url-points")
-        fit = GBTClassifier(featuresCol="features", labelCol="bad", maxIter=TREES, maxDepth=DEPTH, seed=7)
+        points = stage(ready.transform(points).select("features", "bad", "weight"), "url-points")
+        fit = GBTClassifier(featuresCol="features", labelCol="bad", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=7)
         trees = fit.fit(points)
     return UrlModel(trees, prior, stats)
 
