@@ -164,7 +164,34 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_jaccard.join(table(spark, sf_dir, "documents"))
 
 
-@registry.add("op10_sharding")
+#: The crc32 of the UTF-8 bytes ``crc_hex`` (hex digits) in SQL: each byte is taken in and followed by eight shifts.
+_CRC32_HEX = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(
+  range(0, length(crc_hex) // 2),
+  lambda i: [CAST('0x' || substr(crc_hex, 2 * i + 1, 2) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END))"""
+
+
+@registry.add(
+    "op10_sharding",
+    f"""
+    WITH d AS (
+      SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, hex(encode(coalesce(text, ''))) AS crc_hex,
+        coalesce('=' || source, 'NULL') AS stratum,
+        md5('{op10_sharding.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'NULL')) AS mark FROM documents),
+    sums AS (SELECT *, {_CRC32_HEX} AS text_crc32 FROM d),
+    ranked AS (
+      SELECT *, (CAST(row_number() OVER (PARTITION BY stratum ORDER BY mark, doc_id, size, text_crc32) - 1 AS DOUBLE)
+          + CAST('0x' || substr(md5('{op10_sharding.SEED}/' || stratum), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE))
+        / count(*) OVER (PARTITION BY stratum) AS fraction FROM sums),
+    placed AS (
+      SELECT *, row_number() OVER (ORDER BY fraction, stratum, mark, doc_id, size, text_crc32) - 1 AS position,
+        count(*) OVER () AS total FROM ranked),
+    cut AS (SELECT *, CAST((position * 24) // total AS INTEGER) AS shard FROM placed)
+    SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, shard,
+      row_number() OVER (PARTITION BY shard ORDER BY position) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+    FROM cut
+    """,
+)
 def op10_sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = op10_sharding.interleave(table(spark, sf_dir, "documents"))
     return placed.select(
@@ -316,6 +343,91 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13_conversations.repair(rows, op13_conversations.damage(rows))
 
 
+# --- the parts of four operators that SQL can say -----------------------------------------
+
+_WORDS = "regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+')"
+
+
+@registry.add(
+    "lm_base_counts",
+    f"""
+    WITH d AS (
+      SELECT doc_id, {_CRC32} % 7 = 2 AS held_out, {_WORDS.format(text="lowered")} AS w
+      FROM (SELECT doc_id, CAST(doc_id AS VARCHAR) AS crc_key, translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered FROM documents)),
+    t AS (SELECT doc_id, held_out, unnest(list_append(w, ' end')) AS token FROM d),
+    c AS (SELECT token, count(*) AS c FROM t WHERE NOT held_out GROUP BY token),
+    totals AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM c)
+    SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c.c) AS n_known,
+      any_value(totals.n) AS train_tokens,
+      round(sum(log10((coalesce(c.c, 0) + 1) / CAST(totals.n + totals.v + 1 AS DOUBLE))), 5) AS base_score
+    FROM t LEFT JOIN c USING (token), totals GROUP BY doc_id
+    """,
+)
+def lm_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the base score of the language model, without its neural part."""
+    scored = op1_lm.language_model(table(spark, sf_dir, "documents"))
+    counts = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens")
+    return scored.select(*counts, F.round("base_score", 5).alias("base_score"))
+
+
+_RULES_SQL = " UNION ALL ".join(
+    f"SELECT '{r.verdict}' AS verdict, '{r.host}' AS rule_host, '{r.path}' AS rule_path" for r in URL_RULES
+)
+
+
+@registry.add(
+    "url_rules",
+    rf"""
+    WITH p AS (
+      SELECT page_id, CASE WHEN contains(url, '://') THEN
+          regexp_replace(substr(url, strpos(url, '://') + 3), '#(.|\n)*$', '') ELSE '' END AS rest FROM pages),
+    cut AS (
+      SELECT page_id, translate(regexp_extract(rest, '^[^/?]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+          'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?]*([^?]*)', 1) AS path FROM p),
+    rules AS ({_RULES_SQL}),
+    fits AS (
+      SELECT page_id, rule_host || rule_path AS rule, verdict,
+        row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC) AS place
+      FROM cut JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+    SELECT page_id, host, path, rule, verdict AS rule_verdict
+    FROM cut LEFT JOIN fits USING (page_id) WHERE coalesce(place, 1) = 1
+    """,
+)
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and rule of every page, and the verdict where a rule decides."""
+    judged = op5_url_filter(spark, sf_dir)
+    by_rule = F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("rule_verdict")
+    return judged.select("page_id", "host", "path", "rule", by_rule)
+
+
+@registry.add(
+    "quality_base_counts",
+    f"""
+    WITH d AS (
+      SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format(text="coalesce(text, '')")} AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+      FROM documents),
+    windows AS (
+      SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS times
+      FROM d, unnest(range(1, len(w) - 1)) AS x(i)),
+    repeated AS (
+      SELECT doc_id, count(DISTINCT i + j) AS n FROM windows, unnest(range(3)) AS y(j) WHERE times > 1 GROUP BY doc_id),
+    counted AS (
+      SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+      FROM d LEFT JOIN repeated r USING (doc_id))
+    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
+    """,
+)
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of the quality rules, without the distances."""
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return op8_quality_query(spark, sf_dir).select("doc_id", *counts, "base_failed")
+
+
 def queries() -> dict:
     return dict(registry.queries)
 
