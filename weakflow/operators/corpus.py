@@ -71,6 +71,16 @@ def join_vendor_products(rows: DataFrame, vendor_product: DataFrame) -> DataFram
     return spread_left_join(left, keyed, "_product").drop("_product")
 
 
+def count_copies(rows: DataFrame, name: str) -> DataFrame:
+    """The distinct rows, each with the number of its exact copies."""
+    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias(name))
+
+
+def joined_copies(left: str, right: str) -> Column:
+    """Rows that a left join of two tables has for a row of their distinct rows' left join."""
+    return F.col(left) * F.coalesce(F.col(right), F.lit(1))
+
+
 def join_vendors(
     rows: DataFrame,
     vendors: DataFrame,

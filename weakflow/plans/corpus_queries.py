@@ -113,11 +113,12 @@ SELECT p.cve_id, p.vulnerable_product, vp.product, vp.vendor, count(*) AS n
 FROM products p LEFT JOIN vendor_product vp ON vp.product = p.vulnerable_product GROUP BY ALL""",
 )
 def join_product_vendor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = corpus.join_vendor_products(
-        fx.products(spark, sf_dir), fx.vendor_product(spark, sf_dir)
-    )
-    return rows.groupBy("cve_id", "vulnerable_product", "product", "vendor").agg(
-        F.count(F.lit(1)).alias("n")
+    # Copies are counted before the join: its rows are then distinct, and no shuffle holds the fan-out.
+    left = corpus.count_copies(fx.products(spark, sf_dir), "_left_copies")
+    right = corpus.count_copies(fx.vendor_product(spark, sf_dir), "_right_copies")
+    rows = corpus.join_vendor_products(left, right)
+    return rows.select(
+        "cve_id", "vulnerable_product", "product", "vendor", corpus.joined_copies("_left_copies", "_right_copies").alias("n")
     )
 
 
