@@ -3,10 +3,19 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tests.conftest import bag
+from tests.conftest import SF, bag
 from weakflow import schemas
-from weakflow.operators.corpus import Corpus, corpus_text, join_vendors, keep_labelled
+from weakflow.operators.corpus import (
+    Corpus,
+    corpus_text,
+    count_copies,
+    join_vendor_products,
+    join_vendors,
+    joined_copies,
+    keep_labelled,
+)
 from weakflow.operators.joins import expand_copies, hot_keys, spread_left_join
+from weakflow.plans import catalog
 from weakflow.sources import staging, tables
 from weakflow.sources.staging import stage
 
@@ -163,3 +172,22 @@ def test_staged_tables_can_be_dropped(spark):
     staging.drop_staged(spark)
     staging._made[:] = made  # other tests still read theirs
     assert not os.path.exists(path)
+
+
+def test_vendor_joins_have_no_shuffle_above_the_fan_out(spark):
+    """Copies are counted before the join, so its rows are not gathered again."""
+    for name in ("join_product_vendor", "join_colocated_vendors"):
+        found = catalog.queries()[name](spark, SF)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        above = plan[: plan.index("Join ")]
+        assert "Aggregate" not in above, name
+
+
+def test_counted_copies_join_like_the_rows(spark):
+    _, products, vp, _ = small_tables(spark)
+    vp = vp.union(spark.createDataFrame([("v9", None), (None, "p2")], vp.schema))
+    want = products.join(vp, products.vulnerable_product == vp.product, "left")
+    want = want.groupBy("cve_id", "vulnerable_product", "product", "vendor").agg(F.count(F.lit(1)).alias("n"))
+    got = join_vendor_products(count_copies(products, "_l"), count_copies(vp, "_r"))
+    got = got.select("cve_id", "vulnerable_product", "product", "vendor", joined_copies("_l", "_r").alias("n"))
+    assert bag(got) == bag(want)
