@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from weakflow.operators.joins import (
     BROADCAST_BYTES,
     HOT_ROWS,
-    expand_copies,
+    broadcast_if_small,
     is_small,
     key_sizes,
     spread_left_join,
@@ -51,6 +51,12 @@ def corpus_text() -> Column:
     return F.concat_ws(" ", *parts)
 
 
+def text_length() -> Column:
+    """Characters of ``corpus_text``, from those of its parts: a summary's are counted once per CVE."""
+    names = [F.length(F.coalesce(F.col(c), F.lit(""))) for c in ("vulnerable_product", "vendor")]
+    return F.col("summary_length") + names[0] + names[1] + 2
+
+
 def row_key() -> Column:
     """Identifies a corpus row: CVE, product and vendor, and a number for exact copies. Where
     several CVE rows share an id, their rows share keys, and samplers take or leave them together."""
@@ -127,11 +133,10 @@ def _vendor_links(
 
 
 def _named_products(products: DataFrame, cve_ids: DataFrame) -> DataFrame:
-    """(cve_id, _product, pcopies) of the wanted CVEs, one row per pair."""
-    pairs = products.groupBy("cve_id", F.col("vulnerable_product").alias("_product")).agg(
-        F.count(F.lit(1)).alias("pcopies")
-    )
-    return pairs.join(cve_ids.select("cve_id"), "cve_id", "left_semi")
+    """(cve_id, _product, pcopies) of the wanted CVEs, one row per pair. Products of other CVEs are
+    left out before the pairs are counted and shuffled."""
+    wanted = products.join(broadcast_if_small(cve_ids.select("cve_id")), "cve_id", "left_semi")
+    return wanted.groupBy("cve_id", F.col("vulnerable_product").alias("_product")).agg(F.count(F.lit(1)).alias("pcopies"))
 
 
 class Corpus:
@@ -168,9 +173,14 @@ class Corpus:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        """(product, vendor, copies), one row per pair."""
+        """(product, vendor, copies) of the products that labelled CVEs name, one row per pair. Other
+        products join with nothing, so they are left out before the pairs are counted and shuffled."""
+        wanted = self.product_sizes.select(F.col("_product").alias("product"))
         links = _vendor_links(
-            self.vendor_product, self.vendors, self.unique_vendors, hot_rows=self.hot_rows
+            self.vendor_product.join(broadcast_if_small(wanted), "product", "left_semi"),
+            self.vendors,
+            self.unique_vendors,
+            hot_rows=self.hot_rows,
         )
         return stage(links, "product-vendors")
 
@@ -179,6 +189,14 @@ class Corpus:
         """(_product, n): CVEs that name each product."""
         return stage(key_sizes(self.named, "_product"), "product-sizes")
 
+    @cached_property
+    def vendor_sizes(self) -> DataFrame:
+        """(_product, n, vendors): pairs of each product, and the rows that a mention of it has."""
+        sizes = self.pairs.groupBy(F.col("product").alias("_product")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("copies").alias("vendors")
+        )
+        return stage(sizes, "vendor-sizes")
+
     @cached_property
     def cve_sizes(self) -> DataFrame:
         """(cve_id, n): rows of each CVE's fan-out, counted without producing it."""
@@ -189,7 +207,12 @@ class Corpus:
         any text. A row stands for at most 10,000 exact copies."""
         right = self.pairs.withColumn("_product", F.col("product"))
         joined = spread_left_join(
-            self.named, right, "_product", left_sizes=self.product_sizes, hot_rows=self.hot_rows
+            self.named,
+            right,
+            "_product",
+            left_sizes=self.product_sizes,
+            right_sizes=self.vendor_sizes,
+            hot_rows=self.hot_rows,
         )
         total = F.col("pcopies") * F.coalesce("copies", F.lit(1))
         pieces = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_total") - 1) / _CHUNK))
@@ -207,12 +230,9 @@ class Corpus:
         )
 
     def _sizes(self) -> DataFrame:
-        per_product = self.pairs.groupBy(F.col("product").alias("_product")).agg(
-            F.sum("copies").alias("_vendors")
-        )
         sized = spread_left_join(
             self.named,
-            per_product,
+            self.vendor_sizes.select("_product", F.col("vendors").alias("_vendors")),
             "_product",
             left_sizes=self.product_sizes,
             right_unique=True,
@@ -229,14 +249,29 @@ class Corpus:
         filled = rows.withColumn("copies", F.coalesce("copies", F.lit(1))).withColumn(
             "piece", F.coalesce("piece", F.lit(0))
         )
-        numbered = expand_copies(filled, "copies", "_in_piece", _CHUNK)
+        # A link stands for at most _CHUNK copies, so one short array numbers them.
+        numbers = F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)
+        numbered = filled.withColumn("_in_piece", F.explode(numbers)).drop("copies")
         return numbered.withColumn("copy_no", F.col("piece") * _CHUNK + F.col("_in_piece")).drop(
             "piece", "_in_piece"
         )
 
     def rows(self, drop_blank: bool = False) -> DataFrame:
-        """The whole corpus: one row per CVE, product and vendor, with its text and label."""
-        return keep_labelled(self._fan_out(self.labelled).withColumn("text", corpus_text()), drop_blank)
+        """The whole corpus: one row per CVE, product and vendor, with its text, the characters of the
+        text (``text_length``) and the label.
+
+        What depends on a summary alone is found once per CVE, before the fan-out. A job that reads no
+        text carries none through the joins.
+        """
+        summary = F.coalesce(F.col("summary"), F.lit(""))
+        sized = self.labelled.withColumns(
+            {"summary_length": F.length(summary), "_summary_blank": F.trim(summary) == ""}
+        )
+        rows = self._fan_out(sized).withColumns({"text": corpus_text(), "text_length": text_length()})
+        if drop_blank:  # a text is blank if its parts are
+            named = [F.trim(F.coalesce(F.col(c), F.lit(""))) != "" for c in ("vulnerable_product", "vendor")]
+            rows = rows.filter(~F.col("_summary_blank") | named[0] | named[1])
+        return rows.drop("summary_length", "_summary_blank")
 
     def keys(self) -> DataFrame:
         """The corpus rows without summaries: what counting and sampling need."""

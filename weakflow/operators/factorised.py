@@ -94,7 +94,7 @@ class CorpusStatistics:
         by_product = self._spread(self.mentions, fans, "_product", right_unique=True)
         by_product = by_product.withColumn("n", F.col("n") * F.coalesce("vendors", F.lit(1)))
         pairs = self.corpus.pairs.withColumnRenamed("product", "_product")
-        by_vendor = self._spread(self.mentions, pairs, "_product").filter(F.col("vendor").isNotNull())
+        by_vendor = self._spread(self.mentions, pairs, "_product", right_sizes=self.corpus.vendor_sizes).filter(F.col("vendor").isNotNull())
         by_vendor = by_vendor.groupBy("cwe_name", "vendor").agg(F.sum(F.col("n") * F.col("copies")).alias("n"))
         parts = [_weighted(self.summaries, "summary", "n"), _weighted(by_product, "_product", "n"), _weighted(by_vendor, "vendor", "n")]
         whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
