@@ -191,3 +191,41 @@ def test_counted_copies_join_like_the_rows(spark):
     got = join_vendor_products(count_copies(products, "_l"), count_copies(vp, "_r"))
     got = got.select("cve_id", "vulnerable_product", "product", "vendor", joined_copies("_l", "_r").alias("n"))
     assert bag(got) == bag(want)
+
+
+def test_pairs_hold_only_products_that_labelled_cves_name(spark):
+    """The vendors of other products join with nothing, so they are not counted or stored."""
+    source = Corpus(*small_tables(spark))
+    assert {r["product"] for r in source.pairs.collect()} == {"p1", "p2"}  # p7 is not named
+    assert bag(source.vendor_sizes) == [("p1", 2, 5), ("p2", 2, 2)]
+
+
+def test_text_length_needs_no_text(spark):
+    cve, *rest = small_tables(spark)
+    odd = [("c5", " A", "  "), ("c6", " B", "h\u00e9 \U0001f600"), (None, " B", "no id")]
+    source = Corpus(cve.union(spark.createDataFrame(odd, cve.schema)), *rest)
+    rows = source.rows()
+    assert rows.filter(F.col("text_length") != F.length("text")).count() == 0
+    blank = bag(source.rows().filter(F.trim("text") == "").select("cve_id"))
+    whole, kept = bag(rows.select("cve_id")), bag(source.rows(drop_blank=True).select("cve_id"))
+    assert {("c4",), ("c5",)} == set(blank) and sorted(kept + blank, key=repr) == whole
+    counted = source.rows(drop_blank=True).groupBy("cwe_name").agg(F.sum("text_length"))
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "summary" not in plan[: plan.index("Join ")].replace("summary_length", "").replace("summary_blank", "")
+
+
+def test_assembly_does_not_sort_the_fan_out(spark):
+    found = catalog.queries()["corpus_assemble"](spark, SF)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("SortAggregate") < plan.index("MapInArrow")
+    assert "SortAggregate" not in plan[plan.index("MapInArrow") :]
+
+
+def test_shared_prefixes_are_stored_once(spark):
+    path = staging.new_path(spark, "prefixes")
+    noise = "".join(str(hash((i, "x")) % 10**9) for i in range(2000))
+    rows = spark.range(0, 2000, 1, 1).select(F.concat(F.lit(noise), F.col("id").cast("string")).alias("text"))
+    tables.write_parquet(rows, path, shared_prefixes=True)
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+    assert size < 10 * len(noise)
+    assert bag(tables.read_parquet(spark, path)) == bag(rows)

@@ -1,5 +1,8 @@
 """Queries over the corpus tables: sources, joins, counts, samples and splits."""
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +28,8 @@ def _rounded(x: Column, places: int = 6) -> Column:
 
 
 def _with_digest(df: DataFrame) -> DataFrame:
-    return df.select(*KEYS, F.md5("text").alias("text_md5"), F.length("text").alias("text_length"))
+    length = F.col("text_length") if "text_length" in df.columns else F.length("text")
+    return df.select(*KEYS, F.md5("text").alias("text_md5"), length.alias("text_length"))
 
 
 @registry.add(
@@ -150,10 +154,35 @@ WHERE trim(text) <> '' GROUP BY cwe_name""",
 def corpus_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _corpus(spark, sf_dir).rows(drop_blank=True)
     return rows.groupBy("cwe_name").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("text_length")
+        F.count(F.lit(1)).alias("n"), F.sum("text_length").alias("text_length")
     )
 
 
+def _combined(rows: DataFrame) -> DataFrame:
+    """(cwe_name, cve_id, n, v, len, lo, hi): rows, rows with a vendor, characters, and the first and last
+    digest, combined within each batch of rows.
+
+    Spark keeps a running minimum of a string only in sorted groups, so it would sort the fan-out. The
+    rows of a CVE lie together after the join, so a batch has few CVEs, and only their sums go on.
+    """
+    digests = rows.select(
+        "cwe_name",
+        "cve_id",
+        F.col("vendor").isNotNull().cast("long").alias("v"),
+        F.col("text_length").cast("long").alias("len"),
+        F.md5("text").alias("digest"),
+    )
+    sums = [("len", "count"), ("v", "sum"), ("len", "sum"), ("digest", "min"), ("digest", "max")]
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.Table.from_batches([batch]).group_by(["cwe_name", "cve_id"]).aggregate(sums)
+            columns = ["cwe_name", "cve_id", *[f"{c}_{how}" for c, how in sums]]
+            yield from found.select(columns).rename_columns(["cwe_name", "cve_id", "n", "v", "len", "lo", "hi"]).to_batches()
+
+    return digests.mapInArrow(combine, "cwe_name string, cve_id string, n long, v long, len long, lo string, hi string")
+
+
 @registry.add(
     "corpus_assemble",
     f"""{fx.SQL_CORPUS}
@@ -166,12 +195,8 @@ def corpus_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled text rows per weakness class, from the whole corpus."""
     rows = _corpus(spark, sf_dir).rows()
     # Two levels: the first has one row per CVE, so no class is gathered to count its CVEs.
-    per_cve = rows.withColumn("digest", F.md5("text")).groupBy("cwe_name", "cve_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count("vendor").alias("v"),
-        F.sum(F.length("text")).alias("len"),
-        F.min("digest").alias("lo"),
-        F.max("digest").alias("hi"),
+    per_cve = _combined(rows).groupBy("cwe_name", "cve_id").agg(
+        F.sum("n").alias("n"), F.sum("v").alias("v"), F.sum("len").alias("len"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
     )
     return per_cve.groupBy("cwe_name").agg(
         F.sum("n").alias("n_rows"),
@@ -190,7 +215,8 @@ def corpus_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus_parquet_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "corpus")
     rows = _corpus(spark, sf_dir).rows()
-    tables.write_parquet(rows.select("text", "cwe_name"), path)
+    # The rows of a CVE lie together after the join, and their texts begin with the same summary.
+    tables.write_parquet(rows.select("text", "cwe_name"), path, shared_prefixes=True)
     stored = tables.read_parquet(spark, path, ["text", "cwe_name"])
     return stored.select("cwe_name", F.md5("text").alias("text_md5"))
 
