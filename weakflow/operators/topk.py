@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -134,8 +135,11 @@ def _better_of(shared: Broadcast, top: int) -> Callable[..., Column]:
     @F.arrow_udf(_KIND)
     def better(ids: pa.Array, best: pa.Array) -> pa.Array:
         found = []
-        for row, before in zip(ids, best):
-            rivals, _ = shared.value.best(np.array(row.as_py() or [], dtype=np.int64), top)
+        sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        words = ids.flatten().to_numpy(zero_copy_only=False)  # of all rows; a NULL row has none
+        for size, end, before in zip(sizes, ends, best):
+            rivals, _ = shared.value.best(words[end - size : end].astype(np.int64), top)
             rivals += [(b["score"], b["y"]) for b in before.as_py()]
             rivals.sort(key=lambda r: (-r[0], r[1]))
             found.append([{"y": y, "score": score} for score, y in rivals[:top]])
