@@ -36,6 +36,25 @@ def test_naive_bayes_matches_python(tiny):
         assert got[doc][3] < min(got[doc][:3]) - 10_000_000
 
 
+def test_scoring_and_encoding_by_small_slices(spark, tiny, monkeypatch):
+    """Slices that cut texts, skip empty ones and end in the middle of a batch add up to the same."""
+    _, _, dictionary = tiny
+    odd = [(0, [2, 3, 2, 4, 9]), (1, []), (2, None), (3, [3]), (4, [4] * 11), (5, []), (6, [1, 2])]
+    more = spark.createDataFrame(odd, "doc_id long, ids array<int>").coalesce(1)
+    model = classify.store(classify.train_naive_bayes(tiny[1], dictionary, num_words=5))
+    want = bag(classify.score_by_join(more, model).select("doc_id", "scores"))
+    vocab = spark.createDataFrame([("a", 1, 2), ("b", 1, 3)], "word string, n long, idx long")
+    texts = [(0, ["a", "x", "b", "a"]), (1, []), (2, None), (3, ["b"]), (4, ["a", None, "a"])]
+    texts = spark.createDataFrame(texts, "doc_id long, tokens array<string>").coalesce(1)
+    coded = bag(tokens.encode_sequences(texts, vocab).select("doc_id", "ids"))
+    monkeypatch.setattr(tokens, "_LOOKED_UP", 3)
+    assert bag(tokens.encode_sequences(texts, vocab).select("doc_id", "ids")) == coded
+    assert [r[1] for r in coded] == [[2, 1, 3, 2], [], [], [3], [2, 1, 2]]
+    for gathered in (4, 12, 20):  # four classes: one, three and five words at a time
+        monkeypatch.setattr(classify, "_GATHERED", gathered)
+        assert bag(classify.score_by_lookup(more, model).select("doc_id", "scores")) == want
+
+
 def test_both_ways_of_scoring_agree(spark, tiny):
     """Also for repeated and NULL ids, NULL and empty texts, and classes without rows or weight."""
     _, df, _ = tiny
