@@ -287,7 +287,7 @@ def word_odds(texts: DataFrame) -> list[dict[str, float]]:
 
     is_kind = [((F.col("part") == p) & (F.col("label") == label)).cast("int") for p, label in kinds]
     sums = [F.sum(k).alias(f"n{p}_{label}") for k, (p, label) in zip(is_kind, kinds, strict=True)]
-    counted = texts.mapInArrow(seen, "word string, part int, label int").groupBy("word").agg(*sums)
+    counted = texts.mapInArrow(lambda b: tb.tidy(seen(b)), "word string, part int, label int").groupBy("word").agg(*sums)
     seeds = INSULTS + THREATS
     cuts = [*range(PARTS), None]
     toxic = {f"toxic{i}": counts(1, cut) for i, cut in enumerate(cuts)}
@@ -346,7 +346,7 @@ def train(
                  batch.column("label")], names=["x", "y", "label"])
 
     # Three numbers for each of the bounded number of training texts.
-    points = texts.mapInArrow(featured, "x double, y double, label int").toArrow()
+    points = texts.mapInArrow(lambda b: tb.tidy(featured(b)), "x double, y double, label int").toArrow()
     y = points["label"].to_numpy().astype(float)
     if len(y) and 0 < y.sum() < len(y):
         xs = np.column_stack([points["x"].to_numpy(), points["y"].to_numpy()])

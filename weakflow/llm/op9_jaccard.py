@@ -49,7 +49,9 @@ PART_ROWS = 100_000
 MAX_BROADCAST_IDS = 1_000_000
 POSTINGS_HELD = 1 << 18  # postings that a task holds before it passes them on
 POSTED_SETS = 200_000  # sets that a task remembers, so as not to post a copy; forgetting costs time only
+PIECE_BYTES = 1 << 18  # text cut into shingles at once; each byte takes some 40 more while it is hashed
 _BLOCK = 4096
+_BLOCKS_SENT = 64  # blocks of the sketch that leave a task together
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +88,7 @@ def signatures(df: DataFrame) -> DataFrame:
         sketch = np.zeros(SLOTS, dtype=np.uint32)
         names = ["id", "n", "s1", "s2", "block", "counts"]
         for batch in batches:
-            for piece in tb.slices(batch, "text"):
+            for piece in tb.slices(batch, "text", PIECE_BYTES):
                 hashes, at = shingle_sets(piece.column("text"))
                 np.add.at(sketch, _slot(hashes), np.uint32(1))
                 n = piece.num_rows
@@ -101,12 +103,13 @@ def signatures(df: DataFrame) -> DataFrame:
                     ],
                     names=names,
                 )
-        blocks = [sketch[b : b + _BLOCK].tobytes() for b in range(0, SLOTS, _BLOCK)]
-        none = pa.nulls(len(blocks), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [none, none, none, none, pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())],
-            names=names,
-        )
+        for lo in range(0, SLOTS // _BLOCK, _BLOCKS_SENT):
+            numbers = range(lo, min(lo + _BLOCKS_SENT, SLOTS // _BLOCK))
+            blocks = [sketch[b * _BLOCK : (b + 1) * _BLOCK].tobytes() for b in numbers]
+            none = pa.nulls(len(blocks), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [none, none, none, none, pa.array(numbers, pa.int32()), pa.array(blocks, pa.binary())], names=names
+            )
 
     return df.mapInArrow(lambda b: tb.tidy(rows(b)), "id long, n long, s1 long, s2 long, block int, counts binary")
 
@@ -155,7 +158,7 @@ def prefix_postings(df: DataFrame, sketch: np.ndarray, buckets: int, k: int = K)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, hot, hot_parts = shared.value
-        posted: set[tuple[int, int]] = set()
+        posted: set[bytes] = set()
         held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
@@ -173,13 +176,14 @@ def prefix_postings(df: DataFrame, sketch: np.ndarray, buckets: int, k: int = K)
             )
 
         for batch in batches:
-            for piece in tb.slices(batch, "text"):
+            for piece in tb.slices(batch, "text", PIECE_BYTES):
                 hashes, at = shingle_sets(piece.column("text"))
                 ids = piece.column("id").to_numpy()
                 n = np.diff(at)
-                marks = zip(_sums(hashes, at).tolist(), _sums(tb.mix(hashes), at).tolist(), strict=True)
+                marks = np.column_stack([_sums(hashes, at), _sums(tb.mix(hashes), at)])
                 fresh = np.zeros(len(n), dtype=bool)
-                for i, mark in enumerate(marks):
+                for i in range(len(n)):
+                    mark = marks[i].tobytes()  # a tuple of two numbers takes three times the memory
                     if n[i] and mark not in posted:
                         fresh[i] = True
                         posted.add(mark)
@@ -217,12 +221,17 @@ def shared_lists(postings: DataFrame, partitions: int) -> DataFrame:
     of the same list (part) and band of sizes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [
-            np.frombuffer(p.as_py(), dtype=np.uint64).reshape(4, -1) for b in batches for p in b.column("postings")
-        ]
-        if not blocks:
-            return
+        # A list part lies in one bucket. Buckets are sorted one after another, so the copies made are of one.
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for bucket, p in zip(batch.column("bucket").to_pylist(), batch.column("postings"), strict=True):
+                held.setdefault(bucket, []).append(np.frombuffer(p.as_py(), dtype=np.uint64).reshape(4, -1))
+        while held:
+            yield from lists_of(held.popitem()[1])
+
+    def lists_of(blocks: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         h, ids, n, parts = np.concatenate(blocks, axis=1)
+        blocks.clear()
         ids, n, parts = ids.view(np.int64), n.astype(np.int64), parts.astype(np.int64)
         pos, n = n >> 32, n & 0xFFFFFFFF
         band = (np.log(n) / _BAND).astype(np.int64)
@@ -309,7 +318,7 @@ def verified(df: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in tb.slices(batch, "text"):
+            for piece in tb.slices(batch, "text", PIECE_BYTES):
                 hashes, at = shingle_sets(piece.column("text"))
                 data = [hashes[at[i] : at[i + 1]].tobytes() for i in range(piece.num_rows)]
                 yield pa.RecordBatch.from_arrays(

@@ -41,7 +41,7 @@ def _power(base: np.uint64, n: int, name: str) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64, kept between calls."""
     have = _powers.get(name)
     if have is None or len(have) < n:
-        factors = np.full(max(n, SLICE_BYTES + 1), base, dtype=np.uint64)
+        factors = np.full(1 << n.bit_length(), base, dtype=np.uint64)
         factors[0] = 1
         have = _powers[name] = np.multiply.accumulate(factors)
     return have[:n]
