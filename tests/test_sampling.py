@@ -98,3 +98,15 @@ def test_labels(spark, rows):
     weights = {r.y: r.weight for r in labels.class_weights(counts, "y").collect()}
     assert weights["one"] == pytest.approx(3000 / (9 * 1))
     assert weights["big"] == pytest.approx(3000 / (9 * 2000))
+
+
+def test_exact_sizes_come_from_the_stored_rows(rows, monkeypatch):
+    stored = []
+    stage = sampling.stage
+    monkeypatch.setattr(sampling, "stage", lambda df, name: stored.append((name, df.columns)) or stage(df, name))
+    # Each time the rows are made anew, others are left; the split must be of those that were stored.
+    some = rows.select("k", F.rand().alias("r")).filter("r < 0.5").select("k")
+    parts = sampling.split_rows_exact(some, F.col("k")).groupBy("part").count().collect()
+    n = {r["part"]: r["count"] for r in parts}
+    assert n["train"] == math.floor(sum(n.values()) * 0.8)
+    assert dict(stored)["hashed"] == ["k", "_all", "_hash", "_no"]
