@@ -66,3 +66,21 @@ def test_encoding_keeps_whole_texts_and_only_padding_cuts(spark):
 def test_one_hot(spark):
     df = spark.createDataFrame([(0,), (2,)], "y int").select(one_hot(F.col("y"), 3).alias("v"))
     assert [r.v for r in df.collect()] == [[1.0, 0.0, 0.0], [0.0, 0.0, 1.0]]
+
+
+def test_text_keys_are_numbered_before_words_are_counted(spark, monkeypatch):
+    plans = {}
+    stage = tokens.stage
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(tokens, "stage", lambda df, name: plans.update({name: plan(df)}) or stage(df, name))
+    docs = [("b", ["x", "y", "x"]), (None, ["z", "y"]), ("a", ["x", "w"]), ("a", ["w"]), ("c", None)]
+    df = spark.createDataFrame(docs, "name string, tokens array<string>")
+    got = bag(tokens.word_counts(df, "name"))
+    assert got == bag(
+        spark.createDataFrame(
+            [("x", 3, "a", 0), ("y", 2, None, 1), ("z", 1, None, 0), ("w", 2, "a", 0)],
+            "word string, n long, first_doc string, first_pos int",
+        )
+    )
+    assert "SortAggregate" not in plans["word-counts"]
+    assert tokens.word_counts(df.limit(0), "name").count() == 0
