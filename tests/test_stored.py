@@ -151,3 +151,16 @@ def test_global_rank_in_one_exchange(spark):
     # Only the sum over ranges is shuffled after the rows were stored; the rows are not.
     assert "Window" in ranked._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in ranked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_directory_computes_its_rows_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(n):
+        made.add(1)
+        return n * 7 % 1000
+
+    rows = spark.range(1000).repartition(4).select(F.udf(counted, "long")("id").alias("k"))
+    stored = directory.write_directory(rows, ["k"], str(tmp_path / "once"))
+    assert [r.k for r in stored.page(500, 3).collect()] == [500, 501, 502]
+    assert made.value == 1000
