@@ -1,6 +1,7 @@
 """Whole-corpus statistics, best classes, calibration, the model store, and exact selection."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,15 @@ def test_statistics_equal_those_of_the_joined_rows(odd_corpus):
     assert numbered == sorted(numbered, key=lambda r: (-r.n, r.word))
 
 
+def test_whole_word_counts_take_no_label_along(odd_corpus):
+    """Nothing is grouped by label, and the counts are those by label, added up."""
+    statistics = factorised.CorpusStatistics(odd_corpus)
+    whole = statistics.word_counts()
+    assert not re.search(r"Aggregate \[[^\]]*cwe_name", whole._jdf.queryExecution().optimizedPlan().toString())
+    assert "counts" not in vars(statistics) and "mentions" not in vars(statistics)
+    assert bag(whole) == bag(statistics.counts.groupBy("word").agg(F.sum("n").alias("n")))
+
+
 def test_whole_corpus_model_equals_training_on_its_rows(odd_corpus):
     """The same model as one trained row by row, also with words beyond ``num_words``."""
     statistics = factorised.CorpusStatistics(odd_corpus)

@@ -21,6 +21,15 @@ def test_tokenize_matches_python(spark):
     assert kept.count() == 3
 
 
+def test_every_separator_cuts_in_one_pass(spark):
+    """Alone, in runs, at both ends, and beside characters that are special in patterns."""
+    texts = [f"a{c}B{c}{c}1" for c in WORD_SEPARATORS] + [WORD_SEPARATORS, f"{WORD_SEPARATORS}x{WORD_SEPARATORS}", "a&&b^c", " x", "x ", "\U0001f600-é", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", tokenize(F.col("text")).alias("t"))
+    assert all(r.t == (None if r.text is None else python_tokens(r.text)) for r in df.collect())
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in plan and "lambda" not in plan  # no map look-up per character, no function per word
+
+
 def test_vocabulary_matches_python_on_all_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     first, counts = {}, Counter()

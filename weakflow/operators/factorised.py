@@ -18,7 +18,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weakflow.functions.text import tokenize
+from weakflow.functions.text import split_words, tokenize
 from weakflow.operators import classify, labels
 from weakflow.operators.corpus import Corpus
 from weakflow.operators.joins import spread_left_join
@@ -27,15 +27,28 @@ from weakflow.operators.tokens import NUM_WORDS, OOV
 from weakflow.sources.staging import stage
 
 
+def _text(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(""))
+
+
 def _words(text: str) -> Column:
-    return tokenize(F.coalesce(F.col(text), F.lit("")))
+    return tokenize(_text(text))
 
 
-def _weighted(df: DataFrame, text: str, weight: str) -> DataFrame:
-    """(cwe_name, word, n): tokens of ``text``, each counted ``weight`` times."""
+def _weighted(df: DataFrame, by: list[str], text: str) -> DataFrame:
+    """(by, word, n): a row per token of ``text``, with the weight of its row."""
     # The outer form keeps Spark from tokenising twice, to test the array for emptiness first.
-    words = df.select("cwe_name", F.explode_outer(_words(text)).alias("word"), weight)
-    return words.filter(F.col("word").isNotNull()).groupBy("cwe_name", "word").agg(F.sum(weight).alias("n"))
+    words = df.select(*by, F.explode_outer(split_words(_text(text))).alias("word"), "n")
+    return words.filter(F.col("word") != "")
+
+
+def _whole(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _ranked(counts: DataFrame) -> DataFrame:
+    ranked = global_rank(counts, [F.desc("n"), F.asc("word")], "_rank")
+    return ranked.select("word", "n", (F.col("_rank") + 1).alias("idx"))
 
 
 class CorpusStatistics:
@@ -82,23 +95,29 @@ class CorpusStatistics:
     @cached_property
     def mentions(self) -> DataFrame:
         """(cwe_name, _product, n): mentions of a product by CVE rows of a label."""
-        ids = self.corpus.labelled.groupBy("cve_id", "cwe_name").agg(F.count(F.lit(1)).alias("rows"))
-        met = self._spread(self.corpus.named, ids, "cve_id").filter(F.col("rows").isNotNull())
-        named = met.groupBy("cwe_name", "_product").agg(F.sum(F.col("pcopies") * F.col("rows")).alias("n"))
+        return self._mentions(["cwe_name"])
+
+    def _mentions(self, by: list[str]) -> DataFrame:
+        ids = self.corpus.labelled.groupBy("cve_id", *by).agg(F.count(F.lit(1)).alias("rows"))
+        met = self._spread(self.corpus.named, ids, "cve_id", right_unique=not by).filter(F.col("rows").isNotNull())
+        named = met.groupBy(*by, "_product").agg(F.sum(F.col("pcopies") * F.col("rows")).alias("n"))
         return stage(named, "mentions")
 
+    def _weighted_words(self, mentions: DataFrame, by: list[str]) -> DataFrame:
+        """(by, word, n): every token of a summary, product or vendor name, with its weight."""
+        by_product = self._spread(mentions, self.vendor_fans, "_product", right_unique=True)
+        by_product = by_product.withColumn("n", F.col("n") * F.coalesce("vendors", F.lit(1)))
+        pairs = self.corpus.pairs.withColumnRenamed("product", "_product")
+        by_vendor = self._spread(mentions, pairs, "_product", right_sizes=self.corpus.vendor_sizes).filter(F.col("vendor").isNotNull())
+        by_vendor = by_vendor.groupBy(*by, "vendor").agg(F.sum(F.col("n") * F.col("copies")).alias("n"))
+        words = _weighted(self.summaries, by, "summary").unionByName(_weighted(by_product, by, "_product"))
+        return words.unionByName(_weighted(by_vendor, by, "vendor"))
+
     @cached_property
     def counts(self) -> DataFrame:
         """(cwe_name, word, n): how often a word stands in the corpus rows of a label."""
-        fans = self.vendor_fans
-        by_product = self._spread(self.mentions, fans, "_product", right_unique=True)
-        by_product = by_product.withColumn("n", F.col("n") * F.coalesce("vendors", F.lit(1)))
-        pairs = self.corpus.pairs.withColumnRenamed("product", "_product")
-        by_vendor = self._spread(self.mentions, pairs, "_product", right_sizes=self.corpus.vendor_sizes).filter(F.col("vendor").isNotNull())
-        by_vendor = by_vendor.groupBy("cwe_name", "vendor").agg(F.sum(F.col("n") * F.col("copies")).alias("n"))
-        parts = [_weighted(self.summaries, "summary", "n"), _weighted(by_product, "_product", "n"), _weighted(by_vendor, "vendor", "n")]
-        whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
-        return stage(whole.groupBy("cwe_name", "word").agg(F.sum("n").alias("n")), "corpus-words")
+        words = self._weighted_words(self.mentions, ["cwe_name"])
+        return stage(words.groupBy("cwe_name", "word").agg(F.sum("n").alias("n")), "corpus-words")
 
     @cached_property
     def classes(self) -> DataFrame:
@@ -108,20 +127,20 @@ class CorpusStatistics:
         return stage(sums.select("cwe_name", "rows", (F.col("rows") - F.col("silent")).alias("documents")), "corpus-classes")
 
     def word_counts(self) -> DataFrame:
-        """(word, n) over all corpus rows."""
-        return self.counts.groupBy("word").agg(F.sum("n").alias("n"))
+        """(word, n) over all corpus rows. Labels take no part: with them, every word would be counted
+        and shuffled once per label that it stands in."""
+        return _whole(self._weighted_words(self._mentions([]), []))
 
     def vocabulary(self) -> DataFrame:
         """(word, n, idx): most frequent first. The joined rows have no order, so ties go by the word."""
-        ranked = global_rank(self.word_counts(), [F.desc("n"), F.asc("word")], "_rank")
-        return ranked.select("word", "n", (F.col("_rank") + 1).alias("idx"))
+        return _ranked(self.word_counts())
 
     def naive_bayes(
         self, num_words: int = NUM_WORDS, alpha: float = 1.0, min_rows: int = 2
     ) -> tuple[classify.NaiveBayes, DataFrame, DataFrame]:
         """(model, vocabulary, label dictionary), trained with balanced weights on every corpus row
         with a token; labels with fewer than ``min_rows`` of them are left out."""
-        vocab = stage(self.vocabulary(), "vocabulary")
+        vocab = stage(_ranked(_whole(self.counts)), "vocabulary")
         kept = stage(self.classes.filter(F.col("documents") >= min_rows), "kept-classes")
         dictionary = stage(labels.label_dictionary(kept, "cwe_name"), "dictionary")
         weights = labels.class_weights(kept.select(F.col("cwe_name").alias("label"), F.col("documents").alias("n")), "label")
