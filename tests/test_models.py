@@ -74,6 +74,27 @@ def test_whole_corpus_model_equals_training_on_its_rows(odd_corpus):
     assert bag(model.cells.select("y", "idx", "delta")) == bag(slow.cells.select("y", "idx", "delta"))
 
 
+def test_training_reads_the_ids_of_its_rows_once(spark):
+    """Class sizes come from the counted words; rows without a word count as rows."""
+    rows = [(0, [2, 3, 3]), (0, []), (1, [3]), (1, None), (2, [])]
+    df = spark.createDataFrame(rows, "y int, ids array<int>")
+    names = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2), ("d", 3)], "label string, idx int")
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<int>")
+    def read(ids):
+        reads.add(1)
+        return ids
+
+    model = classify.train_naive_bayes(df.withColumn("ids", read.asNondeterministic()("ids")), names, num_words=4)
+    found = {r.y: (r.prior, r.base) for r in model.classes.collect()}
+    base = [round(float(np.log(1 / (n + 4))) * 1e6) for n in (3, 1, 0, 0)]
+    prior = [round(float(np.log(n / 5)) * 1e6) if n else classify.NO_ROWS_PRIOR for n in (2, 2, 1, 0)]
+    assert found == dict(enumerate(zip(prior, base)))
+    assert bag(model.cells.select("y", "idx")) == [(0, 2), (0, 3), (1, 3)]
+    assert reads.value == len(rows)
+
+
 def test_statistics_make_no_row_per_corpus_row(spark):
     """One CVE with 200 mentions of a product with 300 vendors is 60,000 corpus rows; no step makes them."""
     cve = spark.createDataFrame([("C", "a", "one two")], "cve_id string, cwe_name string, summary string")

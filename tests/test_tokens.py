@@ -56,6 +56,19 @@ def test_word_counts_order_holds_for_large_document_numbers(spark):
     assert got == {"a": (2**62, 1), "b": (2**62 - 1, 1), "c": (2**62 - 1, 0), "z": (-5, 0)}
 
 
+def test_first_places_of_narrow_and_wide_document_numbers(spark):
+    """The same places whether a number fits in 32 bits or not, also below zero and for NULL."""
+    for numbers in ([-(1 << 31), -5, 0, 7, (1 << 31) - 1, None], [-(1 << 31) - 1, -5, 0, 7, 1 << 31, None]):
+        rows = [(n, ["all", f"w{i}", "all", "some" if i > 1 else "few"]) for i, n in enumerate(numbers)]
+        df = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+        counted = tokens.word_counts(df, "doc_id")
+        got = {r.word: (r.n, r.first_doc, r.first_pos) for r in counted.collect()}
+        own = {f"w{i}": (1, n, None if n is None else 1) for i, n in enumerate(numbers)}
+        assert got == own | {"all": (12, numbers[0], 0), "some": (4, 0, 3), "few": (2, numbers[0], 3)}
+        plan = counted._jdf.queryExecution().optimizedPlan().toString()
+        assert ("decimal" in plan) == (numbers[0] < -(1 << 31))
+
+
 def test_encoding_keeps_whole_texts_and_only_padding_cuts(spark):
     vocab = spark.createDataFrame(
         [("the", 9, 2), ("x", 5, 3), ("y", 4, 4), ("rare", 1, 5)], "word string, n long, idx int"
