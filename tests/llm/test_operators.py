@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import brute
@@ -620,3 +621,67 @@ def test_url_features_match_a_plain_reading(spark):
     for r in op5_urls.lexical(df).collect():
         for name, value in plain(r["url"]).items():
             assert abs(r[name] - value) < 1e-9, (r["url"][:60], name, r[name], value)
+
+
+def test_language_model_is_trained_and_scored_in_even_tasks(spark, monkeypatch, tmp_path):
+    """A corpus stored in one file, or in files of uneven size, still takes all cores."""
+    monkeypatch.setattr(op1_lm, "LEAST_POSITIONS", 1000)
+    cores = spark.sparkContext.defaultParallelism
+    rows = [(i, f"a{i % 7} b{i % 5} c " * (i % 9 + 1)) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    tasks = []
+    make = op1_lm.spread
+
+    def watched(*args):
+        dealt = make(*args)
+        counts = dealt.groupBy(F.spark_partition_id()).count().collect()
+        tasks.append((dealt.rdd.getNumPartitions(), max(r["count"] for r in counts), sum(r["count"] for r in counts)))
+        return dealt
+
+    monkeypatch.setattr(op1_lm, "spread", watched)
+    got = op1_lm.language_model(df).collect()
+    assert len(tasks) == op1_lm.ROUNDS + 1 and tasks[-1][2] == len(rows)
+    assert all(n == cores and most < 2 * total / cores for n, most, total in tasks)
+    monkeypatch.setattr(op1_lm, "SCORE_TOKENS", 500)
+    op1_lm.language_model(df).collect()
+    assert tasks[-1][0] > cores and tasks[-1][0] % cores == 0
+    expected, total = brute.base_scores(rows)
+    key = lambda r: (r[0], r[1], r[2], round(r[3], 6))
+    have = sorted(key((r["doc_id"], r["n_tokens"], r["n_known"], r["base_score"])) for r in got)
+    assert have == sorted(key((r[0], *e)) for r, e in zip(rows, expected, strict=True))
+    assert {r["train_tokens"] for r in got} == {total}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="aB9zé日., \n-!", max_size=40), max_size=8))
+def test_word_classes_pass_trailing_marks(texts):
+    words = textbytes.find_words(pa.array([*texts, "x" + "." * 30], pa.string()), textbytes.NOT_SPACE)
+    expected = []
+    for a, b in zip(words.start, words.end, strict=True):
+        word = words.data[a:b].tobytes()
+        plain = word.rstrip(b".,-!")
+        last = plain[-1] if plain else None
+        kind = 30 if last is None else last - 97 if 97 <= last <= 122 else 26 + last % 4 if last >= 128 else 30
+        expected.append(kind * 2 + (len(plain) < len(word)))
+    assert op1_lm.word_classes(words).tolist() == expected
+
+
+def test_rows_are_summed_by_symbol_and_scores_hold_at_the_bounds():
+    rng = np.random.default_rng(4)
+    symbols = rng.integers(0, 9, (3, 500)).astype(np.uint8)
+    rows = rng.normal(size=(500, op1_lm.DIM)).astype(np.float32)
+    expected = np.zeros((3, 11, op1_lm.DIM))
+    for line, some in zip(expected, symbols, strict=True):
+        np.add.at(line, some, rows.astype(np.float64))
+    assert np.allclose(op1_lm._sums_by_symbol(symbols, rows, 11), expected, atol=1e-4)
+    model = op1_lm.Model(np.arange(1 + op1_lm.HEAD + op1_lm.CLASSES, dtype=float))
+    for scale in (1, 200):  # the second takes logits beyond what a float can hold as powers
+        model.Q *= scale
+        model.b += scale
+        contexts = rng.integers(0, len(model.b), (300, op1_lm.CONTEXT)).astype(np.uint8)
+        chosen = rng.integers(0, len(model.b), 300)
+        logits = (model.hidden(contexts).astype(np.float64) @ model.Q.T.astype(np.float64)) + model.b
+        logits -= logits.max(axis=1, keepdims=True)
+        p = np.exp(logits[np.arange(300), chosen]) / np.exp(logits).sum(axis=1)
+        want = np.log10((1 - op1_lm.UNIGRAM_SHARE) * p + op1_lm.UNIGRAM_SHARE * model.noise[chosen])
+        assert np.allclose(model.log10_probabilities(contexts, chosen), want, atol=1e-3)

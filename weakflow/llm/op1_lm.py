@@ -17,7 +17,8 @@ and stored as symbols (a byte per token) with their sums of word shares; trainin
 read only these. Training goes over every position of all training texts: each task trains a
 copy of the parameters by AdaGrad on the NCE objective in numpy, with noise symbols from the
 unigram distribution shared by a batch, and the copies are averaged by a Spark aggregation,
-weighted by their tokens, once per round. Each round reads every text equally often: once, and more often only if the whole
+weighted by their tokens, once per round. Texts are dealt evenly to as many tasks as there are
+cores, or a multiple of it. Each round reads every text equally often: once, and more often only if the whole
 corpus has fewer than ``LEAST_POSITIONS`` tokens. Scoring is a matrix product per batch of
 positions. The counts of the most frequent words (at most ``DICTIONARY_WORDS``) are sent to the
 tasks; all rarer words are joined with the full table.
@@ -51,11 +52,15 @@ RATE = 0.08
 SCORED = 1024  # positions scored by one matrix product
 LEAST_POSITIONS = 2_000_000  # a smaller corpus is read several times in each round
 MOST_EPOCHS = 64
+TRAIN_TOKENS = 1 << 25  # tokens in a task at most, about; few long tasks, since their copies are averaged
+SCORE_TOKENS = 1 << 22
 FRONT = 1 << 20  # places of the table that finds most words without a search
 UNIGRAM_SHARE = 0.05
 DICTIONARY_WORDS = 1 << 19
 END_HASH = np.uint64(0)  # no word is expected to hash to zero
 END = 0  # output symbols: the end, head words, classes; START only stands in contexts
+MARKS_STEPPED = 4  # trailing marks of a word that are passed one by one
+_MARK = ~tb.ALPHANUMERIC & (np.arange(256) < 128)
 
 
 def held_out(key: Column) -> Column:
@@ -67,8 +72,14 @@ def word_classes(words: tb.Words) -> np.ndarray:
     data, start, end = words.data, words.start, words.end
     if not len(start):
         return np.empty(0, dtype=np.int64)
-    mark = (data < 128) & ~tb.ALPHANUMERIC[data]
-    last = np.maximum.accumulate(np.where(mark, -1, np.arange(len(data))))[end - 1]
+    last = end - 1
+    marked = np.flatnonzero(_MARK[data[last]])
+    for _ in range(MARKS_STEPPED):
+        last[marked] -= 1
+        marked = marked[last[marked] >= start[marked]]
+        marked = marked[_MARK[data[last[marked]]]]
+    if len(marked):  # words that end in many marks
+        last[marked] = np.maximum.accumulate(np.where(_MARK[data], -1, np.arange(len(data))))[end[marked] - 1]
     plain = last >= start
     byte = data[np.where(plain, last, start)].astype(np.int64)
     kind = np.where((byte >= 97) & (byte <= 122), byte - 97, np.where(byte >= 128, 26 + byte % 4, 30))
@@ -118,12 +129,14 @@ def count_words(df: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            h, c, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        def counted(h: np.ndarray, c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             order = np.argsort(h)
-            h, c, n = h[order], c[order], n[order]
+            h = h[order]
             start = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, dtype=np.int64)
-            return h[start], c[start], np.add.reduceat(n, start) if len(h) else n
+            return h[start], c[order[start]], np.add.reduceat(n[order], start) if len(h) else n
+
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return counted(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
         def out() -> pa.RecordBatch:
             h, c, n = merged()
@@ -135,8 +148,8 @@ def count_words(df: DataFrame) -> DataFrame:
         for batch in batches:
             for piece in tb.slices(batch, "text"):
                 words = tb.find_words(piece.column("text"), tb.NOT_SPACE)
-                h, first, n = np.unique(words.hashes(), return_index=True, return_counts=True)
-                held.append((h, word_classes(words)[first].astype(np.int32), n))
+                h = words.hashes()
+                held.append(counted(h, word_classes(words).astype(np.int32), np.ones(len(h), dtype=np.int64)))
                 if len(held) >= 16:
                     held[:] = [merged()]
                     if len(held[0][0]) > 2_000_000:
@@ -206,7 +219,9 @@ class Model:
 
     def hidden(self, contexts: np.ndarray) -> np.ndarray:
         """The sums of what each place's symbol adds."""
-        tables = self.R @ self.C
+        return self._added(self.R @ self.C, contexts)
+
+    def _added(self, tables: np.ndarray, contexts: np.ndarray) -> np.ndarray:
         places = contexts.T.astype(np.int64)
         out = tables[0].take(places[0], axis=0)
         for j in range(1, CONTEXT):
@@ -215,12 +230,13 @@ class Model:
 
     def log10_probabilities(self, contexts: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Normalised log probabilities of the symbols, by a matrix product per batch."""
-        outputs = np.ascontiguousarray(self.Q.T)
+        tables, outputs = self.R @ self.C, np.ascontiguousarray(self.Q.T)
         ones = np.ones(len(self.b), dtype=np.float32)
+        block = np.empty((min(SCORED, len(symbols)), len(self.b)), dtype=np.float32)
         out = np.empty(len(symbols))
         for lo in range(0, len(symbols), SCORED):
             ctx, sym = contexts[lo : lo + SCORED], symbols[lo : lo + SCORED]
-            logits = self.hidden(ctx) @ outputs
+            logits = np.matmul(self._added(tables, ctx), outputs, out=block[: len(sym)])
             logits += self.b
             own = logits[np.arange(len(sym)), sym]
             top = logits.max()
@@ -236,13 +252,15 @@ class Model:
 
 
 def _sums_by_symbol(symbols: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    """The rows summed over equal symbols, which are bytes."""
-    order = np.argsort(symbols, kind="stable")
-    ordered = symbols.take(order)
-    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    out = np.zeros((size, rows.shape[1]), dtype=np.float32)
-    out[ordered[first]] = np.add.reduceat(rows.take(order, axis=0), first, axis=0)
-    return out
+    """For each line of symbols, which are bytes, the rows summed over equal symbols."""
+    order = np.argsort(symbols, axis=1, kind="stable").ravel()
+    places = symbols + size * np.arange(len(symbols))[:, None]
+    counts = np.bincount(places.ravel(), minlength=len(symbols) * size)
+    some = np.flatnonzero(counts)
+    first = np.cumsum(counts)[some] - counts[some]
+    out = np.zeros((len(counts), rows.shape[1]), dtype=np.float32)
+    out[some] = np.add.reduceat(rows.take(order, axis=0), first, axis=0)
+    return out.reshape(len(symbols), size, -1)
 
 
 class Trainer:
@@ -273,7 +291,7 @@ class Trainer:
             np.exp(np.negative(made, out=made), out=made)
         made += 1
         down = np.divide(-1, made, out=made)
-        grad_q = _sums_by_symbol(symbols.astype(np.uint8), up[:, None] * h, size)
+        grad_q = _sums_by_symbol(symbols.astype(np.uint8)[None], up[:, None] * h, size)[0]
         grad_b = np.bincount(symbols, weights=up, minlength=size).astype(np.float32)
         drawn = np.zeros((size, NOISE), dtype=np.float32)
         drawn[noise, np.arange(NOISE)] = 1
@@ -281,7 +299,7 @@ class Trainer:
         grad_b += drawn @ (np.ones(len(down), dtype=np.float32) @ down)
         grad_h = np.multiply(up[:, None], q, out=q)
         grad_h += down @ q_noise
-        per_context = np.stack([_sums_by_symbol(contexts[:, j], grad_h, len(m.R)) for j in range(CONTEXT)])
+        per_context = _sums_by_symbol(np.ascontiguousarray(contexts.T), grad_h, len(m.R))
         grad_c = m.R.T @ per_context
         grad_r = (per_context @ m.C.transpose(0, 2, 1)).sum(axis=0)
         for i, g in enumerate((grad_r, grad_c, grad_q, grad_b)):
@@ -359,6 +377,16 @@ def encode(df: DataFrame, vocab: Vocabulary) -> DataFrame:
     return df.mapInArrow(lambda b: tb.tidy(rows(b)), f"row long, id {kind}, symbols binary, {sums}")
 
 
+def spread(encoded: DataFrame, tokens: int, most: int) -> DataFrame:
+    """The rows dealt evenly to tasks of about ``most`` of all ``tokens`` or fewer, as many as fill all
+    cores once or more. A scan packs the files of a stored table into somewhat more tasks than there
+    are cores, so that most cores wait for the last ones."""
+    if tokens <= LEAST_POSITIONS:
+        return encoded
+    cores = encoded.sparkSession.sparkContext.defaultParallelism
+    return encoded.repartition(cores * -(-tokens // (most * cores)), "row")
+
+
 def train(encoded: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Model:
     """Train on all rows of ``encoded``; the parameters have a fixed size."""
     model = Model(vocab.unigram)
@@ -388,15 +416,16 @@ def train(encoded: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Model:
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "tokens", *(f"v{i}" for i in range(DIM))])
 
         schema = "row int, tokens long, " + ", ".join(f"v{i} double" for i in range(DIM))
-        trained = encoded.select("symbols").mapInArrow(rows, schema)
+        read = spread(encoded.select("row", "symbols"), vocab.tokens, TRAIN_TOKENS).select("symbols")
+        trained = read.mapInArrow(rows, schema)
         sums = [(F.sum(f"v{i}") / F.sum("tokens")).alias(f"v{i}") for i in range(DIM)]
         averaged = trained.groupBy("row").agg(*sums).orderBy("row").toArrow()
         model.load(np.column_stack([averaged[f"v{i}"].to_numpy() for i in range(DIM)]))
     return model
 
 
-def score(encoded: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score) of every encoded row."""
+def score(encoded: DataFrame, model: Model, counts: DataFrame, tokens: int) -> DataFrame:
+    """(doc_id, n_tokens, n_known, base_score, score) of every encoded row; ``tokens`` is about their size."""
     shared = encoded.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,7 +442,7 @@ def score(encoded: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     kind = encoded.schema["id"].dataType.simpleString()
     read = encoded.select("row", "id", "symbols", "n_tokens", "n_known", "base_score", "own")
     schema = f"row long, id {kind}, n_tokens long, n_known long, base_score double, score double"
-    scored = read.mapInArrow(lambda b: tb.tidy(rows(b)), schema)
+    scored = spread(read, tokens, SCORE_TOKENS).mapInArrow(lambda b: tb.tidy(rows(b)), schema)
     # Words beyond the dictionary: log10(c + 1) enters both scores; an unseen word adds nothing.
     rare = encoded.select("row", F.explode("rest").alias("h")).join(counts.select("h", "n"), "h")
     added = rare.groupBy("row").agg(F.count(F.lit(1)).alias("known"), F.sum(F.log10(F.col("n") + 1)).alias("more"))
@@ -436,7 +465,7 @@ def language_model(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     vocab = vocabulary(counts, texts)
     encoded = stage(encode(rows, vocab), "lm-symbols")
     model = train(encoded.filter(~held_out(F.col("id"))), vocab)
-    scored = score(encoded, model, counts)
+    scored = score(encoded, model, counts, vocab.tokens)
     return scored.select(
         F.col("doc_id").alias(key),
         held_out(F.col("doc_id")).alias("held_out"),
